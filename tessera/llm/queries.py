@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
+from tessera.llm.recompression import op4_substring_dedup
 
 
 def queries() -> dict:
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+    return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op4_substring_dedup": op4_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
