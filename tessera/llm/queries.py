@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
+from tessera.llm.quality_rules import op10_quality_rules
 from tessera.llm.recompression import op4_substring_dedup
 
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_substring_dedup": op4_substring_dedup,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
