@@ -11,10 +11,15 @@ choice of n - k partitions keeps one; the set that leaves out more decides, so
 no pair is lost. A set that must keep an empty partition repeats the enumeration
 under further hash functions, and only after the last of them signs empties.
 
-Candidates in a signature's bucket are verified on the texts: first each member
-with the bucket's smallest id, then, only between members that aren't connected
-yet, every remaining pair. So copies cost a row each, and no link between
-different classes is lost; there is no cap on buckets or partners.
+A set that signs the E partitions of a wide band with FLOOR features or more
+shares E - k of these signatures or more with any partner, so one that shares fewer with all others together leaves
+the band. Candidates in a bucket are then verified on the texts: first each
+member with the bucket's smallest id, then, only between members that aren't
+connected yet, every remaining pair that can be similar at all: u features that
+no other candidate has are lost to any intersection, so a set of size a has
+partners of at most (a - u) * (100 + percent) / percent - a features, and leaves
+a bucket without such. So copies cost a row each, and no link between different
+classes is lost; there is no cap on buckets or partners.
 
 Null, empty and blank texts have the empty set and no links. A text with fewer
 words than ``width`` has one feature, the whole sequence. Equal rows share a
@@ -39,6 +44,8 @@ from tessera.llm.words import joined, mix, slices, windows
 WIDTH, PERCENT = 5, 80
 #: Hash functions that a set goes through before it signs empty partitions.
 SEEDS = 4
+#: Features that a signed partition has, if enough have them.
+FLOOR = 2
 #: Partitions of a wide band, as a share of its largest size.
 SHARE = 0.3
 
@@ -49,21 +56,21 @@ def most_apart(a: int, b: int, percent: int) -> int:
 
 
 @lru_cache(4096)
-def instances(size: int, percent: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(band, partitions, partitions in a subset, most differences) of each band a set takes part in."""
+def instances(size: int, percent: int) -> tuple[tuple[int, int, int, int, int], ...]:
+    """(band, its parity, partitions, partitions in a subset, most differences) of each band a set takes part in."""
     alone = 1
     while most_apart(alone + 1, (alone + 1) * 100 // percent, percent) == 0:
         alone += 1
     if size <= alone:
         return ()  # similar sets of such sizes are equal
-    top = max(2 * alone, alone + 1)
+    top, band = max(2 * alone, alone + 1), 0
     while size > top:
-        top *= 2
+        top, band = 2 * top, band + 1
     out, most = [], size * 100 // percent
-    for r in (top, 2 * top) if most > top else (top,):
+    for r, parity in ((top, band % 2), (2 * top, (band + 1) % 2))[: 1 + (most > top)]:
         k = most_apart(r, r, percent)
         n, t = (k + 2, 2) if k <= 3 else (max(int(np.ceil(SHARE * r)), k + 2), 1)
-        out.append((r, n, t, most_apart(size, min(most, r), percent)))
+        out.append((r, parity, n, t, most_apart(size, min(most, r), percent)))
     return tuple(out)
 
 
@@ -72,10 +79,13 @@ def subsets(n: int) -> np.ndarray:
     return np.array(list(combinations(range(n), 2)))
 
 
-def signatures(features: np.ndarray, percent: int = PERCENT, seeds: int = SEEDS) -> np.ndarray:
-    """The signatures of a set of distinct 64-bit features."""
-    out = []
-    for r, n, t, k in instances(len(features), percent):
+def signatures(features: np.ndarray, percent: int = PERCENT, seeds: int = SEEDS) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a set of distinct 64-bit features, the lowest bit being
+    the band's parity; and for either parity the signatures that the set shares
+    with any partner there, at least. Sets leave out partitions of FLOOR - 1
+    features at most, so one that does so shares all but k of its own."""
+    out, shared = [], [1, 1]
+    for r, parity, n, t, k in instances(len(features), percent):
         for seed in range(seeds):
             salt = np.uint64(((r << 8) + seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
             part = ((mix(features ^ salt) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -86,17 +96,19 @@ def signatures(features: np.ndarray, percent: int = PERCENT, seeds: int = SEEDS)
             sums[full] = np.add.reduceat(mix(features + salt)[order], (np.cumsum(count) - count)[full])
             names = joined(mix(np.arange(n, dtype=np.uint64) + salt), sums)
             least = int(np.sort(count)[: n - k][-t:].sum())  # what the lightest choice of partitions keeps
-            last = seed == seeds - 1
-            floor = max(least, 0 if last else 1)
+            floor = max(min(least, FLOOR), 0 if seed == seeds - 1 else 1)
             if t == 2:
                 i, j = subsets(n).T
                 keep = count[i] + count[j] >= floor
-                out.append(joined(names[i[keep]], names[j[keep]]))
+                names = joined(names[i[keep]], names[j[keep]])
             else:
-                out.append(names[count >= floor])
+                names = names[count >= floor]
+                if least >= FLOOR and not seed:
+                    shared[parity] = max(1, len(names) - k)
+            out.append(names & ~np.uint64(1) | np.uint64(parity))
             if least:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), shared
 
 
 def feature_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -112,21 +124,22 @@ def _signed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # of this task: its copies sign once
         for batch in batches:
-            ids, rows = batch.column(0), ([], [], [])
+            ids, rows, shared = batch.column(0), ([], [], []), []
             signs, offsets = [], [0]
             for i, features in enumerate(feature_sets(batch.column(1), width)):
                 d = (int(features.sum(dtype=np.uint64)), int(mix(features + np.uint64(len(features))).sum(dtype=np.uint64)))
-                own = np.zeros(0, np.uint64)
+                own, least = np.zeros(0, np.uint64), None
                 if len(features) and d not in seen and ids[i].is_valid:
                     seen.add(d)
-                    own = signatures(features, percent)
+                    own, least = signatures(features, percent)
                 for column, x in zip(rows, (len(features), *d)):
                     column.append(x)
                 signs.append(own)
+                shared.append(least)
                 offsets.append(offsets[-1] + len(own))
             n, d1, d2 = (np.array(x, np.uint64).view(np.int64) for x in rows)
             values = pa.array(np.concatenate([np.zeros(0, np.uint64), *signs]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["doc_id", "n_shingles", "d1", "d2", "signs"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(shared, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "d1", "d2", "signs", "shared"])
 
     return run
 
@@ -159,11 +172,20 @@ def _verified(width: int, percent: int):
     return run
 
 
+def _features(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, features in enumerate(feature_sets(batch.column("text"), width)):
+                yield pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), batch.column("doc_id").take(pa.array(np.full(len(features), i)))], names=["feature", "rep"])
+
+    return run
+
+
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; other columns of
     docs are not read. component_id is the smallest id reachable by links."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(texts.mapInArrow(_signed(width, percent), "doc_id long, n_shingles long, d1 long, d2 long, signs array<long>"), "sets")
+    sets = written(texts.mapInArrow(_signed(width, percent), "doc_id long, n_shingles long, d1 long, d2 long, signs array<long>, shared array<int>"), "sets")
 
     rows = sets.select("doc_id", "n_shingles", "d1", "d2")
     key = ["d1", "d2", "n_shingles"]
@@ -172,16 +194,22 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     rep_of = placed.where("doc_id is not null and n_shingles > 0").select("doc_id", "rep", "n_shingles").distinct()
 
     stars = sets.select(F.explode("signs").alias("sign"), "doc_id").repartition("sign").sortWithinPartitions("sign", "doc_id").mapInArrow(_stars, "sign long, c long, m long")
-    stars = written(stars, "stars")
-    pairs = stars.groupBy("c", "m").agg(F.count("*").alias("shared"))
-    for side in ("c", "m"):
-        own = rep_of.select(F.col("doc_id").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("n_shingles").alias(f"{side}_n"))
-        pairs = pairs.join(own, side)
-    fits = 100 * F.least("c_n", "m_n") >= percent * F.greatest("c_n", "m_n")
-    pairs = pairs.where((F.col("c_rep") != F.col("m_rep")) & fits)
-    pairs = written(pairs.groupBy(F.least("c_rep", "m_rep").alias("c"), F.greatest("c_rep", "m_rep").alias("m")).agg(F.max("shared").alias("shared")), "pairs")
-
-    needed = pairs.select(F.explode(F.array("c", "m")).alias("doc_id")).distinct()
+    members = stars.select("sign", F.explode(F.array("c", "m")).alias("doc_id")).distinct().join(rep_of, "doc_id").select("sign", "rep", "n_shingles").distinct()
+    members = written(members.withColumn("parity", F.col("sign").bitwiseAND(F.lit(1)).cast("int")), "members")
+    least = sets.where("shared is not null").join(rep_of.select("doc_id", "rep"), "doc_id").select("rep", F.posexplode("shared").alias("parity", "shared")).groupBy("rep", "parity").agg(F.max("shared").alias("shared"))
+
+    def common(rows: DataFrame) -> DataFrame:
+        """Without buckets of a single set."""
+        return rows.join(rows.groupBy("sign").agg(F.count("*").alias("k"), F.min("rep").alias("centre")).where("k > 1").select("sign", "centre"), "sign")
+
+    able = common(members).groupBy("rep", "parity").agg(F.count("*").alias("has")).join(least, ["rep", "parity"]).where("has >= shared").select("rep", "parity")
+    members = written(common(members.join(able, ["rep", "parity"], "left_semi")), "able").drop("parity")
+    sizes = rep_of.select("rep", "n_shingles").distinct()
+    pairs = members.where("rep <> centre").groupBy(F.col("centre").alias("c"), F.col("rep").alias("m"), F.col("n_shingles").alias("m_n")).agg(F.count("*").alias("shared"))
+    pairs = pairs.join(sizes.select(F.col("rep").alias("c"), F.col("n_shingles").alias("c_n")), "c")
+    pairs = written(pairs.where(100 * F.least("c_n", "m_n") >= percent * F.greatest("c_n", "m_n")).select("c", "m", "shared"), "pairs")
+
+    needed = members.select(F.col("rep").alias("doc_id")).distinct()
     kept = written(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def links(todo: DataFrame) -> DataFrame:
@@ -201,14 +229,22 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     done = done.unionByName(more)
     comps = written(components(done.where("linked"), "c", "m"), "comps")
 
-    # buckets that hold several components yet: every pair that is apart
-    members = stars.select("sign", F.explode(F.array("c", "m")).alias("doc_id")).distinct().join(rep_of, "doc_id").select("sign", "rep", "n_shingles").distinct()
-    members = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = members.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("sign")
-    members = written(members.join(mixed, "sign", "left_semi"), "mixed")
-    x, y = (members.select("sign", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n_shingles", "component"))) for side in "xy")
-    rest = x.join(y, "sign").where((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")))
-    rest = rest.where(100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y"))
+    # buckets that hold several components yet: every pair that is apart and can be similar
+    def mixed(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n_shingles").alias("smallest")).where("lo <> hi")
+        return rows.join(several.select("sign", "smallest"), "sign")
+
+    members = members.select("sign", "rep", "n_shingles").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = written(mixed(members).drop("smallest"), "mixed")
+    inside = kept.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    alone = inside.mapInArrow(_features(width), "feature long, rep long").groupBy("feature").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    members = members.join(alone, "rep", "left").withColumn("has", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    members = members.withColumn("largest", F.expr(f"has * {100 + percent} div {percent} - n_shingles"))
+    members = written(mixed(members).where("largest >= smallest").drop("smallest"), "open")
+    members = mixed(members).drop("smallest")
+    x, y = (members.select("sign", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n_shingles", "component", "largest"))) for side in "xy")
+    can = (F.col("n_shingles_x") <= F.col("largest_y")) & (F.col("n_shingles_y") <= F.col("largest_x"))
+    rest = x.join(y, (x["sign"] == y["sign"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & can)
     rest = written(rest.select(F.col("rep_x").alias("c"), F.col("rep_y").alias("m")).distinct().join(done.select("c", "m"), ["c", "m"], "left_anti"), "rest")
     done = done.unionByName(links(rest))
     comps = written(components(done.where("linked"), "c", "m"), "comps")
