@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from tessera.llm.audio import op6_media_columns
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
+from tessera.llm.page_text import op1_html_extraction
 from tessera.llm.quality_rules import op10_quality_rules
 from tessera.llm.recompression import op4_substring_dedup
+from tessera.llm.token_counts import op3_token_counts
+from tessera.llm.url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_token_counts": op3_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
+        "op6_media_columns": op6_media_columns,
+        "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
