@@ -1,10 +1,64 @@
-"""A training corpus from documents: one operator a stage, each stage written and read again."""
+"""A training corpus from documents: one operator a stage, each stage written and read again.
+
+Quality rules drop what they reject; of each component of near copies the document
+with the smallest id stays; personal data get pseudonyms; sources, languages and topics are
+sampled to their targets; what is left is packed into sequences. A row with a null id is
+kept by the second stage, as it names no component.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.mixing import sampled
+from tessera.llm.ngram_join import ngram_components
+from tessera.llm.packing import packed
+from tessera.llm.pii import pseudonymised
+from tessera.llm.quality_rules import judged
+from tessera.llm.shared import shared_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rejected = judged(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti")
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sampled(docs).where("drawn_").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("pii", pii),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The stages' signatures, raking and packing are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
