@@ -15,11 +15,14 @@ A set that signs the E partitions of a wide band with FLOOR features or more
 shares E - k of these signatures or more with any partner, so one that shares fewer with all others together leaves
 the band. Candidates in a bucket are then verified on the texts: first each
 member with the bucket's smallest id, then, only between members that aren't
-connected yet, every remaining pair that can be similar at all: u features that
-no other candidate has are lost to any intersection, so a set of size a has
-partners of at most (a - u) * (100 + percent) / percent - a features, and leaves
-a bucket without such. So copies cost a row each, and no link between different
-classes is lost; there is no cap on buckets or partners.
+connected yet, every remaining pair that can be similar at all. For these, the
+features of the sets concerned are ranked from the rarest on. If the rarest
+common feature of two sets has rank u in one of size a, their intersection has
+a - u features at most, so the other has (a - u) * (100 + percent) / percent - a
+at most. Sets are joined on their rarest features where this bound holds both
+ways, and leave a feature that no set of a fitting size has. So copies cost a row
+each, and no link between different classes is lost; there is no cap on buckets
+or partners.
 
 Null, empty and blank texts have the empty set and no links. A text with fewer
 words than ``width`` has one feature, the whole sequence. Equal rows share a
@@ -34,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
@@ -237,9 +240,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     members = members.select("sign", "rep", "n_shingles").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = written(mixed(members).drop("smallest"), "mixed")
     inside = kept.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    alone = inside.mapInArrow(_features(width), "feature long, rep long").groupBy("feature").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    members = members.join(alone, "rep", "left").withColumn("has", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    members = members.withColumn("largest", F.expr(f"has * {100 + percent} div {percent} - n_shingles"))
+    features = written(inside.mapInArrow(_features(width), "feature long, rep long"), "features")
+    common = features.groupBy("feature").agg(F.count("*").alias("sets")).where("sets > 1")
+    ranked = features.join(common, "feature", "left").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("sets", F.lit(1)), "feature")) - 1)
+    sized = members.select("rep", "n_shingles", "component").distinct()
+    members = ranked.where("sets > 1").drop("sets").join(sized, "rep").where(f"rank <= n_shingles - ({percent} * n_shingles + 99) div 100").withColumnRenamed("feature", "sign")
+    members = members.withColumn("largest", F.expr(f"(n_shingles - rank) * {100 + percent} div {percent} - n_shingles"))
     members = written(mixed(members).where("largest >= smallest").drop("smallest"), "open")
     members = mixed(members).drop("smallest")
     x, y = (members.select("sign", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n_shingles", "component", "largest"))) for side in "xy")
