@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.plans import search_queries
+
+ALL = search_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
