@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import stripped
+
 #: Fixed sizes, in characters.
 LEAST_PAGE, MOST_SEGMENT, OVERVIEW = 100, 2000, 800
 
@@ -58,7 +60,7 @@ def pages_of(text: Column) -> Column:
     """[(page, text)] of a text with lines ``## 第 N 页``."""
     mark = r"(?m)^## 第 (\d+) 页$"
     numbers = F.transform(F.regexp_extract_all(text, F.lit(mark), 1), lambda n: n.cast("int"))
-    bodies = F.slice(F.transform(F.split(text, mark), F.trim), F.lit(2), F.size(F.split(text, mark)))
+    bodies = F.slice(F.transform(F.split(text, mark), stripped), F.lit(2), F.size(F.split(text, mark)))
     return F.zip_with(numbers, bodies, lambda n, b: F.struct(n.alias("page"), b.alias("text")))
 
 

@@ -55,7 +55,7 @@ def context(text: Column, first: Column, last: Column, around: int = CONTEXT_LIN
 def located(text: Column, quote: Column) -> Column:
     """Where a quote stands: exactly, or by its longest part around ellipses
     (approximate), else unmatched; offsets from 0, -1 if unmatched."""
-    parts = F.filter(F.transform(F.split(quote, r"\.{3,}|…+"), F.trim), lambda p: F.length(p) >= 2)
+    parts = F.filter(F.transform(F.split(quote, r"\.{3,}|…+"), lambda p: F.trim(p)), lambda p: F.length(p) >= 2)
     longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
     exact, near = F.instr(text, F.trim(quote)), F.coalesce(F.position(longest, text), F.lit(0))
     whole = (F.length(F.trim(quote)) > 0) & (exact > 0)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 class IndexTable:
-    """root/_manifest.json names the version in use; root/v-* are the versions."""
+    """root/manifest.json names the version in use; root/v-* are the versions."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "chunk_id", dim: int | None = None):
         self.spark, self.root, self.key, self.dim = spark, root.rstrip("/"), key, dim
@@ -27,17 +27,17 @@ class IndexTable:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def manifest(self) -> dict:
-        fs, path = self._fs("_manifest.json")
+        fs, path = self._fs("manifest.json")
         if not fs.exists(path):
             return {"version": None, "batches": []}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/_manifest.json").collect()))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
 
     def _publish(self, manifest: dict) -> None:
-        fs, new = self._fs(f"_manifest-{uuid.uuid4().hex}")
+        fs, new = self._fs(f"manifest-{uuid.uuid4().hex}")
         out = fs.create(new)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        _, path = self._fs("_manifest.json")
+        _, path = self._fs("manifest.json")
         if not fs.rename(new, path):  # some file systems don't replace
             fs.delete(path, False)
             if not fs.rename(new, path):
