@@ -8,8 +8,8 @@ character classes and common words, from the histograms of all texts of that
 language. References cover every row; each document weighs the same in them, so
 a few long ones don't decide. A short text's histogram strays more by chance, so
 the limit for classes is ``class_distance + 1 / sqrt(characters)``. Guards: a text below ``min_chars`` non-space
-characters or ``min_words`` words isn't judged by the one or the other; nor is
-one whose language has no listed common words judged by these. All languages
+characters or ``min_words`` occurrences of common words isn't judged by the one
+or the other; so texts of languages without a list aren't judged by these. All languages
 outside the list share one reference of character classes, so the references
 are a table of a bounded size.
 
@@ -42,7 +42,7 @@ CLASSES = ["lower", "upper", "digit", "symbol", "punctuation", "other"]
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, WIDTH = 10, 20, 5
 #: Distances from which a text is rejected; lengths below which a histogram isn't judged.
-CLASS_DISTANCE, WORD_DISTANCE, MIN_CHARS, MIN_JUDGED = 0.15, 0.85, 200, 60
+CLASS_DISTANCE, WORD_DISTANCE, MIN_CHARS, MIN_COMMON = 0.15, 0.7, 200, 20
 
 _CLASS = np.full(256, 5, np.int8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -106,7 +106,8 @@ def distance(a, b):
     share = lambda v, x: v.cast("double") / F.nullif(total(x), F.lit(0.0))
     part = lambda v, m: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
     both = F.zip_with(F.transform(F.col(a), lambda v: share(v, F.col(a))), F.transform(F.col(b), lambda v: share(v, F.col(b))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    return F.aggregate(both, F.lit(0.0), lambda s, x: s + part(x["p"], (x["p"] + x["q"]) / 2) + part(x["q"], (x["p"] + x["q"]) / 2), lambda s: F.sqrt(F.greatest(s / 2, F.lit(0.0))))
+    far = F.aggregate(both, F.lit(0.0), lambda s, x: s + part(x["p"], (x["p"] + x["q"]) / 2) + part(x["q"], (x["p"] + x["q"]) / 2), lambda s: F.sqrt(F.greatest(s / 2, F.lit(0.0))))
+    return F.when((total(F.col(a)) > 0) & (total(F.col(b)) > 0), far)
 
 
 def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -127,12 +128,13 @@ def references(counted: DataFrame) -> DataFrame:
     return kinds[0].join(kinds[1], "lang")
 
 
-def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_JUDGED, **columns: str) -> DataFrame:
+def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_COMMON, **columns: str) -> DataFrame:
     """Base counts, distances (null: not judged) and the verdict of every row of docs."""
     counted = written(counts(docs, common, **columns), "counted")
     refs = F.broadcast(references(counted))  # a row for each listed language and one for the others
     out = counted.join(refs, "lang", "left")
-    far = {"class_distance": F.when(F.col("word_chars") >= min_chars, distance("classes", "class_ref")), "word_distance": F.when((F.col("n_words") >= min_words) & (F.col("lang") != OTHER), F.coalesce(distance("common", "word_ref"), F.lit(1.0)))}
+    found = F.aggregate("common", F.lit(0).cast("long"), lambda s, v: s + v)
+    far = {"class_distance": F.when(F.col("word_chars") >= min_chars, distance("classes", "class_ref")), "word_distance": F.when(found >= min_words, distance("common", "word_ref"))}
     out = out.withColumns(far).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= F.lit(class_distance) + 1 / F.sqrt(F.greatest("word_chars", F.lit(1)))) & (F.coalesce("word_distance", F.lit(0.0)) <= word_distance)
     return out.withColumn("kept", ~F.col("base_failed") & near).drop("classes", "common", "class_ref", "word_ref", "lang")
