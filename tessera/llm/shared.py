@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from tessera.plans.storage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (a local
-    session, as in tests) a temporary folder is made and set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-tessera-")
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+__all__ = ["shared_dir", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a new Parquet table in the shared folder, read again: its lineage
     ends there, and a lost executor costs no more than the stage it was in."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
