@@ -192,7 +192,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     rows = sets.select("doc_id", "n_shingles", "d1", "d2")
     key = ["d1", "d2", "n_shingles"]
-    classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    # written first, so that this join has a shuffle of its own and Spark can split a large class in it
+    classes = written(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     placed = written(rows.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "placed")
     rep_of = placed.where("doc_id is not null and n_shingles > 0").select("doc_id", "rep", "n_shingles").distinct()
 
