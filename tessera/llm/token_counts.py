@@ -91,7 +91,9 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache: str | None
     first = misses.select(F.col("first.doc_id").alias("first_id"), F.col("digest").alias("first_digest"))
     new = texts.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")), "left_semi")
     new.select("digest", "text").mapInArrow(_encoded(tokenizer, file, version), CACHE).write.mode("append").parquet(cache)
-    return keys.join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # written first, so that this join has a shuffle of its own and Spark can split a frequent text in it
+    counts = written(known(), "counts")
+    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
