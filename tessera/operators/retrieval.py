@@ -2,13 +2,18 @@
 
 All questions of a table go through one plan. Chunks are (chunk_id, text,
 facets), vectors (chunk_id, vector), queries (query_id, query). The side that is
-broadcast is always the queries', and only up to MAX_QUERY_ROWS; beyond, it is joined.
+broadcast is always the queries', and only up to MAX_QUERY_ROWS; beyond, it is
+joined; vectors of queries are sent in blocks of a bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +23,8 @@ from tessera.functions.text import tokens
 K1, B, RRF_K, BOOST, MOST_BOOSTS = 1.2, 0.75, 60, 0.1, 3
 MAX_QUERY_ROWS = 200_000
 SCALE = 6
+#: Queries whose vectors are held against the corpus at once.
+QUERY_BLOCK = 4096
 
 
 def small(df: DataFrame, most: int = MAX_QUERY_ROWS) -> DataFrame:
@@ -69,11 +76,43 @@ def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector", F.transform("vector", lambda x: x / norm))
 
 
+def _nearest(ids: list, matrix: np.ndarray, k: int):
+    """The k best chunks of each batch for every query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, column = batch.column("chunk_id"), batch.column("vector")
+            if not batch.num_rows:
+                continue
+            own = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            scores = np.round(own @ matrix.T, SCALE)
+            place = np.empty(batch.num_rows, np.int64)
+            place[pc.sort_indices(chunk).to_numpy()] = np.arange(batch.num_rows)
+            best = [np.lexsort((place, -scores[:, j]))[:k] for j in range(len(ids))]
+            rows = np.concatenate(best)
+            query = pa.array([q for q, b in zip(ids, best) for _ in b])
+            score = np.concatenate([scores[b, j] for j, b in enumerate(best)])
+            yield pa.RecordBatch.from_arrays([query, chunk.take(pa.array(rows)), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, rank, score): exact cosine of unit vectors. queries:
-    (query_id, vector), a stated set of at most MAX_QUERY_ROWS that each vector is held against."""
-    near = vectors.join(F.broadcast(queries.select("query_id", F.col("vector").alias("q")))).select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("q")), SCALE).alias("score"))
-    return top_k(near, k)
+    """(query_id, chunk_id, rank, score): exact cosine of unit vectors of one
+    dimension. queries: (query_id, vector), a stated set that each vector is held
+    against, in blocks of about QUERY_BLOCK: a block's matrix goes to the tasks, a
+    task keeps k rows a batch and query, and only these are shuffled."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
+    found = []
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "vector").toArrow()
+        if block.num_rows:
+            matrix = np.array(block["vector"].to_pylist(), np.float64)
+            found.append(vectors.select("chunk_id", "vector").mapInArrow(_nearest(block["query_id"].to_pylist(), matrix, k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
+    if not found:
+        return queries.limit(0).select("query_id").join(vectors.limit(0).select("chunk_id")).select("query_id", "chunk_id", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+    return top_k(reduce(DataFrame.unionByName, found), k)
 
 
 def fused(arms: list[DataFrame], limit: int | None = None) -> DataFrame:
