@@ -225,13 +225,21 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
             todo = todo.join(comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_comp")), side, "left")
         return todo.where(F.coalesce("c_comp", "c") != F.coalesce("m_comp", "m"))
 
+    def extended(comps: DataFrame, more: DataFrame) -> DataFrame:
+        """comps with the components that more links join together."""
+        new = more.where("linked").select("c", "m")
+        if not new.head(1):
+            return comps
+        held = comps.select(F.col("node").alias("c"), F.col("component").alias("m"))
+        return written(components(held.unionByName(new), "c", "m"), "comps")
+
     # each member with its best centre; then the pairs of stars that are still apart
     best = pairs.groupBy("m").agg(F.max_by("c", F.struct("shared", -F.col("c"))).alias("c"))
     done = links(best)
     comps = written(components(done.where("linked"), "c", "m"), "comps")
     more = links(apart(pairs.select("c", "m").join(done.select("c", "m"), ["c", "m"], "left_anti"), comps).select("c", "m"))
     done = done.unionByName(more)
-    comps = written(components(done.where("linked"), "c", "m"), "comps")
+    comps = extended(comps, more)
 
     # buckets that hold several components yet: every pair that is apart and can be similar
     def mixed(rows: DataFrame) -> DataFrame:
@@ -253,8 +261,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     can = (F.col("n_shingles_x") <= F.col("largest_y")) & (F.col("n_shingles_y") <= F.col("largest_x"))
     rest = x.join(y, (x["sign"] == y["sign"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & can)
     rest = written(rest.select(F.col("rep_x").alias("c"), F.col("rep_y").alias("m")).distinct().join(done.select("c", "m"), ["c", "m"], "left_anti"), "rest")
-    done = done.unionByName(links(rest))
-    comps = written(components(done.where("linked"), "c", "m"), "comps")
+    comps = extended(comps, links(rest))
 
     comps = comps.select(F.col("node").alias("rep"), "component")
     return placed.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
