@@ -5,7 +5,7 @@ numbers of 13-19 digits (all digits but the last; this keeps its distance from
 the Luhn digit, so valid numbers stay valid and others don't become so), dates (the day,
 within 1800-2199, the pattern kept), phone numbers (digits after the country
 code), social security numbers, IPv4 addresses (the 32 bits), hexadecimal
-tokens of 32-64 digits, and the letters and digits of an e-mail address' local
+tokens of 16-128 digits with both letters and figures, and the letters and digits of an e-mail address' local
 part. Numbers with an impossible octet, and days that no calendar has, aren't such
 data and stay. The permutations are Feistel networks whose round function is
 SHA-512 of the key, the kind, the round and the other half: a bijection of each format,
@@ -36,7 +36,7 @@ DMY = r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])"
 ACCOUNT = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-TOKEN = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,128}(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, TOKEN, YMD, DMY, IPV4, SSN, PHONE, ACCOUNT))
 KINDS = {"email": EMAIL, "token": TOKEN, "date": f"{YMD}|{DMY}", "ip": IPV4, "ssn": SSN, "phone": PHONE, "account": ACCOUNT}
 
