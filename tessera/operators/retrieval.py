@@ -51,7 +51,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, tokenize=tokens, by: lis
     words = chunks.select("chunk_id", tokenize(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
     all_ = chunks.select(F.size(tokenize(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     vocabulary = small(wanted.select("token").distinct())
-    tf = words.select("chunk_id", "dl", F.explode("words").alias("token")).join(vocabulary, "token").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+    # outer, as an inner explode filters on the array first and so splits texts twice more
+    tf = words.select("chunk_id", "dl", F.explode_outer("words").alias("token")).join(vocabulary, "token").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(all_)).select("token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     weighed = small(wanted.join(idf, "token"))
