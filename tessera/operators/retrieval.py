@@ -27,9 +27,8 @@ SCALE = 6
 QUERY_BLOCK = 4096
 
 
-def small(df: DataFrame, most: int = MAX_QUERY_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame, most: int = MAX_QUERY_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
 
 
 def matching(chunk_types=None, stage=None, case_name=None, source_kinds=None, primary_domains=None) -> Column:
@@ -50,12 +49,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, tokenize=tokens, by: lis
     wanted = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     words = chunks.select("chunk_id", tokenize(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
     all_ = chunks.select(F.size(tokenize(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    vocabulary = small(wanted.select("token").distinct())
+    hint = F.broadcast if few(wanted) else lambda df: df  # a check of the queries alone; both tables below are no longer
+    vocabulary = hint(wanted.select("token").distinct())
     # outer, as an inner explode filters on the array first and so splits texts twice more
     tf = words.select("chunk_id", "dl", F.explode_outer("words").alias("token")).join(vocabulary, "token").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(all_)).select("token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    weighed = small(wanted.join(idf, "token"))
+    weighed = hint(wanted.join(idf, "token"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
     scored = tf.join(weighed, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCALE).alias("score"))
     return top_k(scored.where("score > 0"), k)
