@@ -1,8 +1,8 @@
 """URL filter: a blocked Bloom filter of listed entries, then an exact hash join.
 
-An entry (host, path, verdict) fits its host and all subdomains where the url's
-path starts with the entry's; the longest entry wins (host and path together;
-of equally long ones the greatest host, path, verdict). A canonical url is the host,
+An entry (host, path, verdict, rule) fits its host and all subdomains where the
+url's path starts with the entry's. Rules go before the other listed entries; then
+the longest wins (host and path together; of equally long ones the greatest host, path, verdict). A canonical url is the host,
 lower-cased, and the path, without query and fragment. Its keys are each suffix of the host's
 labels with each beginning of the path that is as long as some entry's path. The
 filter, blocks of 512 bits of which an entry sets eight in one block, passes keys that
@@ -110,7 +110,7 @@ def url_verdicts(pages: DataFrame, entries: DataFrame, default: str = "allow", i
     words = pages.sparkSession.sparkContext.broadcast(bloom(entries))
     hits = keys.mapInArrow(_probed(words), keys.schema)
     found = hits.join(entries.select(F.col("host").alias("tail"), F.col("path").alias("head"), "verdict", "rule"), ["tail", "head"])
-    best = F.max(F.struct((F.length("tail") + F.length("head")).alias("n"), "tail", "head", "verdict", "rule"))
+    best = F.max(F.struct("rule", (F.length("tail") + F.length("head")).alias("n"), "tail", "head", "verdict"))
     best = found.groupBy("host", "path").agg(best.alias("best"))
     out = rows.join(best, ["host", "path"], "left")
     rule = F.when(F.col("best.rule"), F.concat("best.tail", "best.head"))
@@ -126,7 +126,7 @@ OP9_SQL = f"""
 WITH entries(h, p, v, is_rule) AS (VALUES {_VALUES}),
 parts AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 urls AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM parts),
-fits AS (SELECT page_id, host, path, h || p AS entry, v, is_rule, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, h DESC, p DESC, v DESC) AS k
+fits AS (SELECT page_id, host, path, h || p AS entry, v, is_rule, row_number() OVER (PARTITION BY page_id ORDER BY is_rule DESC NULLS LAST, length(h) + length(p) DESC, h DESC, p DESC, v DESC) AS k
   FROM urls LEFT JOIN entries ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, CASE WHEN is_rule THEN entry END AS rule, coalesce(v, 'allow') AS verdict, entry IS NOT NULL AS listed FROM fits WHERE k = 1
 """

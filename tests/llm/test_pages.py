@@ -59,13 +59,13 @@ def brute(url, entries):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     m = re.match(r"([^/?#]*)(/[^?#]*)?", rest)
     host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2] or ""
-    best = max(((len(h) + len(p), h, p, v, r) for h, p, v, r in entries if (host == h or host.endswith("." + h)) and path.startswith(p) and host), default=None)
-    return host, path, best[1] + best[2] if best and best[4] else None, best[3] if best else "allow"
+    best = max(((r, len(h) + len(p), h, p, v) for h, p, v, r in entries if (host == h or host.endswith("." + h)) and path.startswith(p) and host), default=None)
+    return host, path, best[2] + best[3] if best and best[0] else None, best[4] if best else "allow"
 
 
 def test_verdicts(spark):
     entries = url_filter.RULES + url_filter.LISTED + [("x.org", "", "block", True)]
-    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/7?x", "https://a.example.com/en/8", "http://example.net/de/8/x", "http://b.example.net/de/1#y", "http://org/es/", "http://x.org", "http://x.org?/q", "http://notx.org/", "http://www.cheap-pills.example.com/a", "://h/", "http://a.b://c/en/", "http://com/en/"]
+    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/7?x", "https://a.example.com/en/8", "http://example.net/de/8/x", "http://b.example.net/de/1#y", "http://org/es/", "http://x.org", "http://x.org?/q", "http://notx.org/", "http://www.cheap-pills.example.com/a", "http://www.cheap-pills.example.com/en/4", "://h/", "http://a.b://c/en/", "http://com/en/"]
     rows = [(i, u) for i, u in enumerate(urls)] + [(3, urls[3])]
     out = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(entries, url_filter.ENTRIES)).collect()
     assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in out) == sorted((i, h, p, str(r), v) for i, u in rows for h, p, r, v in [brute(u, entries)])
