@@ -74,3 +74,30 @@ def candidate_sources(wanted: DataFrame, sources: DataFrame) -> DataFrame:
     rows = wanted.join(s, "case_id").withColumn("level", level)
     best = F.min("level").over(Window.partitionBy("ref_id"))
     return rows.withColumn("best", best).where("level = best").select("ref_id", F.col("s_id").alias("source_id"), "level")
+
+
+def resolved(refs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Where references stand. refs: (ref_id, case_id, source_path, filename,
+    source_id, quote, line_start, line_end); sources: (case_id, source_path,
+    filename, source_id, text). In the sources of a reference's best level, in order of
+    their ids, a valid line span counts first, then the quote, exactly or nearly.
+    Returns (ref_id, source_id, confidence, error, line_start, line_end, excerpt, context, anchor_id)."""
+    found = candidate_sources(refs, sources).join(sources.select("source_id", "text"), "source_id").join(refs.select("ref_id", "quote", "line_start", "line_end"), "ref_id")
+    n = F.size(F.split("text", "\n"))
+    valid = (F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")) & (F.col("line_end") <= n)
+    rows = found.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("at", located(F.col("text"), F.coalesce("quote", F.lit(""))))
+    rank = F.when(F.col("valid"), 0).when(F.col("at.confidence") == "exact", 1).when(F.col("at.confidence") == "approximate", 2).otherwise(3)
+    w = Window.partitionBy("ref_id").orderBy("rank", "source_id")
+    best = rows.withColumn("rank", rank).withColumn("k", F.row_number().over(w)).where("k = 1")
+    first = F.when(F.col("rank") == 0, F.col("line_start")).when(F.col("rank") < 3, line_of(F.col("text"), F.col("at.char_start")))
+    last = F.when(F.col("rank") == 0, F.col("line_end")).when(F.col("rank") < 3, line_of(F.col("text"), F.col("at.char_end")))
+    best = best.withColumn("first", first).withColumn("last", last)
+    hit = F.col("rank") < 3
+    excerpt = F.when(hit, F.array_join(F.slice(F.split("text", "\n"), F.col("first"), F.col("last") - F.col("first") + 1), "\n"))
+    asked = F.col("line_start").isNotNull() & F.col("line_end").isNotNull()
+    error = F.when(~hit & asked, "line_span_invalid_and_quote_not_found").when(~hit, "quote_not_found").otherwise("")
+    confidence = F.element_at(F.array(*map(F.lit, ("validated_span", "exact", "approximate", "unmatched"))), F.col("rank") + 1)
+    source = F.when(hit, F.col("source_id")).otherwise(F.lit(""))
+    out = best.select("ref_id", source.alias("source_id"), confidence.alias("confidence"), error.alias("error"), F.col("first").alias("line_start"), F.col("last").alias("line_end"), excerpt.alias("excerpt"), F.when(hit, context(F.col("text"), F.col("first"), F.col("last"))).alias("context"), F.when(hit, F.concat("source_id", F.lit("#line-"), F.col("first").cast("string"))).alias("anchor_id"))
+    none = refs.join(out.select("ref_id"), "ref_id", "left_anti").select("ref_id", F.lit("").alias("source_id"), F.lit("unmatched").alias("confidence"), F.lit("source_not_found").alias("error"))
+    return out.unionByName(none, allowMissingColumns=True)
