@@ -4,7 +4,8 @@ What is found, and what of it a keyed permutation changes: account and card
 numbers of 13-19 digits (all digits but the last; this keeps its distance from
 the Luhn digit, so valid numbers stay valid and others don't become so), dates (the day,
 within 1800-2199, the pattern kept), phone numbers (digits after the country
-code), social security numbers, IPv4 addresses (the 32 bits), hexadecimal
+code), social security numbers, IPv4 addresses (the 32 bits), bank account numbers with a
+valid IBAN check (the digits; the check is made anew), hexadecimal
 tokens of 16-128 digits with both letters and figures, and the letters and digits of an e-mail address' local
 part. Numbers with an impossible octet, and days that no calendar has, aren't such
 data and stay. The permutations are Feistel networks whose round function is
@@ -34,11 +35,12 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 YMD = r"(?<![0-9])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9])"
 DMY = r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,128}(?![0-9A-Za-z])"
-PATTERN = "|".join((EMAIL, TOKEN, YMD, DMY, IPV4, SSN, PHONE, ACCOUNT))
-KINDS = {"email": EMAIL, "token": TOKEN, "date": f"{YMD}|{DMY}", "ip": IPV4, "ssn": SSN, "phone": PHONE, "account": ACCOUNT}
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9]{1,4})?(?![0-9A-Za-z])"
+PATTERN = "|".join((EMAIL, IBAN, TOKEN, YMD, DMY, IPV4, SSN, PHONE, ACCOUNT))
+KINDS = {"email": EMAIL, "token": TOKEN, "date": f"{YMD}|{DMY}", "ip": IPV4, "ssn": SSN, "phone": PHONE, "account": ACCOUNT, "iban": IBAN}
 
 
 def _stream(key: str, kind: str, round_: Column, half: Column) -> Column:
@@ -106,14 +108,35 @@ def _account(v: Column, key: str) -> Column:
 
 
 def _date(v: Column, key: str) -> Column:
+    """Year first, else day first, else month first if only this is a day of the calendar."""
+    part = lambda i, n: F.substr(v, F.lit(i), F.lit(n))
     first = v.rlike(r"^[0-9]{4}")
-    mark = F.when(first, F.substr(v, F.lit(5), F.lit(1))).otherwise(F.substr(v, F.lit(3), F.lit(1)))
-    iso = F.when(first, F.concat_ws("-", F.substr(v, F.lit(1), F.lit(4)), F.substr(v, F.lit(6), F.lit(2)), F.substr(v, F.lit(9), F.lit(2)))).otherwise(F.concat_ws("-", F.substr(v, F.lit(7), F.lit(4)), F.substr(v, F.lit(4), F.lit(2)), F.substr(v, F.lit(1), F.lit(2))))
-    day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+    mark = F.when(first, part(5, 1)).otherwise(part(3, 1))
+    days = lambda *ymd: F.datediff(F.try_to_date(F.concat_ws("-", *ymd), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+    dmy, mdy = days(part(7, 4), part(4, 2), part(1, 2)), days(part(7, 4), part(1, 2), part(4, 2))
+    day = F.when(first, days(part(1, 4), part(6, 2), part(9, 2))).otherwise(F.coalesce(dmy, mdy))
     inside = day.isNotNull() & (day >= 0) & (day < DAYS[0] * DAYS[1])
-    new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day.cast("long"), key, "date", DAYS).cast("int")), "yyyy-MM-dd")
-    back = F.when(first, F.translate(new, "-", "#")).otherwise(F.concat_ws("#", F.substr(new, F.lit(9), F.lit(2)), F.substr(new, F.lit(6), F.lit(2)), F.substr(new, F.lit(1), F.lit(4))))
-    return F.when(inside, F.replace(back, F.lit("#"), mark)).otherwise(v)
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(day.cast("long"), key, "date", DAYS).cast("int"))
+    form = lambda pattern: F.date_format(new, pattern)
+    back = F.when(first, form("yyyy_MM_dd")).when(dmy.isNotNull(), form("dd_MM_yyyy")).otherwise(form("MM_dd_yyyy"))
+    return F.when(inside, F.replace(back, F.lit("_"), mark)).otherwise(v)
+
+
+def mod97(symbols: Column) -> Column:
+    """The remainder by 97 of a number written with letters for 10-35."""
+    def step(s: Column, c: Column) -> Column:
+        n = F.instr(F.lit(ALNUM.upper()), c) - 1
+        return (s * F.when(n > 9, 100).otherwise(10) + n) % 97
+    return F.aggregate(F.split(symbols, ""), F.lit(0), step)
+
+
+def _iban(v: Column, key: str) -> Column:
+    plain = F.replace(v, F.lit(" "))
+    country, account = F.left(plain, F.lit(2)), F.substr(plain, F.lit(5))
+    valid = mod97(F.concat(account, F.left(plain, F.lit(4)))) == 1
+    new = F.array(refilled(account, permuted(only(account, "0-9"), key, "iban"), "[0-9]"))
+    whole = F.transform(new, lambda a: F.concat(country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a))
+    return F.when(valid, refilled(v, F.get(whole, F.lit(0)), "[A-Z0-9]")).otherwise(v)
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -139,7 +162,7 @@ def pseudonym(v: Column, key: str) -> Column:
     """The pseudonym of one value that PATTERN found."""
     whole = {k: v.rlike(f"^(?:{p})$") for k, p in KINDS.items()}
     return (
-        F.when(F.instr(v, "@") > 0, _email(v, key)).when(whole["token"], permuted(v, key, "token", HEX)).when(whole["date"], _date(v, key)).when(whole["ip"], _ip(v, key))
+        F.when(F.instr(v, "@") > 0, _email(v, key)).when(whole["token"], permuted(v, key, "token", HEX)).when(whole["iban"], _iban(v, key)).when(whole["date"], _date(v, key)).when(whole["ip"], _ip(v, key))
         .when(whole["ssn"], refilled(v, permuted(only(v, "0-9"), key, "ssn"), "[0-9]")).when(whole["phone"], _phone(v, key)).when(whole["account"], _account(v, key)).otherwise(v)
     )
 

@@ -195,7 +195,7 @@ def luhn(digits):
 
 
 def test_pseudonyms_match_brute_force(spark):
-    texts = ["card 4111 1111 1111 1111 x", "card 4111111111111111.", "bad 4111111111111112", "call +1 (875) 555-8822!", "ssn 123-45-6789", "at 2024-02-29 and 2023-02-30", "ip 10.20.30.40 no 300.1.1.1", "Mail a.b9@x.example.com.", 'token = "' + "0a1b" * 10 + '"', None, "", "no data", "year 2024, 12 apples"]
+    texts = ["card 4111 1111 1111 1111 x", "card 4111111111111111.", "bad 4111111111111112", "call +1 (875) 555-8822!", "ssn 123-45-6789", "at 2024-02-29 and 2023-02-30", "ip 10.20.30.40 no 300.1.1.1", "Mail a.b9@x.example.com.", 'token = "' + "0a1b" * 10 + '"', None, "", "no data", "year 2024, 12 apples", "to GB29 NWBK 6016 1331 9268 19, not GB30 NWBK 6016 1331 9268 19", "us 12/31/1999", "tel 555-123-4567"]
     out = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     plain = re.sub(r"\D", "", out[0])
     h = feistel("411111111111111", "account")
@@ -210,7 +210,13 @@ def test_pseudonyms_match_brute_force(spark):
     f = feistel("ab9", "email", pii.ALNUM)
     assert out[7] == f"Mail {f[0]}.{f[1:]}@x.example.com."
     assert out[8] == 'token = "' + feistel("0a1b" * 10, "token", pii.HEX) + '"'
-    assert out[9:] == [None, "", "no data", "year 2024, 12 apples"]
+    assert out[9:13] == [None, "", "no data", "year 2024, 12 apples"]
+    d = feistel("60161331926819", "iban")
+    number = lambda x: int("".join(str(int(c, 36)) for c in x))
+    check = 98 - number(f"NWBK{d}GB00") % 97
+    assert out[13] == f"to GB{check:02d} NWBK {d[:4]} {d[4:8]} {d[8:12]} {d[12:]}, not GB30 NWBK 6016 1331 9268 19"
+    assert re.fullmatch(r"us \d\d/\d\d/\d{4}", out[14]) and out[14] != "us 12/31/1999"
+    assert re.sub(r"\D", "", out[15]) == feistel("5551234567", "phone")
     plan = pii.pseudonymised(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
