@@ -1,14 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents are counted in tokens by (source, language, topic). Raking scales the
-cells' weights to each target marginal in turn until all agree; a cell's factor,
-weight over tokens, divided by the largest one is the probability with which its
-documents are drawn, so the expected tokens of the sample have the target
-marginals and no document is drawn twice. The draw is a hash of id and text:
-the same for equal rows, in every run, at every partitioning.
+Documents are counted in tokens by (source, language, topic). The sample has a
+documented size, ``keep`` of all tokens that a target lets in, and each value of a
+dimension its target share of it. A value with fewer tokens than that gives all
+it has, and the others share the rest in proportion to their targets. Raking then scales the cells to each
+marginal in turn until all agree; a cell that reaches its own tokens is cut there
+(probability 1) and the other cells of the value take what it lacks. So a rare
+value decides about its own documents and not about the corpus, the expected tokens of the sample have
+these marginals, and no document is drawn twice. Values that can't reach their share, and
+raking that hasn't converged after max_rounds, are told in a warning; ``marginals`` has
+the wanted and the expected share of every value. ``raked`` without keep instead divides
+by the largest factor of any cell: exact shares, in a sample that the rarest cell limits.
+The draw is a hash of id and text: the same for equal rows, in every run, at every partitioning.
 
 Without targets a marginal's shares are tempered, ``share ** exponent`` and
-rescaled, which lessens a dominant source and still keeps most of it. A value that a given
+rescaled, which lessens a dominant source. A value that a given
 target doesn't list has share 0; listed values that no document has are left out and
 the others rescaled. Cells are a table that Spark joins to itself in each round, written to
 the shared folder. Documents meet it in a broadcast join if it has MAX_CELLS
@@ -21,6 +27,7 @@ general and no tokens for the last). A cell without tokens has probability 1.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +41,8 @@ TOPICS = [("legal", r"(?i)licen[cs]ed? under|all rights reserved|copyright"), ("
 EXPONENTS = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 DIMENSIONS = ["source", "lang", "topic"]
 TOLERANCE, MAX_ROUNDS, MAX_CELLS = 1e-3, 25, 100_000
+#: Tokens of the sample, as a share of the tokens that can be drawn.
+KEEP = 0.85
 
 
 def topic_of(text: Column, topics: list[tuple[str, str]] = TOPICS) -> Column:
@@ -60,9 +69,8 @@ def cells_of(docs: DataFrame, topics: list[tuple[str, str]] = TOPICS) -> DataFra
     return counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponents: dict[str, float] = EXPONENTS, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """cells with the probability of their documents. targets: for a dimension, (value, share)."""
-    cells = written(cells.where("tokens > 0"), "cells")
+def _shares(cells: DataFrame, targets: dict[str, DataFrame] | None, exponents: dict[str, float]) -> dict[str, DataFrame]:
+    """(value, share) of each dimension, as tables with the columns d and d_share."""
     total = F.sum("tokens").cast("double")
     shares = {}
     for d in DIMENSIONS:
@@ -74,24 +82,80 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponen
             own = own.join(F.broadcast(whole)).withColumn("share", F.pow(F.col("has") / F.col("all"), exponents[d]))
         own = own.join(F.broadcast(own.agg(F.sum("share").alias("sum"))))
         shares[d] = written(own.select(F.col("value").alias(d), (F.col("share") / F.col("sum")).alias(f"{d}_share")), "shares")
-    state = cells.withColumn("weight", F.col("tokens") / F.lit(1.0))
+    return shares
+
+
+def _within_reach(cells: DataFrame, shares: dict[str, DataFrame], keep: float) -> tuple[dict[str, DataFrame], float]:
+    """Shares that a sample of keep of the tokens can have, and its tokens: values that
+    have too few give all, the others the rest. The common factor of the others comes from
+    below by Newton's steps on a concave sum, a row each."""
+    able = cells
+    for d in DIMENSIONS:
+        able = able.join(shares[d].where(F.col(f"{d}_share") > 0), d, "left_semi")
+    able = written(able, "able")
+    size = keep * (able.agg(F.sum("tokens")).head()[0] or 0)
+    out = {}
+    for d in DIMENSIONS:
+        own = written(able.groupBy(d).agg(F.sum("tokens").cast("double").alias("has")).join(shares[d], d).select(d, "has", F.col(f"{d}_share").alias("share")), "values")
+        factor, full = 0.0, -1
+        while size:
+            r = own.agg(F.count(F.when(F.col("share") * factor >= F.col("has"), 1)).alias("full"), F.sum(F.when(F.col("share") * factor >= F.col("has"), F.col("has")).otherwise(0.0)).alias("given"), F.sum(F.when(F.col("share") * factor < F.col("has"), F.col("share")).otherwise(0.0)).alias("rest")).head()
+            if r.full == full or r.rest <= 0:
+                break
+            full, factor = r.full, (size - r.given) / r.rest
+        if full > 0:
+            warnings.warn(f"{full} values of {d} have fewer tokens than their share of the sample and give all they have", stacklevel=3)
+        out[d] = written(own.select(d, (F.least("has", F.col("share") * factor) / F.lit(size or 1.0)).alias(f"{d}_share")), "reach")
+    return out, size
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponents: dict[str, float] = EXPONENTS, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, keep: float | None = None) -> DataFrame:
+    """cells with the probability of their documents. targets: for a dimension, (value,
+    share). keep: the sample's share of the tokens; without it the largest factor is 1."""
+    cells = written(cells.where("tokens > 0"), "cells")
+    shares, size = _shares(cells, targets, exponents), None
+    most = F.lit(float("inf"))
+    if keep is not None:
+        shares, size = _within_reach(cells, shares, keep)
+        most = F.col("tokens") / F.lit(size or 1.0)
+    state = cells.withColumn("weight", F.col("tokens") / F.lit(size or 1.0))
+    off = 0.0
     for _ in range(max_rounds):
         for d in DIMENSIONS:
-            sums = state.groupBy(d).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(shares[d], d).select(d, F.when(F.col("sum") > 0, F.col(f"{d}_share") / F.col("sum")).otherwise(F.lit(0.0)).alias("factor"))
-            state = state.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            cut = F.col("weight") >= most
+            sums = state.groupBy(d).agg(F.sum("weight").alias("sum"), F.sum(F.when(cut, F.col("weight")).otherwise(F.lit(0.0))).alias("cut"))
+            # what cut cells lack is for the others to give; to give less, all cells give less
+            share, free = F.col(f"{d}_share"), F.col("sum") - F.col("cut")
+            more, less = (share - F.col("cut")) / F.nullif(free, F.lit(0.0)), share / F.nullif("sum", F.lit(0.0))
+            factor = sums.join(shares[d], d).select(d, F.coalesce(F.when((share > F.col("sum")) & (free > 0), more).otherwise(less), F.lit(0.0)).alias("factor"))
+            state = state.join(factor, d).withColumn("weight", F.least(F.col("weight") * F.col("factor"), most)).drop("factor")
         state = written(state, "raked")
-        off = [state.groupBy(d).agg(F.sum("weight").alias("sum")).join(shares[d], d).agg(F.max(F.abs(F.col("sum") - F.col(f"{d}_share"))).alias("off")) for d in DIMENSIONS]
-        if (off[0].union(off[1]).union(off[2]).agg(F.max("off")).head()[0] or 0.0) <= tolerance:
+        offs = [state.groupBy(d).agg(F.sum("weight").alias("sum")).join(shares[d], d).agg(F.max(F.abs(F.col("sum") - F.col(f"{d}_share"))).alias("off")) for d in DIMENSIONS]
+        off = offs[0].union(offs[1]).union(offs[2]).agg(F.max("off")).head()[0] or 0.0
+        if off <= tolerance:
             break
+    else:
+        warnings.warn(f"raking is {off:.4f} off a marginal share after {max_rounds} rounds; the tolerance is {tolerance}", stacklevel=2)
     factor = F.col("weight") / F.col("tokens")
+    if keep is not None:  # cells that no target lets in have left the state
+        out = cells.join(state.select(*DIMENSIONS, "weight"), DIMENSIONS, "left").fillna(0.0, ["weight"])
+        return written(out.select(*DIMENSIONS, "tokens", "weight", F.least(factor * F.lit(size or 0.0), F.lit(1.0)).alias("probability")), "probabilities")
     top = state.agg(F.max(factor).alias("top"))
     return written(state.join(F.broadcast(top)).select(*DIMENSIONS, "tokens", "weight", F.coalesce(factor / F.nullif("top", F.lit(0.0)), F.lit(0.0)).alias("probability")), "probabilities")
 
 
-def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: list[tuple[str, str]] = TOPICS, exponents: dict[str, float] = EXPONENTS, seed: int = 1) -> DataFrame:
+def marginals(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponents: dict[str, float] = EXPONENTS) -> DataFrame:
+    """(dimension, value, tokens, wanted, expected) of raked cells: the target share of every value and that of the sample."""
+    shares = _shares(cells, targets, exponents)
+    drawn = F.sum(F.col("tokens") * F.col("probability"))
+    whole = F.broadcast(cells.agg(drawn.alias("all")))
+    parts = [cells.groupBy(d).agg(F.sum("tokens").alias("tokens"), drawn.alias("drawn")).join(shares[d], d).join(whole).select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "tokens", F.col(f"{d}_share").alias("wanted"), (F.col("drawn") / F.nullif("all", F.lit(0.0))).alias("expected")) for d in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: list[tuple[str, str]] = TOPICS, exponents: dict[str, float] = EXPONENTS, seed: int = 1, keep: float = KEEP) -> DataFrame:
     """docs with topic_, probability_ and drawn_."""
-    cells = raked(cells_of(docs, topics), targets, exponents).select(*(F.col(d).alias(f"{d}_") for d in DIMENSIONS), F.col("probability").alias("probability_"))
+    cells = raked(cells_of(docs, topics), targets, exponents, keep=keep).select(*(F.col(d).alias(f"{d}_") for d in DIMENSIONS), F.col("probability").alias("probability_"))
     cells = F.broadcast(cells) if cells.count() <= MAX_CELLS else cells
     own = docs.withColumns({"source_": F.coalesce(F.col("source").cast("string"), F.lit("?")), "lang_": F.coalesce(F.col("lang").cast("string"), F.lit("?")), "topic_": F.coalesce(topic_of(F.col("text"), topics), F.lit("general"))})
     draw = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))

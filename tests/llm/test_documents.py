@@ -174,6 +174,33 @@ def test_sampling(spark):
     assert mixing.sampled(docs.limit(0)).count() == 0
 
 
+def test_one_document_of_a_new_source_leaves_the_sample(spark):
+    cells = [(f"s{i}", lang, "x", 40_000 + 1000 * i) for i in range(6) for lang in ("en", "de")]
+    get = lambda rows, **more: {r[:3]: r.probability for r in mixing.raked(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), keep=0.8, **more).collect()}
+    before, after = get(cells), get([*cells, ("new", "en", "x", 20)])
+    kept = lambda p: sum(p[c[:3]] * c[3] for c in cells) / sum(c[3] for c in cells)
+    assert kept(before) == pytest.approx(0.8, abs=0.005) and kept(after) == pytest.approx(0.8, abs=0.005)
+    assert after[("new", "en", "x")] == pytest.approx(1, abs=0.01) and all(after[c] == pytest.approx(p, abs=0.01) for c, p in before.items())
+
+
+def test_a_hot_source_beside_many_small_ones(spark):
+    rows = [("hot", "en", "x", 100_000), *((f"s{i}", "en", "x", 200) for i in range(1000))]
+    with pytest.warns(UserWarning, match="1000 values of source") as told:
+        out = mixing.raked(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), keep=0.85).cache()
+    assert not any("off a marginal" in str(w.message) for w in told)
+    p = {r.source: r.probability for r in out.collect()}
+    assert sum(p[r[0]] * r[3] for r in rows) == pytest.approx(0.85 * 300_000, rel=0.01) and 0.5 < p["hot"] < 0.6
+    shares = {r.value: (r.wanted, r.expected) for r in mixing.marginals(out).where("dimension = 'source'").collect()}
+    assert shares["hot"][0] < shares["hot"][1] == pytest.approx(p["hot"] * 100 / 255, rel=0.01)
+
+
+def test_targets_leave_out_what_they_do_not_list(spark):
+    rows = [(s, lang, "x", 1000) for s in "ab" for lang in ("en", "de", "fr")]
+    targets = {"lang": spark.createDataFrame([("en", 0.6), ("de", 0.4)], "value string, share double")}
+    p = {r[:2]: r.probability for r in mixing.raked(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), targets, keep=0.5).collect()}
+    assert all(p[s, "fr"] == 0 and p[s, "en"] == pytest.approx(0.6, abs=0.01) and p[s, "de"] == pytest.approx(0.4, abs=0.01) for s in "ab")
+
+
 def feistel(symbols, kind, alphabet=pii.DIGITS, key=pii.KEY):
     def stream(r, half):
         return hashlib.sha512(f"{key}|{kind}|{r}|{half}".encode()).hexdigest()
