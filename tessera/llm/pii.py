@@ -14,6 +14,10 @@ so equal values get equal pseudonyms in all documents and different ones differ.
 Length and punctuation stay, but for the length of an
 address' octets.
 
+A phone number ends before a space that another kind follows; with country code 1 it
+has ten digits. After other codes, whose numbers differ in length, a short plain number
+behind a space can't be told from a last group and is taken as one.
+
 A null text stays null, an empty one empty; texts with neither a digit nor an @ are
 not searched. Rows are independent: repeated ones change alike, and other columns pass through.
 """
@@ -35,9 +39,21 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 YMD = r"(?<![0-9])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9])"
 DMY = r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9-])"
 ACCOUNT = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,128}(?![0-9A-Za-z])"
+#: What a phone number doesn't go on into over a space: the beginning of another kind. Without groups to refer to, as these are counted in PATTERN.
+DATE_AHEAD = "|".join(rf"[0-9]{{4}}{m}[0-9]{{2}}{m}[0-9]{{2}}(?![0-9])|[0-9]{{2}}{m}[0-9]{{2}}{m}[0-9]{{4}}(?![0-9])" for m in ("-", "/", r"\."))
+US = r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9-])"
+AHEAD = "|".join((EMAIL, TOKEN, DATE_AHEAD, IPV4, SSN, US))
+#: An account number whose digits can't be the phone's own next groups, and any.
+CARD_AHEAD = r"[0-9]{13,19}(?![0-9A-Za-z])|[0-9]{4}(?:[ -][0-9]{4}){3}(?! ?[0-9A-Za-z])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?! ?[0-9A-Za-z])"
+GROUP, LAST_GROUP = (rf"(?:[.-]?| (?!{AHEAD}|{card}))[0-9]{{2,4}}" for card in (CARD_AHEAD, ACCOUNT))
+#: Country code 1 has ten digits after it, whatever follows.
+PHONE = (
+    r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    rf"|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:{GROUP}){{2}}(?:{LAST_GROUP})?(?![0-9])"
+    rf"|(?<![0-9])\([0-9]{{3}}\) ?[0-9]{{3}}[-. ][0-9]{{4}}(?![0-9])|(?<![0-9.-]){US}"
+)
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9]{1,4})?(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, IBAN, TOKEN, YMD, DMY, IPV4, SSN, PHONE, ACCOUNT))
 KINDS = {"email": EMAIL, "token": TOKEN, "date": f"{YMD}|{DMY}", "ip": IPV4, "ssn": SSN, "phone": PHONE, "account": ACCOUNT, "iban": IBAN}

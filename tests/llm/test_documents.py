@@ -248,6 +248,21 @@ def test_pseudonyms_match_brute_force(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_a_phone_number_ends_where_another_value_begins(spark):
+    phones = ["+1 (826) 555-4081", "+44 20 7946 0958", "+49 30123456", "+49 30 1234 5678"]
+    others = ["190.137.223.204", "2021-03-04", "04/03/2021", "04.03.2021", "123-45-6789", "4929 1234 5678 9012", "4929123456789012", "3782 822463 10005", "555-123-4567", "12ab34cd56ef7890", "12bob@x.example.com", "GB29 NWBK 6016 1331 9268 19"]
+    plain = ["+1 (826) 555-4081 24 hours", "+1 826 555 4081 2024", "+18265554081 24", "+1 (826) 555-4081"]
+    texts = [*phones, *others, *plain, *(f"{p} {o}" for p in phones for o in others), *(f"{p} {o} 24 hours" for p in phones for o in others[:5])]
+    out = {r.before: r.text for r in pii.pseudonymised(spark.createDataFrame([(t, t) for t in texts], "before string, text string")).collect()}
+    assert all(out[v] != v for v in [*phones, *others])
+    for p in phones:
+        assert [out[f"{p} {o}"] for o in others] == [f"{out[p]} {out[o]}" for o in others]
+        assert [out[f"{p} {o} 24 hours"] for o in others[:5]] == [f"{out[p]} {out[o]} 24 hours" for o in others[:5]]
+    ten = feistel("8265554081", "phone")
+    assert [re.sub(r"\D", "", out[t])[:11] for t in plain] == ["1" + ten] * 4
+    assert [out[t].split()[-1] for t in plain[:3]] == ["hours", "2024", "24"] and " 24 hours" in out[plain[0]]
+
+
 def test_permutations_are_bijective(spark):
     numbers = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p"))
     assert numbers.distinct().count() == 1000
