@@ -7,9 +7,11 @@ distance (square root of the divergence, base 2, so 0..1) of two histograms,
 character classes and common words, from the histograms of all texts of that
 language. References cover every row; each document weighs the same in them, so
 a few long ones don't decide. A short text's histogram strays more by chance, so
-the limit for classes is ``class_distance + 1 / sqrt(characters)``. Guards: a text below ``min_chars`` non-space
-characters or ``min_words`` occurrences of common words isn't judged by the one
-or the other; so texts of languages without a list aren't judged by these. All languages
+the limits are ``class_distance + 1 / sqrt(characters)`` and ``word_distance + 2 / sqrt(words)``.
+The words' histogram has a place for all other words, so a text with few or none of its
+language's common words is far from the others. Guards are lengths: a text below ``min_chars`` non-space
+characters or ``min_words`` words isn't judged by the one
+or the other; texts of languages without a list aren't judged by words. All languages
 outside the list share one reference of character classes, so the references
 are a table of a bounded size.
 
@@ -42,7 +44,7 @@ CLASSES = ["lower", "upper", "digit", "symbol", "punctuation", "other"]
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, WIDTH = 10, 20, 5
 #: Distances from which a text is rejected; lengths below which a histogram isn't judged.
-CLASS_DISTANCE, WORD_DISTANCE, MIN_CHARS, MIN_COMMON = 0.15, 0.7, 200, 20
+CLASS_DISTANCE, WORD_DISTANCE, MIN_CHARS, MIN_LENGTH = 0.15, 0.08, 200, 20
 
 _CLASS = np.full(256, 5, np.int8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -85,11 +87,12 @@ def _counted(common: dict[str, list[str]], width: int):
                     text = s.data[a:b].tobytes()
                     lines = [x for x in text.split(b"\n") if x.strip()] if b"\n" in text else []
                     lang = langs[s.first + row]
-                    found = np.zeros(wide, np.int64)
+                    found = np.zeros(wide + 1, np.int64)
                     if own := places.get(lang):
                         for w in re.findall(rb"[a-z\x80-\xff]+", text.lower()):
                             if (at := own.get(w)) is not None:
                                 found[at] += 1
+                        found[wide] = max(j - i - found.sum(), 0)
                     for k, v in zip(out, (j - i, classes.sum(), classes[3], len(lines) - len(set(lines)), np.count_nonzero(np.cumsum(edge)), classes, found)):
                         out[k].append(v)
             columns = [pa.array(out[k], pa.int64()) for k in list(out)[:5]] + [pa.array(out[k], pa.list_(pa.int64())) for k in ("classes", "common")]
@@ -128,15 +131,15 @@ def references(counted: DataFrame) -> DataFrame:
     return kinds[0].join(kinds[1], "lang")
 
 
-def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_COMMON, **columns: str) -> DataFrame:
+def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, **columns: str) -> DataFrame:
     """Base counts, distances (null: not judged) and the verdict of every row of docs."""
     counted = written(counts(docs, common, **columns), "counted")
     refs = F.broadcast(references(counted))  # a row for each listed language and one for the others
     out = counted.join(refs, "lang", "left")
-    found = F.aggregate("common", F.lit(0).cast("long"), lambda s, v: s + v)
-    far = {"class_distance": F.when(F.col("word_chars") >= min_chars, distance("classes", "class_ref")), "word_distance": F.when(found >= min_words, distance("common", "word_ref"))}
+    far = {"class_distance": F.when(F.col("word_chars") >= min_chars, distance("classes", "class_ref")), "word_distance": F.when(F.col("n_words") >= min_words, distance("common", "word_ref"))}
     out = out.withColumns(far).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    near = (F.coalesce("class_distance", F.lit(0.0)) <= F.lit(class_distance) + 1 / F.sqrt(F.greatest("word_chars", F.lit(1)))) & (F.coalesce("word_distance", F.lit(0.0)) <= word_distance)
+    stray = lambda n: 1 / F.sqrt(F.greatest(n, F.lit(1)))
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= F.lit(class_distance) + stray("word_chars")) & (F.coalesce("word_distance", F.lit(0.0)) <= F.lit(word_distance) + 2 * stray("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & near).drop("classes", "common", "class_ref", "word_ref", "lang")
 
 

@@ -57,6 +57,17 @@ def test_divergence_rejects_symbols_and_keeps_prose(spark):
     assert quality_rules.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_a_long_text_without_common_words_is_judged(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("bcfgjkpvwx"), 6))
+    prose = lambda n: " ".join(rng.choice(quality_rules.COMMON["en"]) if rng.random() < 0.3 else word() for _ in range(n))
+    rows = [(i, prose(60 + 10 * i), "en") for i in range(40)]
+    rows += [(100, " ".join(word() for _ in range(120)), "en"), (101, " ".join(["the", *(word() for _ in range(400))]), "en"), (102, " ".join(word() for _ in range(400)), "xx")]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i].kept for i in (100, 101)] == [False, False] and got[102].word_distance is None and got[100].word_distance > 0.3
+    assert all(got[i].kept for i in range(40))
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, ""), (None, "Short one."), (50, "<s> </s> <unk> hello")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
