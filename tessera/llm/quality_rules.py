@@ -11,12 +11,12 @@ the limits are ``class_distance + 1 / sqrt(characters)`` and ``word_distance + 2
 The words' histogram has a place for all other words, so a text with few or none of its
 language's common words is far from the others. Guards are lengths: a text below ``min_chars`` non-space
 characters or ``min_words`` words isn't judged by the one
-or the other; texts of languages without a list aren't judged by words. All languages
-outside the list share one reference of character classes, so the references
-are a table of a bounded size.
+or the other; texts of languages without a list aren't judged by words. Every
+language, by its value as it stands, has a reference of character classes of its own; a
+null one, or one with fewer than ``min_docs`` texts, isn't judged by classes. References
+are a row for each language and broadcast only up to MAX_LANGS of them.
 
-A null text is empty: no words, base_failed. A null language counts as other.
-Ties don't arise; equal rows get equal verdicts.
+A null text is empty: no words, base_failed. Ties don't arise; equal rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -39,12 +39,13 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "plus", "pas", "au", "sur"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"],
 }
-OTHER = "*"
 CLASSES = ["lower", "upper", "digit", "symbol", "punctuation", "other"]
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, WIDTH = 10, 20, 5
 #: Distances from which a text is rejected; lengths below which a histogram isn't judged.
 CLASS_DISTANCE, WORD_DISTANCE, MIN_CHARS, MIN_LENGTH = 0.15, 0.08, 200, 20
+#: Texts below which a language has no reference of classes; references that are broadcast.
+MIN_DOCS, MAX_LANGS = 20, 1000
 
 _CLASS = np.full(256, 5, np.int8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
@@ -96,8 +97,7 @@ def _counted(common: dict[str, list[str]], width: int):
                     for k, v in zip(out, (j - i, classes.sum(), classes[3], len(lines) - len(set(lines)), np.count_nonzero(np.cumsum(edge)), classes, found)):
                         out[k].append(v)
             columns = [pa.array(out[k], pa.int64()) for k in list(out)[:5]] + [pa.array(out[k], pa.list_(pa.int64())) for k in ("classes", "common")]
-            lang = pa.array([x if x in common else OTHER for x in langs], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lang, *columns], names=["doc_id", "lang", *out])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns], names=["doc_id", "lang", *out])
 
     return run
 
@@ -120,21 +120,24 @@ def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON, width: int =
     return own.mapInArrow(_counted(common, width), f"doc_id long, lang string, {whole}")
 
 
-def references(counted: DataFrame) -> DataFrame:
-    """(lang, class_ref, word_ref): the mean histogram of each language's texts."""
-    kinds = []
+def references(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(lang, class_ref, word_ref): the mean histogram of each language's texts; no
+    class_ref for a language with fewer than min_docs texts with characters."""
+    counted, kinds = counted.where("lang is not null"), []
     for name, ref in (("classes", "class_ref"), ("common", "word_ref")):
         n = F.aggregate(name, F.lit(0).cast("long"), lambda s, v: s + v)
         flat = counted.select("lang", F.posexplode(F.transform(name, lambda v: v / F.nullif(n, F.lit(0).cast("long")))).alias("i", "share"))
         mean = flat.groupBy("lang", "i").agg(F.avg(F.round("share", 9).cast("decimal(20,9)")).cast("double").alias("share"))
         kinds.append(mean.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("share", F.lit(0.0)).alias("share")))), lambda x: x["share"]).alias(ref)))
-    return kinds[0].join(kinds[1], "lang")
+    n_docs = counted.groupBy("lang").agg(F.count(F.when(F.col("word_chars") > 0, 1)).alias("n_docs"))
+    return kinds[0].join(kinds[1], "lang").join(n_docs, "lang").select("lang", F.when(F.col("n_docs") >= min_docs, F.col("class_ref")).alias("class_ref"), "word_ref")
 
 
-def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, **columns: str) -> DataFrame:
+def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, min_docs: int = MIN_DOCS, **columns: str) -> DataFrame:
     """Base counts, distances (null: not judged) and the verdict of every row of docs."""
     counted = written(counts(docs, common, **columns), "counted")
-    refs = F.broadcast(references(counted))  # a row for each listed language and one for the others
+    refs = written(references(counted, min_docs), "references")
+    refs = F.broadcast(refs) if refs.count() <= MAX_LANGS else refs
     out = counted.join(refs, "lang", "left")
     far = {"class_distance": F.when(F.col("word_chars") >= min_chars, distance("classes", "class_ref")), "word_distance": F.when(F.col("n_words") >= min_words, distance("common", "word_ref"))}
     out = out.withColumns(far).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))

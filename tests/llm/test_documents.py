@@ -68,6 +68,16 @@ def test_a_long_text_without_common_words_is_judged(spark):
     assert all(got[i].kept for i in range(40))
 
 
+def test_languages_outside_the_list_have_their_own_class_reference(spark):
+    rng = np.random.default_rng(6)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 6)) for _ in range(150))
+    rows = [(i, text("абвгдежз"), "ru") for i in range(30)] + [(i, text("abcdefgh"), "pl") for i in range(30, 60)]
+    rows += [(60, text("ABCDEFGH"), "pl"), (61, text("абвг"), "pl"), (70, text("ABCDEFGH"), "EN"), (71, text("ABCDEFGH"), None)]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if not r.kept} == {60, 61}
+    assert got[70].class_distance is None and got[71].class_distance is None
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, ""), (None, "Short one."), (50, "<s> </s> <unk> hello")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
