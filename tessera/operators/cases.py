@@ -41,7 +41,7 @@ def chunk_text(kind: str, fields: list[tuple[str, Column]], lists: list[tuple[st
 
 def numbered(text: Column) -> Column:
     """``L001: line`` for each line."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.concat(F.lit("L"), F.lpad((i + 1).cast("string"), 3, "0"), F.lit(": "), x)), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.concat(F.format_string("L%03d: ", i + 1), x)), "\n")
 
 
 def deltas(answer: Column) -> Column:

@@ -65,9 +65,9 @@ def pages_of(text: Column) -> Column:
 
 
 def segment_ids(rows: DataFrame, key: str, order: list[str], prefix: str) -> DataFrame:
-    """rows with chunk_id prefix__key__0001, numbered in order."""
+    """rows with chunk_id prefix__key__0001, numbered in order, with more digits from 10000 on."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("chunk_id", F.concat_ws("__", F.lit(prefix), F.col(key).cast("string"), F.lpad(n.cast("string"), 4, "0")))
+    return rows.withColumn("chunk_id", F.concat_ws("__", F.lit(prefix), F.col(key).cast("string"), F.format_string("%04d", n)))
 
 
 def labelled_text(parts: list[tuple[str, Column]]) -> Column:

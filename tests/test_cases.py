@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.operators import cases, contracts
+from tessera.operators import cases, chunking, contracts
 from tessera.plans.index import IndexTable
 from tessera.streaming.incremental import chunk_stream, upsert_stream
 
@@ -37,6 +37,13 @@ def test_deltas_match_a_loop(spark, answer):
     assert value(spark, cases.deltas(F.col("text")), answer) == plain_deltas(answer)
 
 
+def test_numbers_are_not_cut(spark):
+    lines = value(spark, cases.numbered(F.col("text")), "\n".join("x" * 2345)[: 2 * 2345 - 1]).split("\n")
+    assert [lines[i] for i in (0, 998, 999, 1000, 2344)] == ["L001: x", "L999: x", "L1000: x", "L1001: x", "L2345: x"]
+    ids = {r.i: r.chunk_id for r in chunking.segment_ids(spark.range(1, 10012).select(F.lit(7).alias("doc_id"), F.col("id").alias("i")), "doc_id", ["i"], "course").collect()}
+    assert len(set(ids.values())) == 10011 and [ids[i] for i in (1, 9999, 10000, 10001)] == ["course__7__0001", "course__7__9999", "course__7__10000", "course__7__10001"]
+
+
 def test_notes(spark):
     notes = "intro\n教学时间：5分钟\n教学目标：理解需求\n第二行\n【教学方式】：讲授"
     assert value(spark, cases.notes_kept(F.col("text")), notes) == "intro\n教学目标：理解需求\n第二行"
