@@ -1,6 +1,7 @@
 """Expected values of the operators on inline tables."""
 
-
+import hashlib
+import re
 import zipfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import answer, chunking, classify, evaluation, locate, normalize, operations, retrieval
+from tessera.plans import text_queries
 from tessera.plans.index import IndexTable
 from tessera.sources import chunks as src
 
@@ -203,3 +205,14 @@ def test_text_functions(spark):
     assert value(spark, tx.redacted(F.col("text")), "mail a@b.cn call 13812345678 token: abc") == "mail [email] call [phone] [secret]"
     assert value(spark, tx.unfenced(F.col("text")), '```json\n{"a":1}\n```') == '{"a":1}'
     assert value(spark, tx.bounded(F.col("text"), 15), "x" * 40) == "xxxxx\n...\nxxxxx"
+
+
+def test_redaction_query_has_all_rules(spark, tmp_path):
+    texts = ["mail a@b.cn call 13812345678", "id 11010519491231002X, 110105194912310021.", "no 213812345678 or 1381234567", "api_key = x1 13900000000,13900000001", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.digest, r.n_chars) for r in text_queries.pii_redaction(spark, f"file://{tmp_path}").collect()}
+    rules = [(r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[:=]\s*\S+", "[secret]"), (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), (r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "[phone]"), (r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])", "[id]")]
+    for i, text in enumerate(texts):
+        for pattern, name in rules if text else []:
+            text = re.sub(pattern, name, text)
+        assert got[i] == ((hashlib.md5(text.encode()).hexdigest(), len(text)) if text is not None else (None, None))
