@@ -8,7 +8,8 @@ conflict, so the tightest compatible one; without any it opens a bin. Bins carry
 bitmaps: of the duplicate clusters they hold, of which none may come twice, and
 for k = 1.. of the sources they hold k pieces of, so max_per_source is one bit.
 
-Tokens are words (white space apart) unless a column gives counts. Null and
+Tokens are words (white space apart) unless tokens_col gives counts. Clusters are exact copies
+but for case and white space unless cluster_col gives others, as the components of near copies. Null and
 empty texts are pieces of 0 tokens, which fit anywhere. Pieces of one document are
 one cluster. Repeated rows conflict like other copies. Ties go to the smaller id, piece, and the older bin.
 """
@@ -30,14 +31,16 @@ CAPACITY, MAX_PER_SOURCE, SHARD_PIECES = 4096, 4, 1024
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each text, and a digest of them lower-cased: its duplicate cluster."""
+    """Words of each text, and a digest of them lower-cased: its duplicate cluster; a column that is there already stays."""
     for batch in batches:
         n, cluster = [], []
         for text in batch.column("text"):
             words = (text.as_py() or "").lower().encode().split()
             n.append(len(words))
             cluster.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), pa.array(cluster, pa.int64())], names=["doc_id", "source", "n_tokens", "cluster"])
+        own = {"n_tokens": pa.array(n, pa.int64()), "cluster": pa.array(cluster, pa.int64())}
+        own |= {k: batch.column(k) for k in own if k in batch.schema.names}
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *own.values()], names=["doc_id", "source", "n_tokens", "cluster"])
 
 
 def best_fit(sizes, clusters, sources, capacity: int, max_per_source: int) -> tuple[list[int], list[int]]:
@@ -71,11 +74,16 @@ def best_fit(sizes, clusters, sources, capacity: int, max_per_source: int) -> tu
 def packed(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_pieces: int = SHARD_PIECES, cluster_col: str | None = None, tokens_col: str | None = None) -> DataFrame:
     """(doc_id, piece, start, n_tokens, source, bin, offset): the bin of every piece
     of every row of docs and its place in it. bin is unique over shards."""
-    text = F.col("text").cast("string").alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("source"), text)
-    if cluster_col and tokens_col:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("source"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)).alias("n_tokens"), F.xxhash64(cluster_col).alias("cluster"))
-    else:
+    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.coalesce(F.col("source").cast("string"), F.lit("?"))}
+    given = {}
+    if tokens_col:
+        given["n_tokens"] = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long"))
+    if cluster_col:
+        given["cluster"] = F.xxhash64(cluster_col)
+    if len(given) < 2:
+        own["text"] = F.col("text").cast("string")
+    rows = docs.select(*(v.alias(k) for k, v in (own | given).items()))
+    if len(given) < 2:
         rows = rows.mapInArrow(_measured, "doc_id long, source string, n_tokens long, cluster long")
     cuts = F.greatest(F.ceil(F.col("n_tokens") / capacity).cast("int"), F.lit(1))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), cuts - 1))).withColumn("start", F.col("piece") * F.lit(capacity).cast("long"))

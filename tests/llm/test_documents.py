@@ -142,6 +142,15 @@ def test_packing(spark):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
+def test_packing_takes_clusters_and_tokens_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 7, 5), (2, "a b d", "s", 7, 6), (3, "e", "s", 8, 7)], "doc_id long, text string, source string, component_id long, n long")
+    near = {r.doc_id: r for r in packing.packed(docs, cluster_col="component_id").collect()}
+    assert near[1].bin != near[2].bin and [near[i].n_tokens for i in (1, 2, 3)] == [3, 3, 1]
+    assert {r.doc_id: r.n_tokens for r in packing.packed(docs, tokens_col="n").collect()} == {1: 5, 2: 6, 3: 7}
+    both = {r.doc_id: r for r in packing.packed(docs, cluster_col="component_id", tokens_col="n").collect()}
+    assert both[1].bin != both[2].bin and both[3].n_tokens == 7 and len({r.bin for r in packing.packed(docs).collect()}) == 1
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     sizes, clusters, sources = [60, 50, 45, 40, 40], "abcac", "sssst"
 
