@@ -2,15 +2,16 @@
 
 Quality rules drop what they reject; of each component of near copies the document
 with the smallest id stays; personal data get pseudonyms; sources, languages and topics are
-sampled to their targets; what is left is packed into sequences. A row with a null id is
-kept by the second stage, as it names no component.
+sampled to their targets; what is left is packed into sequences. Verdicts belong to rows: they
+meet them by id, language and text, nulls included. An id names a document, so of repeated rows with one id
+one stays; a row without an id has its text for one, behind all ids.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import sampled
@@ -22,13 +23,19 @@ from tessera.llm.shared import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rejected = judged(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    keys = {"id_": F.col("doc_id"), "lang_": F.col("lang"), "digest_": F.md5("text")}
+    rows = docs.withColumns(keys)
+    rejected = judged(rows, carry=tuple(keys)).where(~F.col("kept")).select(*keys).distinct()
+    same = [rows[k].eqNullSafe(rejected[k]) for k in keys]
+    return rows.join(rejected, same, "left_anti").drop(*keys)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    behind = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = docs.withColumn("row_", F.coalesce(F.col("doc_id").cast("long"), behind))
+    copies = ngram_components(rows, id_col="row_").where("component_id <> doc_id").select(F.col("doc_id").alias("row_")).distinct()
+    first = Window.partitionBy("row_").orderBy(F.md5("text"))
+    return rows.join(copies, "row_", "left_anti").withColumn("k_", F.row_number().over(first)).where("k_ = 1").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def _letters_beyond_ascii(data: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def _counted(common: dict[str, list[str]], width: int):
+def _counted(common: dict[str, list[str]], width: int, carry: tuple[str, ...] = ()):
     wide = max([1, *map(len, common.values())])
     places = {lang: {w.encode(): i for i, w in enumerate(words)} for lang, words in common.items()}
 
@@ -97,7 +97,7 @@ def _counted(common: dict[str, list[str]], width: int):
                     for k, v in zip(out, (j - i, classes.sum(), classes[3], len(lines) - len(set(lines)), np.count_nonzero(np.cumsum(edge)), classes, found)):
                         out[k].append(v)
             columns = [pa.array(out[k], pa.int64()) for k in list(out)[:5]] + [pa.array(out[k], pa.list_(pa.int64())) for k in ("classes", "common")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *columns], names=["doc_id", "lang", *out])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "lang", *carry)), *columns], names=["doc_id", "lang", *carry, *out])
 
     return run
 
@@ -113,11 +113,12 @@ def distance(a, b):
     return F.when((total(F.col(a)) > 0) & (total(F.col(b)) > 0), far)
 
 
-def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Base counts and the two histograms of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+def counts(docs: DataFrame, common: dict[str, list[str]] = COMMON, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Base counts and the two histograms of every row, with the columns in carry."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), *carry)
     whole = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
-    return own.mapInArrow(_counted(common, width), f"doc_id long, lang string, {whole}")
+    more = "".join(f"{c} {own.schema[c].dataType.simpleString()}, " for c in carry)
+    return own.mapInArrow(_counted(common, width, carry), f"doc_id long, lang string, {more}{whole}")
 
 
 def references(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -133,9 +134,9 @@ def references(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return kinds[0].join(kinds[1], "lang").join(n_docs, "lang").select("lang", F.when(F.col("n_docs") >= min_docs, F.col("class_ref")).alias("class_ref"), "word_ref")
 
 
-def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, min_docs: int = MIN_DOCS, **columns: str) -> DataFrame:
-    """Base counts, distances (null: not judged) and the verdict of every row of docs."""
-    counted = written(counts(docs, common, **columns), "counted")
+def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:
+    """Base counts, distances (null: not judged) and the verdict of every row of docs, with its columns in carry."""
+    counted = written(counts(docs, common, carry=carry, **columns), "counted")
     refs = written(references(counted, min_docs), "references")
     refs = F.broadcast(refs) if refs.count() <= MAX_LANGS else refs
     out = counted.join(refs, "lang", "left")

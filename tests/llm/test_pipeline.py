@@ -52,6 +52,20 @@ def test_pipeline(spark, tmp_path):
     assert pii.ROUNDS % 2 == 0
 
 
+def test_verdicts_belong_to_rows(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(5)) for _ in range(60))
+    long = [text() for _ in range(8)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(long[:6])]
+    rows += [(None, "too short", "en", "s", 9), (None, None, None, None, None), (None, long[6], "en", "s", 1), (None, long[6], "en", "s", 1), (None, long[0], "en", "s", 1)]
+    rows += [rows[1], rows[1], (9, "too short", "en", "s", 9), (9, long[7], "en", "s", 1)]
+    docs = table(spark, f"file://{tmp_path}", rows)
+    good = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in good.collect()) == sorted(r[1] for r in rows if r[1] not in (None, "too short"))
+    out = corpus_pipeline.ngram_jaccard_join(spark, good, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([*((str(i), t) for i, t in enumerate(long[:6])), ("None", long[6]), ("9", long[7])])
+
+
 def test_pipeline_of_no_rows(spark, tmp_path):
     table(spark, f"file://{tmp_path}", [])
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
