@@ -21,17 +21,18 @@ _rng = np.random.default_rng(20240611)
 _LETTER = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWERED = _LETTER.copy()
 _LOWERED[65:91] = _LETTER[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C13)
-_powers = np.ones(1, np.uint64)
+_places = np.ones(1, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the base, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1024)
-        _powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _BASE, np.uint64), dtype=np.uint64)])
-    return _powers[:n]
+def places(n: int) -> np.ndarray:
+    """The first n of a fixed row of unrelated odd numbers, one for each place in a
+    word. (Powers of one base won't do: modulo 2**64 some words of a few hundred letters
+    have the digest of others, whatever the base.)"""
+    global _places
+    if len(_places) < n:
+        size = max(n, 2 * len(_places), 1024)
+        _places = mix((np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C13)) | np.uint64(1)
+    return _places[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside:
     data, inside, steps = data[first:], inside[first:], np.diff(starts, append=len(data))
     place = np.arange(len(data), dtype=np.int32) - np.repeat((starts - first).astype(np.int32), steps)
     letters = (_LOWERED if lower else _LETTER)[data]
-    letters *= powers(int(steps.max()) + 1)[place]
+    letters *= places(int(steps.max()) + 1)[place]
     letters *= inside
     return mix(np.add.reduceat(letters, starts - first) + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
