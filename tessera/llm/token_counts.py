@@ -3,8 +3,10 @@
 The cache is a Parquet table (digest, version, n_tokens): SHA-256 of the
 normalised content and of the tokenizer file. Normalised means that a null text
 is empty; anything more could change a count. Contents are joined to the cache by
-digest, each distinct miss is encoded once, wherever its copies are, and appended; then
-all rows take their counts from the cache. A second run over the same texts encodes nothing.
+digest, each distinct miss is encoded once, wherever its copies are (equal rows too), and appended; then
+all rows take their counts from the cache. A second run over the same texts encodes nothing
+and shuffles no text: up to MAX_MISSES missing digests, a bound that is counted, are broadcast to the texts;
+beyond it, texts meet their digests in a shuffle, of which each task sends a text once.
 If two runs append the same digest, both rows say the same and one is read.
 
 Empty texts have 0 tokens. Long texts are encoded whole. Repeated rows stay rows.
@@ -27,6 +29,8 @@ TOKENIZER, LIMIT = "piece_bpe_32k.model", 4096
 CACHE = "digest binary, version string, n_tokens long"
 #: Characters that one call of the tokenizer encodes, but for a longer single text.
 CALL = 1 << 20
+#: Missing digests that are broadcast, of 32 bytes each.
+MAX_MISSES = 500_000
 
 
 def tokenizer_file(name: str = TOKENIZER) -> bytes:
@@ -68,9 +72,9 @@ def _encoded(name: str, file: bytes, version: str):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs. cache: the
-    table's path, in storage that the cluster shares; it may not exist yet."""
+def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs, then its columns in carry.
+    cache: the table's path, in storage that the cluster shares; it may not exist yet."""
     spark, file = docs.sparkSession, tokenizer_file(tokenizer)
     version = hashlib.sha256(file).hexdigest()
     cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -79,21 +83,28 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, cache: str | None
         rows = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
         return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
     texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    keys = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "keys")
-    misses = keys.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("first"))
+    keys = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest", *carry), "keys")
+    misses = keys.select("digest").distinct()
     try:
         misses = misses.join(known(), "digest", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    first = misses.select(F.col("first.doc_id").alias("first_id"), F.col("digest").alias("first_digest"))
-    new = texts.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")), "left_semi")
-    new.select("digest", "text").mapInArrow(_encoded(tokenizer, file, version), CACHE).write.mode("append").parquet(cache)
+    misses = written(misses, "misses")
+    n = misses.count()
+    if n <= MAX_MISSES:
+        texts = texts.join(F.broadcast(misses), "digest", "left_semi")
+    if n:
+        new = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        new = new if n <= MAX_MISSES else new.join(misses, "digest", "left_semi")
+        new.select("digest", "text").mapInArrow(_encoded(tokenizer, file, version), CACHE).write.mode("append").parquet(cache)
+    elif not keys.head(1):
+        spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
     # written first, so that this join has a shuffle of its own and Spark can split a frequent text in it
     counts = written(known(), "counts")
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), *carry)
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
