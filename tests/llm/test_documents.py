@@ -89,11 +89,23 @@ def test_token_counts_and_cache(spark, tmp_path):
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in out) == expected
         assert all(r.over_limit == (r.n_tokens > 100) for r in out)
         assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})  # nothing is encoded again
+    assert token_counts.token_counts(docs, carry=()).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     other = token_counts.token_counts(docs, tokenizer="byte_bpe_50k.json", cache=cache).collect()
     assert len(other) == len(rows) and len({r.version for r in spark.read.parquet(cache).collect()}) == 2
     assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_repeated_rows_are_encoded_once(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(token_counts, "MAX_MISSES", most)
+    rows = [(5, "some equal rows", 1)] * 50 + [(None, "some equal rows", 2)] * 50 + [(i, f"text {i}", 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(8)
+    cache = f"file://{tmp_path}/cache"
+    for more in (docs, docs.unionByName(spark.createDataFrame([(1, "new", 0)] * 9, docs.schema))):
+        assert token_counts.token_counts(more, cache=cache).count() == more.count()
+        assert spark.read.parquet(cache).count() == 21 + (more is not docs)
+
+
 def test_audio_round_trip(spark):
     rows = [(i, t) for i, t in enumerate([*TEXTS, "x" * 64, "word " * 3000])]
     out = {r.doc_id: r for r in audio.audio_features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -128,7 +140,7 @@ def test_packing(spark):
     rows = [(i, " ".join(["w"] * int(n)) + f" {i if i % 3 else 'same'}", f"s{i % 2 if i % 5 else 0}") for i, n in enumerate(rng.integers(0, 60, 300))]
     rows += [(900, None, None), (901, "", "s1"), (902, "long " * 250, "s1"), (None, "x y", "s0"), (1, rows[1][1], "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = packing.packed(docs, capacity=100, max_per_source=2, shard_pieces=64).toPandas()
+    out = packing.packed(docs, capacity=100, max_per_source=2, shard_pieces=64, tokenizer=None).toPandas()
     words = {(d, i): len((t or "").split()) for i, (d, t, _) in enumerate(rows)}
     assert out["n_tokens"].sum() == sum(words.values())
     assert len(out) == sum(max(1, -(-n // 100)) for n in words.values())
@@ -144,15 +156,40 @@ def test_packing(spark):
 
 def test_packing_takes_clusters_and_tokens_one_by_one(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", 7, 5), (2, "a b d", "s", 7, 6), (3, "e", "s", 8, 7)], "doc_id long, text string, source string, component_id long, n long")
-    near = {r.doc_id: r for r in packing.packed(docs, cluster_col="component_id").collect()}
+    near = {r.doc_id: r for r in packing.packed(docs, cluster_col="component_id", tokenizer=None).collect()}
     assert near[1].bin != near[2].bin and [near[i].n_tokens for i in (1, 2, 3)] == [3, 3, 1]
     assert {r.doc_id: r.n_tokens for r in packing.packed(docs, tokens_col="n").collect()} == {1: 5, 2: 6, 3: 7}
     both = {r.doc_id: r for r in packing.packed(docs, cluster_col="component_id", tokens_col="n").collect()}
     assert both[1].bin != both[2].bin and both[3].n_tokens == 7 and len({r.bin for r in packing.packed(docs).collect()}) == 1
 
 
-def test_best_fit_takes_the_tightest_compatible_bin():
-    sizes, clusters, sources = [60, 50, 45, 40, 40], "abcac", "sssst"
+def test_null_ids_and_repeated_rows_spread_over_shards(spark):
+    rows = [(None, f"text {i}", "s") for i in range(3000)] + [(7, "equal", "s")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = packing.packed(docs, shard_pieces=200, tokenizer=None).toPandas()
+    sizes = out.groupby(out["bin"] // 2**32).size()
+    assert len(out) == 6000 and len(sizes) == 30 and sizes.max() < 300
+    equal = out[out.doc_id == 7]
+    assert len(equal) == 3000 and equal["bin"].nunique() == 3000
+    same = packing.packed(docs.repartition(7), shard_pieces=200, tokenizer=None).toPandas()
+    assert sorted(out["bin"] * 10_000 + out["offset"]) == sorted(same["bin"] * 10_000 + same["offset"])
+
+
+def test_packing_counts_tokens_and_fills_bins(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = packing.packed(docs).toPandas()
+    count = token_counts.counter("piece_bpe_32k.model", token_counts.tokenizer_file())
+    assert out["n_tokens"].sum() == sum(count([r.text or ""])[0] for r in docs.select("text").collect())
+    own = packing.packed(docs, max_per_source=1 << 10).toPandas()
+    fill = own["n_tokens"].sum() / (own["bin"].nunique() * packing.CAPACITY)
+    assert (out.groupby("bin")["n_tokens"].sum() <= packing.CAPACITY).all() and fill > 0.9
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_takes_the_tightest_compatible_bin(seed):
+    rng = np.random.default_rng(seed)
+    n = 5 if not seed else 400
+    sizes, clusters, sources = ([60, 50, 45, 40, 40], "abcac", "sssst") if not seed else (sorted((int(x) for x in rng.integers(0, 101, n)), reverse=True), rng.integers(0, 40, n).tolist(), rng.integers(0, 5, n).tolist())
 
     def brute():
         bins, out = [], []
