@@ -12,13 +12,17 @@ Each window picks the longest of them (the least name among equals; a lower
 round's, at last a word, where none is settled). Documents are sent to that
 name, one row for each stretch of windows with the same pick, with digests of
 the windows. Names that documents share reveal the repeats; the windows' digests
-verify them (name and digest together are 112 bits). What repeats inside one
-slice of a task is settled there and only its smallest document goes on, so a
-passage that a third of the corpus holds costs a row for each slice.
+verify them (name and digest together are 112 bits: among 10**13 windows about one pair in 10**7 such
+corpora would agree by chance). What repeats inside one
+slice of a task is settled there and only its smallest document goes on. A task keeps
+the windows that repeated in a slice, KNOWN at most, with the smallest document so far, and settles them in later slices too;
+what it doesn't keep goes on as any other. So a passage that a third of the corpus holds
+costs a task a row or two, and no reducer gets a row for each document.
 
 A null or blank text has no words, removes nothing and keeps the empty text.
-Rows with equal ids are one document to the rule: a row removes nothing for the
-sake of another with the same id. A null id takes part in nothing.
+Windows belong to a row (its id and a hash of its text) and are compared by id:
+rows with equal ids are one document to the rule: a row removes nothing for the
+sake of another with the same id, also if their texts differ. A null id takes part in nothing. Other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -120,15 +124,41 @@ def picks(digests: np.ndarray, bounds: np.ndarray, width: int, rounds: int) -> t
 KEPT = 6
 #: Windows of one name that a task holds between batches; what is beyond goes to a join.
 HELD = 1 << 20
+#: Repeated windows that a task keeps from slice to slice.
+KNOWN = 1 << 20
+
+
+class Known:
+    """Windows that a task has seen in several documents, with the smallest of these."""
+
+    def __init__(self, most: int):
+        self.most, self.windows, self.least = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def lowered(self, window: np.ndarray, doc: np.ndarray, least: np.ndarray) -> None:
+        """least, where a smaller document is known; and the other way round."""
+        if len(self.windows):
+            i = np.minimum(np.searchsorted(self.windows, window), len(self.windows) - 1)
+            hit = self.windows[i] == window
+            i, held = i[hit], self.least.copy()
+            np.minimum.at(self.least, i, doc[hit])
+            least[hit] = np.minimum(least[hit], held[i])
+
+    def keep(self, window: np.ndarray, least: np.ndarray) -> None:
+        new = np.zeros(len(window), bool) if not len(self.windows) else self.windows[np.minimum(np.searchsorted(self.windows, window), len(self.windows) - 1)] == window
+        window, least = window[~new][: self.most - len(self.windows)], least[~new][: self.most - len(self.windows)]
+        both = np.concatenate([self.windows, window])
+        order = np.argsort(both, kind="stable")
+        self.windows, self.least = both[order], np.concatenate([self.least, least])[order]
 
 
 def _revealed(width: int, rounds: int):
-    """Rows (name, doc_id, start, n, windows): a stretch of n windows that pick a
-    name, with KEPT bytes of each window; without these, what a slice settles."""
+    """Rows (name, doc_id, row, start, n, windows): a stretch of n windows that pick a
+    name, with KEPT bytes of each window; without these, and with a name of no meaning, what a task settles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = Known(KNOWN)
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
+            ids, keys = batch.column(0).fill_null(-1).to_numpy(), batch.column(2).to_numpy()
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
                 digests = s.digests()
@@ -148,7 +178,12 @@ def _revealed(width: int, rounds: int):
                 head[1:] = window[order][1:] != window[order][:-1]
                 heads = np.flatnonzero(head)
                 least = np.empty_like(doc)
-                least[order] = np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(heads, append=len(order)))
+                times = np.diff(heads, append=len(order))
+                lowest = np.minimum.reduceat(doc[order], heads)
+                least[order] = np.repeat(lowest, times)
+                several = heads[np.maximum.reduceat(doc[order], heads) > lowest]
+                repeated.lowered(window, doc, least)
+                repeated.keep(window[order][several], least[order][several])
                 settled = least < doc
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (settled[1:] != settled[:-1]) | ((name[1:] != name[:-1]) & ~settled[1:])
@@ -158,71 +193,75 @@ def _revealed(width: int, rounds: int):
                 offsets = np.concatenate([[0], np.cumsum(np.where(gone, 0, size * KEPT))]).astype(np.int32)
                 packed = np.ascontiguousarray(window[~settled].view(np.uint8).reshape(-1, 8)[:, :KEPT])
                 held = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
-                columns = [name[heads].view(np.int64), doc[heads], start[heads].astype(np.int32), size.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), held], names=["name", "doc_id", "start", "n", "windows"])
+                spread = np.where(gone, mix(doc[heads].view(np.uint64) + start[heads].astype(np.uint64)), name[heads])
+                columns = [spread.view(np.int64), doc[heads], keys[s.first + row[heads]], start[heads].astype(np.int32), size.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), held], names=["name", "doc_id", "row", "start", "n", "windows"])
 
     return run
 
 
-def _stretches(doc: np.ndarray, start: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, n) of each run of neighbouring windows that are hit."""
-    doc, start = doc[hit], start[hit]
+def _stretches(doc, row, start, hit) -> tuple[np.ndarray, ...]:
+    """(doc, row, start, n) of each run of neighbouring windows that are hit."""
+    doc, row, start = doc[hit], row[hit], start[hit]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
     heads = np.flatnonzero(new)
-    return doc[heads], start[heads], np.diff(heads, append=len(doc))
+    return doc[heads], row[heads], start[heads], np.diff(heads, append=len(doc))
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(most: int):
     """Of rows sorted by (name, doc_id): the stretches of windows that a smaller
-    document holds, with null name; and, for names with more than HELD windows,
-    (name, doc_id, start, window) for a join (start -1: judged already)."""
+    document holds, with null name; and, for names with more than most windows,
+    (name, doc_id, row, start, window) for a join (start -1: judged already)."""
 
-    def out(doc, start, n, name=None, window=None) -> pa.RecordBatch:
+    def out(doc, row, start, n, name=None, window=None) -> pa.RecordBatch:
         null = pa.nulls(len(doc), pa.int64())
-        return pa.RecordBatch.from_arrays([null if name is None else pa.array(name), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), null if window is None else pa.array(window)], names=["name", "doc_id", "start", "n", "window"])
-
-    last, held, held_doc, over = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in batches:
-        name, doc, start, n = (batch.column(i).to_numpy() for i in range(4))
-        sizes = np.diff(np.frombuffer(batch.column(4).buffers()[1], np.int32)[batch.column(4).offset :][: len(name) + 1]) if len(name) else n
-        done = sizes == 0
-        if done.any():
-            yield out(doc[done], start[done], n[done])
-            batch = batch.filter(pa.array(~done))
-            name, doc, start, n = (x[~done] for x in (name, doc, start, n))
-        if not len(name):
-            continue
-        column = batch.column(4)
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(name) + 1]
-        packed = np.zeros((int(n.sum()), 8), np.uint8)
-        packed[:, :KEPT] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, KEPT)
-        window = packed.view(np.int64).ravel()
-        place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-        name, doc, start = np.repeat(name, n), np.repeat(doc, n), np.repeat(start, n) + place
-        if name[0] != last:
-            held, held_doc, over = held[:0], held_doc[:0], False
-        order = np.lexsort((window, name))  # stable: documents ascend within a window
-        head = np.ones(len(order), bool)
-        head[1:] = (window[order][1:] != window[order][:-1]) | (name[order][1:] != name[order][:-1])
-        least = np.empty_like(doc)
-        least[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        first = name == last
-        if first.any() and len(held):
-            i = np.minimum(np.searchsorted(held, window[first]), len(held) - 1)
-            least[first] = np.where(held[i] == window[first], np.minimum(least[first], held_doc[i]), least[first])
-        yield out(*_stretches(doc, start, least < doc))
-        if over and first.any():
-            yield out(doc[first], start[first], np.ones(int(first.sum())), name[first], window[first])
-        if name[-1] != last:
-            last, held, held_doc, over = name[-1], held[:0], held_doc[:0], False
-        if not over:
-            own = name == last
-            held, i = np.unique(np.concatenate([held, window[own]]), return_index=True)
-            held_doc = np.concatenate([held_doc, doc[own]])[i]
-            if len(held) > HELD:
-                yield out(held_doc, np.full(len(held), -1), np.ones(len(held)), np.full(len(held), last), held)
-                held, held_doc, over = held[:0], held_doc[:0], True
+        return pa.RecordBatch.from_arrays([null if name is None else pa.array(name), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), null if window is None else pa.array(window)], names=["name", "doc_id", "row", "start", "n", "window"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, held_doc, over = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:
+            name, doc, row, start, n = (batch.column(i).to_numpy() for i in range(5))
+            sizes = np.diff(np.frombuffer(batch.column(5).buffers()[1], np.int32)[batch.column(5).offset :][: len(name) + 1]) if len(name) else n
+            done = sizes == 0
+            if done.any():
+                yield out(doc[done], row[done], start[done], n[done])
+                batch = batch.filter(pa.array(~done))
+                name, doc, row, start, n = (x[~done] for x in (name, doc, row, start, n))
+            if not len(name):
+                continue
+            column = batch.column(5)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(name) + 1]
+            packed = np.zeros((int(n.sum()), 8), np.uint8)
+            packed[:, :KEPT] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, KEPT)
+            window = packed.view(np.int64).ravel()
+            place = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+            name, doc, row, start = np.repeat(name, n), np.repeat(doc, n), np.repeat(row, n), np.repeat(start, n) + place
+            if name[0] != last:
+                held, held_doc, over = held[:0], held_doc[:0], False
+            order = np.lexsort((window, name))  # stable: documents ascend within a window
+            head = np.ones(len(order), bool)
+            head[1:] = (window[order][1:] != window[order][:-1]) | (name[order][1:] != name[order][:-1])
+            least = np.empty_like(doc)
+            least[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+            first = name == last
+            if first.any() and len(held):
+                i = np.minimum(np.searchsorted(held, window[first]), len(held) - 1)
+                least[first] = np.where(held[i] == window[first], np.minimum(least[first], held_doc[i]), least[first])
+            yield out(*_stretches(doc, row, start, least < doc))
+            if over and first.any():
+                yield out(doc[first], row[first], start[first], np.ones(int(first.sum())), name[first], window[first])
+            if name[-1] != last:
+                last, held, held_doc, over = name[-1], held[:0], held_doc[:0], False
+            if not over:
+                own = name == last
+                held, i = np.unique(np.concatenate([held, window[own]]), return_index=True)
+                held_doc = np.concatenate([held_doc, doc[own]])[i]
+                if len(held) > most:
+                    yield out(held_doc, held_doc, np.full(len(held), -1), np.ones(len(held)), np.full(len(held), last), held)
+                    held, held_doc, over = held[:0], held_doc[:0], True
+
+    return run
 
 
 def _without(width: int):
@@ -246,25 +285,29 @@ def _without(width: int):
     return run
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+
+
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, n): n windows of width words, from word start on, each of
-    which also starts in a document with a smaller id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(_revealed(width, rounds), "name long, doc_id long, start int, n int, windows binary")
-    rows = rows.repartition("name").sortWithinPartitions("name", "doc_id").mapInArrow(_judged, "name long, doc_id long, start int, n int, window long")
+    """(doc_id, row, start, n): n windows of width words, from word start on, each of
+    which also starts in a document with a smaller id; row is the hash of the text."""
+    rows = _texts(docs, id_col, text_col).mapInArrow(_revealed(width, rounds), "name long, doc_id long, row long, start int, n int, windows binary")
+    rows = rows.repartition("name").sortWithinPartitions("name", "doc_id").mapInArrow(_judged(HELD), "name long, doc_id long, row long, start int, n int, window long")
     rows = written(rows, "judged")
     over = rows.where("name is not null")
     least = over.groupBy("name", "window").agg(F.min("doc_id").alias("least"))
     late = over.where("start >= 0").join(least, ["name", "window"]).where("least < doc_id")
-    return rows.where("name is null").select("doc_id", "start", "n").unionByName(late.select("doc_id", "start", "n"))
+    return rows.where("name is null").select("doc_id", "row", "start", "n").unionByName(late.select("doc_id", "row", "start", "n"))
 
 
 def without_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed) of every row of docs: text has the
     words that no repeated window covers, joined by one space."""
-    marks = repeated_windows(docs, width, rounds, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(marks, "doc_id", "left").mapInArrow(_without(width), "doc_id long, text string, n_words long, n_removed long")
+    marks = repeated_windows(docs, width, rounds, id_col, text_col).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
+    rows = _texts(docs, id_col, text_col).join(marks, ["doc_id", "row"], "left")
+    return rows.mapInArrow(_without(width), "doc_id long, text string, n_words long, n_removed long")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -126,9 +126,12 @@ def repeats(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "held", "rounds"), [(1, 1 << 20, 2), (2, 50, 2), (3, 1 << 20, 3)])
-def test_repeats_match_brute_force(spark, monkeypatch, seed, held, rounds):
+@pytest.mark.parametrize(("seed", "held", "rounds", "known"), [(1, 1 << 20, 2, 1 << 20), (2, 50, 2, 1 << 20), (3, 1 << 20, 3, 40), (4, 1 << 20, 2, 1 << 20)])
+def test_repeats_match_brute_force(spark, monkeypatch, seed, held, rounds, known):
     monkeypatch.setattr(recompression, "HELD", held)
+    monkeypatch.setattr(recompression, "KNOWN", known)
+    if seed > 2:  # so that tasks have several slices
+        monkeypatch.setattr(recompression, "slices", lambda texts: ngram_join.slices(texts, 2000))
     rows = repeats(seed)
     out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rounds=rounds).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in out} == brute_repeats(rows)
@@ -142,6 +145,40 @@ def test_repeats_of_odd_rows(spark):
     assert without_repeats(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_rows_of_one_id_have_windows_of_their_own(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = text(40), text(25), text(60)
+    rows = [(1, " ".join(a)), (2, " ".join(c[:20] + a[:20])), (2, " ".join(b)), (2, " ".join(text(5))), (3, " ".join(b[:15] + c)), (4, " ".join(a + b)), (4, None), (4, " ".join(text(400) + a))]
+    out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    wins = lambda w: [tuple(w[i : i + 13]) for i in range(len(w) - 12)]
+    expected = []
+    for d, t in rows:
+        w = (t or "").split()
+        low = {x for e, u in rows if e < d for x in wins((u or "").split())}
+        gone = {j for i, x in enumerate(wins(w)) if x in low for j in range(i, i + 13)}
+        expected.append((d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in out) == sorted(expected)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(13)
+    words = [f"{rng.randrange(1 << 30):x}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, "new " + " ".join(words[1000:250_000]) + " end"), (3, "x" * 2_000_000), (4, " ".join(["same"] * 200_000))]
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (300_000, 0), 2: (249_002, 249_000), 3: (1, 0), 4: (200_000, 0)}
+
+
+def test_words_of_many_letters_have_digests_of_their_own():
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    (s,) = ngram_join.slices(ngram_join.pa.array([f"{thue} {other} {thue}"]), 1 << 20)
+    x, y, z = s.digests().tolist()
+    assert x == z != y
+
+
 def test_equal_windows_pick_equal_names():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 6, 5000).astype(np.uint64)
