@@ -13,7 +13,7 @@ under further hash functions, and only after the last of them signs empties.
 
 A set that signs the E partitions of a wide band with FLOOR features or more
 shares E - k of these signatures or more with any partner, so one that shares fewer with all others together leaves
-the band. Candidates in a bucket are then verified on the texts: first each
+the band. Candidates in a bucket are then verified on the words of the texts, without digests: first each
 member with the bucket's smallest id, then, only between members that aren't
 connected yet, every remaining pair that can be similar at all. For these, the
 features of the sets concerned are ranked from the rarest on. If the rarest
@@ -26,7 +26,9 @@ or partners.
 
 Null, empty and blank texts have the empty set and no links. A text with fewer
 words than ``width`` has one feature, the whole sequence. Equal rows share a
-component. A null id keeps its row and joins only equal sets.
+component. A null id keeps its row and joins only equal sets. Rows with one id are one document: what is
+linked with one of their texts is linked with all. Inside, a class of equal sets goes by a row number
+that is stored with its sets, so its texts are its own whatever the ids.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def _signed(width: int, percent: int):
                 offsets.append(offsets[-1] + len(own))
             n, d1, d2 = (np.array(x, np.uint64).view(np.int64) for x in rows)
             values = pa.array(np.concatenate([np.zeros(0, np.uint64), *signs]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(shared, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "d1", "d2", "signs", "shared"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(n), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(shared, pa.list_(pa.int32()))], names=["doc_id", "hash", "n_shingles", "d1", "d2", "signs", "shared"])
 
     return run
 
@@ -163,11 +165,31 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sign, centre, doc)], names=["sign", "c", "m"])
 
 
+def numbered_ngrams(texts: list[str], width: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text as numbers that are common to the texts: equal numbers, equal words."""
+    place: dict[bytes, int] = {}
+    words = [[place.setdefault(w, len(place)) for w in text.encode().lower().split()] for text in texts]
+    ends = np.cumsum([0, *map(len, words)])
+    single = np.fromiter((w for own in words for w in own), np.int64, int(ends[-1]))
+    grams, inside = single, [(a, b) for a, b in zip(ends[:-1], ends[1:])]
+    if all(b - a >= width for a, b in inside):
+        for step in range(1, width):  # number pairs of a number of step words and the word behind
+            _, grams = np.unique(grams[:-1] * len(place) + single[step:], return_inverse=True)
+        return [np.unique(grams[a : b - width + 1]) for a, b in inside]
+    # a text of fewer words is one sequence
+    numbers: dict[tuple, int] = {}
+    def of(own: list[int]) -> np.ndarray:
+        n = min(width, len(own))
+        return np.unique([numbers.setdefault(tuple(own[i : i + n]), len(numbers)) for i in range(len(own) - n + 1)] if own else np.zeros(0, np.int64))
+    return [of(own) for own in words]
+
+
 def _verified(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(feature_sets(batch.column("text_c"), width), feature_sets(batch.column("text_m"), width)):
+            for c, m in zip(batch.column("text_c"), batch.column("text_m")):
+                a, b = numbered_ngrams([c.as_py() or "", m.as_py() or ""], width)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("m"), pa.array(ok, pa.bool_())], names=["c", "m", "linked"])
@@ -179,7 +201,7 @@ def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, features in enumerate(feature_sets(batch.column("text"), width)):
-                yield pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), batch.column("doc_id").take(pa.array(np.full(len(features), i)))], names=["feature", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), batch.column("rep").take(pa.array(np.full(len(features), i)))], names=["feature", "rep"])
 
     return run
 
@@ -187,20 +209,24 @@ def _features(width: int):
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; other columns of
     docs are not read. component_id is the smallest id reachable by links."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(texts.mapInArrow(_signed(width, percent), "doc_id long, n_shingles long, d1 long, d2 long, signs array<long>, shared array<int>"), "sets")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    sets = texts.mapInArrow(_signed(width, percent), "doc_id long, hash long, n_shingles long, d1 long, d2 long, signs array<long>, shared array<int>")
+    sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
 
-    rows = sets.select("doc_id", "n_shingles", "d1", "d2")
+    rows = sets.select("row", "doc_id", "hash", "n_shingles", "d1", "d2")
     key = ["d1", "d2", "n_shingles"]
-    # written first, so that this join has a shuffle of its own and Spark can split a large class in it
-    classes = written(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    placed = written(rows.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "placed")
-    rep_of = placed.where("doc_id is not null and n_shingles > 0").select("doc_id", "rep", "n_shingles").distinct()
-
-    stars = sets.select(F.explode("signs").alias("sign"), "doc_id").repartition("sign").sortWithinPartitions("sign", "doc_id").mapInArrow(_stars, "sign long, c long, m long")
-    members = stars.select("sign", F.explode(F.array("c", "m")).alias("doc_id")).distinct().join(rep_of, "doc_id").select("sign", "rep", "n_shingles").distinct()
+    # a class has the number of one of its rows, and its smallest id; written first, so that this
+    # join has a shuffle of its own and Spark can split a large class in it
+    classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))).alias("rep"), F.min("doc_id").alias("least"))
+    classes = written(classes, "classes")
+    placed = written(rows.join(classes, key, "left").select("row", "doc_id", "hash", "n_shingles", "rep", "least"), "placed")
+    rep_of = placed.where("doc_id is not null and rep is not null").select("row", "rep", "n_shingles")
+
+    stars = sets.select(F.explode("signs").alias("sign"), "row").repartition("sign").sortWithinPartitions("sign", "row").mapInArrow(_stars, "sign long, c long, m long")
+    members = stars.select("sign", F.explode(F.array("c", "m")).alias("row")).distinct().join(rep_of, "row").select("sign", "rep", "n_shingles").distinct()
     members = written(members.withColumn("parity", F.col("sign").bitwiseAND(F.lit(1)).cast("int")), "members")
-    least = sets.where("shared is not null").join(rep_of.select("doc_id", "rep"), "doc_id").select("rep", F.posexplode("shared").alias("parity", "shared")).groupBy("rep", "parity").agg(F.max("shared").alias("shared"))
+    least = sets.where("shared is not null").join(rep_of.select("row", "rep"), "row").select("rep", F.posexplode("shared").alias("parity", "shared")).groupBy("rep", "parity").agg(F.max("shared").alias("shared"))
 
     def common(rows: DataFrame) -> DataFrame:
         """Without buckets of a single set."""
@@ -208,16 +234,16 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     able = common(members).groupBy("rep", "parity").agg(F.count("*").alias("has")).join(least, ["rep", "parity"]).where("has >= shared").select("rep", "parity")
     members = written(common(members.join(able, ["rep", "parity"], "left_semi")), "able").drop("parity")
-    sizes = rep_of.select("rep", "n_shingles").distinct()
+    sizes = classes.where("rep is not null").select("rep", "n_shingles")
     pairs = members.where("rep <> centre").groupBy(F.col("centre").alias("c"), F.col("rep").alias("m"), F.col("n_shingles").alias("m_n")).agg(F.count("*").alias("shared"))
     pairs = pairs.join(sizes.select(F.col("rep").alias("c"), F.col("n_shingles").alias("c_n")), "c")
     pairs = written(pairs.where(100 * F.least("c_n", "m_n") >= percent * F.greatest("c_n", "m_n")).select("c", "m", "shared"), "pairs")
 
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    kept = written(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    needed = placed.where("row = rep").join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "hash")
+    kept = written(texts.join(needed, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("rep", "text"), "texts")
 
     def links(todo: DataFrame) -> DataFrame:
-        both = todo.select("c", "m").join(kept.select(F.col("doc_id").alias("c"), F.col("text").alias("text_c")), "c").join(kept.select(F.col("doc_id").alias("m"), F.col("text").alias("text_m")), "m")
+        both = todo.select("c", "m").join(kept.select(F.col("rep").alias("c"), F.col("text").alias("text_c")), "c").join(kept.select(F.col("rep").alias("m"), F.col("text").alias("text_m")), "m")
         return written(both.mapInArrow(_verified(width, percent), "c long, m long, linked boolean"), "verified")
 
     def apart(todo: DataFrame, comps: DataFrame) -> DataFrame:
@@ -236,7 +262,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     # each member with its best centre; then the pairs of stars that are still apart
     best = pairs.groupBy("m").agg(F.max_by("c", F.struct("shared", -F.col("c"))).alias("c"))
     done = links(best)
-    comps = written(components(done.where("linked"), "c", "m"), "comps")
+    # texts of one id are one document
+    several = placed.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("c"), F.max("rep").alias("m")).where("c < m").select("doc_id", "c")
+    shared = placed.where("rep is not null").join(several, "doc_id").where("c < rep").select("c", F.col("rep").alias("m"))
+    comps = written(components(done.where("linked").select("c", "m").unionByName(shared), "c", "m"), "comps")
     more = links(apart(pairs.select("c", "m").join(done.select("c", "m"), ["c", "m"], "left_anti"), comps).select("c", "m"))
     done = done.unionByName(more)
     comps = extended(comps, more)
@@ -248,7 +277,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     members = members.select("sign", "rep", "n_shingles").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = written(mixed(members).drop("smallest"), "mixed")
-    inside = kept.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    inside = kept.join(members.select("rep").distinct(), "rep", "left_semi")
     features = written(inside.mapInArrow(_features(width), "feature long, rep long"), "features")
     common = features.groupBy("feature").agg(F.count("*").alias("sets")).where("sets > 1")
     ranked = features.join(common, "feature", "left").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("sets", F.lit(1)), "feature")) - 1)
@@ -263,8 +292,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     rest = written(rest.select(F.col("rep_x").alias("c"), F.col("rep_y").alias("m")).distinct().join(done.select("c", "m"), ["c", "m"], "left_anti"), "rest")
     comps = extended(comps, links(rest))
 
-    comps = comps.select(F.col("node").alias("rep"), "component")
-    return placed.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    comps = classes.select("rep", "least").join(comps.withColumnRenamed("node", "rep"), "rep")
+    comps = comps.join(comps.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("rep", "component_id")
+    return placed.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "least", "doc_id").alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -70,6 +70,29 @@ def test_components_of_odd_rows(spark):
     assert ngram_components(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    rng = random.Random(21)
+    text = lambda: [f"u{rng.randrange(10**6)}" for _ in range(40)]
+    a, b, c = text(), text(), text()
+    near = lambda w: [*w[:-1], "other"]
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (9, c), (4, near(c)), (6, c), (6, text()), (11, text()), (5, a)]
+    rows = [(d, " ".join(w)) for d, w in rows] + [(11, None), (None, " ".join(b)), (12, "")]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        out = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert {r.doc_id: r.component_id for r in out if r.n_shingles and r.doc_id} == {5: 5, 7: 5, 8: 5, 9: 4, 4: 4, 6: 4, 11: 11}
+        assert [r.component_id for r in out if r.doc_id is None] == [5] and len(out) == len(rows)
+
+
+def test_verification_counts_words():
+    rng = random.Random(31)
+    for _ in range(200):
+        texts = [" ".join(rng.choice("aAbc") for _ in range(rng.randint(0, 30))) for _ in range(2)]
+        x, y = ngram_join.numbered_ngrams(texts, 5)
+        p, q = map(shingles, texts)
+        assert (len(x), len(y), len(np.intersect1d(x, y))) == (len(p), len(q), len(p & q))
+
+
 def test_similar_sets_share_signatures():
     rng = np.random.default_rng(5)
     for _ in range(3000):
