@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from tessera.functions.text import single_line, stripped, without_spaces
 from tessera.operators.chunking import labelled_text
+from tessera.operators.locate import LINE_END
 
 #: Fields of speaker notes that are left out, the audience without a rule, the group of paths without a folder: fixed values.
 DROPPED_NOTES, EVERYONE, ROOT = ["教学时间", "教学方式"], "通用", "__root__"
@@ -40,8 +41,9 @@ def chunk_text(kind: str, fields: list[tuple[str, Column]], lists: list[tuple[st
 
 
 def numbered(text: Column) -> Column:
-    """``L001: line`` for each line."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.concat(F.format_string("L%03d: ", i + 1), x)), "\n")
+    """``L001: line`` for each line, with more digits from 1000 on; an end of line at the end opens no other."""
+    own = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
+    return F.when(text == "", F.lit("")).otherwise(F.array_join(F.transform(own, lambda x, i: F.concat(F.format_string("L%03d: ", i + 1), x)), "\n"))
 
 
 def deltas(answer: Column) -> Column:

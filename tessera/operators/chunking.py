@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions.text import stripped
 
@@ -11,39 +13,53 @@ from tessera.functions.text import stripped
 LEAST_PAGE, MOST_SEGMENT, OVERVIEW = 100, 2000, 800
 
 
-def folded(items: Column, step, finish) -> Column:
-    """An array of blocks made by a fold with a buffer: step and finish map struct(done, buffer)."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buffer"))
-    return F.aggregate(items, start, step, finish)
-
-
-def _state(done: Column, buffer: Column) -> Column:
-    return F.struct(done.alias("done"), buffer.alias("buffer"))
-
-
-def paragraphs_packed(paragraphs: Column, most: int = MOST_SEGMENT) -> Column:
-    """Paragraphs joined by blank lines while their own lengths sum to at most so many."""
-    def step(s: Column, p: Column) -> Column:
-        own = F.length(F.replace(s["buffer"], F.lit("\n\n")))
-        full = (s["buffer"] != "") & (own + F.length(p) > most)
-        joined = F.when(s["buffer"] == "", p).otherwise(F.concat(s["buffer"], F.lit("\n\n"), p))
-        return F.when(full, _state(F.array_append(s["done"], s["buffer"]), p)).otherwise(_state(s["done"], joined))
-
-    return folded(paragraphs, step, lambda s: F.when(s["buffer"] != "", F.array_append(s["done"], s["buffer"])).otherwise(s["done"]))
+@F.pandas_udf(ArrayType(StringType()))
+def _packed(texts: pd.Series, most: pd.Series) -> pd.Series:
+    def parts(text: str | None, most: int) -> list[str] | None:
+        if text is None or len(text) <= most:
+            return None if text is None else [text]
+        out, size = [], most
+        for paragraph in filter(str.strip, text.split("\n")):
+            if not out or size + len(paragraph) > most:
+                out.append([])
+                size = 0
+            out[-1].append(paragraph)
+            size += len(paragraph)
+        return ["\n".join(x) for x in out]
+
+    return pd.Series([parts(t, int(n)) for t, n in zip(texts, most)], dtype=object)
+
+
+def long_split(text: Column, most: int = MOST_SEGMENT) -> Column:
+    """A text of at most so many characters whole; else its lines that aren't blank, joined
+    while their own lengths sum to at most so many. One pass over a text, whatever its length."""
+    return _packed(text, F.lit(most))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _gathered(pages: pd.Series, least: pd.Series) -> pd.Series:
+    def blocks(pages, least: int) -> list[str] | None:
+        if pages is None:
+            return None
+        out, buffer, size = [], [], 0
+        for page in pages:
+            size += len(page) + 2 * bool(buffer)
+            buffer.append(page)
+            if size >= least:
+                out.append(buffer)
+                buffer, size = [], 0
+        if buffer and out:
+            out[-1] += buffer
+        elif buffer:
+            out.append(buffer)
+        return ["\n\n".join(x) for x in out]
+
+    return pd.Series([blocks(p, int(n)) for p, n in zip(pages, least)], dtype=object)
 
 
 def short_merged(pages: Column, least: int = LEAST_PAGE) -> Column:
-    """Pages gathered until a block has so many characters; a short rest joins the last block."""
-    def step(s: Column, p: Column) -> Column:
-        joined = F.when(s["buffer"] == "", p).otherwise(F.concat(s["buffer"], F.lit("\n\n"), p))
-        return F.when(F.length(joined) >= least, _state(F.array_append(s["done"], joined), F.lit(""))).otherwise(_state(s["done"], joined))
-
-    def finish(s: Column) -> Column:
-        n = F.size(s["done"])
-        last = F.concat(F.element_at(s["done"], F.greatest(n, F.lit(1))), F.lit("\n\n"), s["buffer"])
-        return F.when(s["buffer"] == "", s["done"]).when(n == 0, F.array(s["buffer"])).otherwise(F.array_append(F.slice(s["done"], F.lit(1), n - 1), last))
-
-    return folded(pages, step, finish)
+    """Pages gathered until a block has so many characters, a blank line between them; a short rest joins the last block."""
+    return _gathered(pages, F.lit(least))
 
 
 def heading_sections(lines: DataFrame, key: str = "doc_id", heading: str = r"^#{1,6}\s+\S") -> DataFrame:

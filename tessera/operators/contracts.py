@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import preview
+from tessera.functions.text import once, preview, stripped
 
 #: Fixed limits of the interfaces.
 MOST_ROWS, MOST_CELL, MOST_QUESTIONS, MOST_QUERY = 1000, 20_000, 100, 2000
@@ -13,6 +13,8 @@ MOST_KB, MOST_TOP_N, MOST_TOP_K, PREVIEW = 50, 100, 20, 240
 DOMAINS = ["产品知识", "合规与风控", "销售技能", "客户经营", "行业与公司", "个人成长", "组织发展"]
 DOMAIN_TIES = ["合规与风控", "组织发展", "产品知识", "客户经营", "销售技能", "行业与公司", "个人成长"]
 CASE_INTENTS = ["journey_search", "objection_handling"]
+CASE_TYPES, COURSE_TYPES = ["customer_journey", "strategy", "script", "objection_handling"], ["training_course", "knowledge_entry"]
+NO_LOCATION = "未提供精确位置"
 ERRORS = {"ValueError": "10004", "TimeoutError": "504", "ConnectionError": "503"}
 
 
@@ -69,10 +71,22 @@ def source_kinds(targets: Column) -> Column:
     return F.when(has("case") & ~has("course"), F.array(F.lit("绩优案例"))).when(has("course") & ~has("case"), F.array(F.lit("培训资料"))).otherwise(F.array().cast("array<string>"))
 
 
-def targets_repaired(intent: Column, targets: Column, case_intents: list[str] = CASE_INTENTS) -> Column:
-    """Both targets where the intent needs cases and they aren't among them."""
-    lacks = intent.isin(case_intents) & ~F.array_contains(targets, "case")
-    return F.when(lacks, F.array(F.lit("case"), F.lit("course"))).otherwise(targets)
+def targets_kept(targets: Column) -> Column:
+    """The known targets, each once, or both."""
+    own = F.array_distinct(F.filter(F.coalesce(targets, F.array().cast("array<string>")), lambda x: x.isin("case", "course")))
+    return once(own, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("case"), F.lit("course"))))
+
+
+def targets_repaired(intent: Column, targets: Column, chunk_types: Column | None = None, needs_retrieval: Column | None = None) -> Column:
+    """Both targets where the intent or the chunk types need cases or courses that aren't among them;
+    a plan that retrieves nothing, or is out of scope, stays."""
+    types = F.coalesce(chunk_types, F.array().cast("array<string>")) if chunk_types is not None else F.array().cast("array<string>")
+    some = lambda kinds: F.arrays_overlap(types, F.array(*map(F.lit, kinds)))
+    idle = F.coalesce(intent == "out_of_scope", F.lit(False)) | (~F.coalesce(needs_retrieval, F.lit(True)) if needs_retrieval is not None else F.lit(False))
+    def repaired(own: Column) -> Column:
+        lacks = (F.coalesce(intent.isin(CASE_INTENTS), F.lit(False)) | some(CASE_TYPES)) & ~F.array_contains(own, "case") | some(COURSE_TYPES) & ~F.array_contains(own, "course")
+        return F.when(~idle & lacks, F.array(F.lit("case"), F.lit("course"))).otherwise(own)
+    return once(targets_kept(targets), repaired)
 
 
 def kb_results(hits: DataFrame, full: bool = False) -> DataFrame:
@@ -82,9 +96,19 @@ def kb_results(hits: DataFrame, full: bool = False) -> DataFrame:
     return hits.select("query_id", "rank", doc.alias("docId"), F.lit("SLICE").alias("knowledgeType"), F.lit("切片").alias("knowledgeTypeName"), text.alias("content"))
 
 
-def display_location(filename: Column, section: Column, page: Column, line: Column) -> Column:
-    some = lambda c: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", c.cast("string"))
-    return F.concat_ws(" · ", some(filename), some(section), F.when(page.isNotNull(), F.concat(F.lit("第 "), page.cast("string"), F.lit(" 页"))), F.when(line.isNotNull(), F.concat(F.lit("第 "), line.cast("string"), F.lit(" 行"))))
+def display_location(page: Column, slide: Column, line_start: Column, line_end: Column, headings: Column) -> Column:
+    """``p3 · slide2 · L2-L4 · A / B`` of what a locator (numbers, array of headings) has, or a fixed text."""
+    some = lambda c: F.coalesce(c.cast("string"), F.lit("")).isin("", "0") == F.lit(False)
+    span = F.when(some(line_start) & some(line_end) & (line_start.cast("string") != line_end.cast("string")), F.concat(F.lit("L"), line_start.cast("string"), F.lit("-L"), line_end.cast("string"))).when(some(line_start), F.concat(F.lit("L"), line_start.cast("string")))
+    path = F.array_join(F.filter(F.transform(headings, stripped), lambda x: x != ""), " / ")
+    parts = F.array(F.when(some(page), F.concat(F.lit("p"), page.cast("string"))), F.when(some(slide), F.concat(F.lit("slide"), slide.cast("string"))), span, F.when(path != "", path))
+    return once(F.array_join(F.array_compact(parts), " · "), lambda x: F.when(x != "", x).otherwise(F.lit(NO_LOCATION)))
+
+
+def display_excerpt(source_excerpt: Column, quote: Column) -> Column:
+    """The stored excerpt, or else the quote."""
+    own = lambda c: stripped(F.coalesce(c, F.lit("")))
+    return once(own(source_excerpt), lambda x: F.when(x != "", x).otherwise(own(quote)))
 
 
 def error_code(name: Column, codes: dict[str, str] = ERRORS, other: str = "500") -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once, stripped
+
 CONTEXT_LINES = 3
 #: Line ends of texts, as str.splitlines has them.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -53,16 +55,18 @@ def context(text: Column, first: Column, last: Column, around: int = CONTEXT_LIN
 
 
 def located(text: Column, quote: Column) -> Column:
-    """Where a quote stands: exactly, or by its longest part around ellipses
-    (approximate), else unmatched; offsets from 0, -1 if unmatched."""
-    parts = F.filter(F.transform(F.split(quote, r"\.{3,}|…+"), lambda p: F.trim(p)), lambda p: F.length(p) >= 2)
-    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    exact, near = F.instr(text, F.trim(quote)), F.coalesce(F.position(longest, text), F.lit(0))
-    whole = (F.length(F.trim(quote)) > 0) & (exact > 0)
-    kind = F.when(whole, F.lit("exact")).when(near > 0, F.lit("approximate")).otherwise(F.lit("unmatched"))
-    start = F.when(whole, exact - 1).when(near > 0, near - 1).otherwise(F.lit(-1))
-    size = F.when(whole, F.length(F.trim(quote))).when(near > 0, F.length(longest)).otherwise(F.lit(0))
-    return F.struct(kind.alias("confidence"), start.alias("char_start"), (start + size).alias("char_end"))
+    """Where a quote stands: exactly, or by the longest of its parts around ellipses that
+    stands there, the first of equally long ones (approximate), else unmatched; offsets from 0, -1 if unmatched."""
+    quote = stripped(quote)
+    parts = F.filter(F.transform(F.split(quote, r"\.{3,}|…+"), stripped), lambda p: F.length(p) >= 2)
+    placed = F.transform(parts, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), F.position(p, text).alias("at")))
+    def found(x: Column) -> Column:
+        whole, near = (F.length(quote) > 0) & (x["exact"] > 0), x["near"].isNotNull()
+        kind = F.when(whole, F.lit("exact")).when(near, F.lit("approximate")).otherwise(F.lit("unmatched"))
+        start = F.when(whole, x["exact"] - 1).when(near, x["near"]["at"] - 1).otherwise(F.lit(-1))
+        size = F.when(whole, F.length(quote)).when(near, -x["near"]["n"]).otherwise(F.lit(0))
+        return F.struct(kind.alias("confidence"), start.alias("char_start"), (start + size).alias("char_end"))
+    return once(F.struct(F.instr(text, quote).alias("exact"), F.array_min(F.filter(placed, lambda p: p["at"] > 0)).alias("near")), found)
 
 
 def candidate_sources(wanted: DataFrame, sources: DataFrame) -> DataFrame:
@@ -72,8 +76,8 @@ def candidate_sources(wanted: DataFrame, sources: DataFrame) -> DataFrame:
     fits = lambda a, b: (F.col(a) != "") & (F.col(a) == F.col(b))
     level = F.when(fits("source_path", "s_path"), 0).when(fits("filename", "s_file"), 1).when(fits("source_id", "s_id"), 2).otherwise(3)
     rows = wanted.join(s, "case_id").withColumn("level", level)
-    best = F.min("level").over(Window.partitionBy("ref_id"))
-    return rows.withColumn("best", best).where("level = best").select("ref_id", F.col("s_id").alias("source_id"), "level")
+    best = F.min("level").over(Window.partitionBy("case_id", "ref_id"))
+    return rows.withColumn("best", best).where("level = best").select("case_id", "ref_id", F.col("s_id").alias("source_id"), "level")
 
 
 def resolved(refs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -81,23 +85,27 @@ def resolved(refs: DataFrame, sources: DataFrame) -> DataFrame:
     source_id, quote, line_start, line_end); sources: (case_id, source_path,
     filename, source_id, text). In the sources of a reference's best level, in order of
     their ids, a valid line span counts first, then the quote, exactly or nearly.
-    Returns (ref_id, source_id, confidence, error, line_start, line_end, excerpt, context, anchor_id)."""
-    found = candidate_sources(refs, sources).join(sources.select("source_id", "text"), "source_id").join(refs.select("ref_id", "quote", "line_start", "line_end"), "ref_id")
+    Returns (case_id, ref_id, source_id, confidence, error, line_start, line_end, excerpt, context, anchor_id)."""
+    asked = refs.select("case_id", "ref_id", "quote", F.col("line_start").alias("l_start"), F.col("line_end").alias("l_end"))
+    found = candidate_sources(refs, sources).join(asked, ["case_id", "ref_id"]).join(sources.select("case_id", "source_id", "text"), ["case_id", "source_id"])
     n = F.size(F.split("text", "\n"))
-    valid = (F.col("line_start") >= 1) & (F.col("line_end") >= F.col("line_start")) & (F.col("line_end") <= n)
+    valid = (F.col("l_start") >= 1) & (F.col("l_end") >= F.col("l_start")) & (F.col("l_end") <= n)
     rows = found.withColumn("valid", F.coalesce(valid, F.lit(False))).withColumn("at", located(F.col("text"), F.coalesce("quote", F.lit(""))))
     rank = F.when(F.col("valid"), 0).when(F.col("at.confidence") == "exact", 1).when(F.col("at.confidence") == "approximate", 2).otherwise(3)
-    w = Window.partitionBy("ref_id").orderBy("rank", "source_id")
-    best = rows.withColumn("rank", rank).withColumn("k", F.row_number().over(w)).where("k = 1")
-    first = F.when(F.col("rank") == 0, F.col("line_start")).when(F.col("rank") < 3, line_of(F.col("text"), F.col("at.char_start")))
-    last = F.when(F.col("rank") == 0, F.col("line_end")).when(F.col("rank") < 3, line_of(F.col("text"), F.col("at.char_end")))
-    best = best.withColumn("first", first).withColumn("last", last)
-    hit = F.col("rank") < 3
-    excerpt = F.when(hit, F.array_join(F.slice(F.split("text", "\n"), F.col("first"), F.col("last") - F.col("first") + 1), "\n"))
-    asked = F.col("line_start").isNotNull() & F.col("line_end").isNotNull()
-    error = F.when(~hit & asked, "line_span_invalid_and_quote_not_found").when(~hit, "quote_not_found").otherwise("")
+    rows, hit = rows.withColumn("rank", rank), F.col("rank") < 3
+    at = lambda span, offset: F.when(F.col("rank") == 0, F.col(span)).when(hit, line_of(F.col("text"), F.col(offset)))
+    rows = rows.withColumn("line_start", at("l_start", "at.char_start")).withColumn("line_end", at("l_end", "at.char_end"))
+    excerpt = F.when(hit, F.array_join(F.slice(F.split("text", "\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"))
+    around = F.when(hit, context(F.col("text"), F.col("line_start"), F.col("line_end")))
+    # texts end here: what is ranked and shuffled is narrow
+    rows = rows.withColumn("excerpt", excerpt).withColumn("context", around).drop("text", "at", "valid")
+    w = Window.partitionBy("case_id", "ref_id").orderBy("rank", "source_id")
+    best = rows.withColumn("k", F.row_number().over(w)).where("k = 1")
+    spanned = F.col("l_start").isNotNull() & F.col("l_end").isNotNull()
+    error = F.when(~hit & spanned, "line_span_invalid_and_quote_not_found").when(~hit, "quote_not_found").otherwise("")
     confidence = F.element_at(F.array(*map(F.lit, ("validated_span", "exact", "approximate", "unmatched"))), F.col("rank") + 1)
     source = F.when(hit, F.col("source_id")).otherwise(F.lit(""))
-    out = best.select("ref_id", source.alias("source_id"), confidence.alias("confidence"), error.alias("error"), F.col("first").alias("line_start"), F.col("last").alias("line_end"), excerpt.alias("excerpt"), F.when(hit, context(F.col("text"), F.col("first"), F.col("last"))).alias("context"), F.when(hit, F.concat("source_id", F.lit("#line-"), F.col("first").cast("string"))).alias("anchor_id"))
-    none = refs.join(out.select("ref_id"), "ref_id", "left_anti").select("ref_id", F.lit("").alias("source_id"), F.lit("unmatched").alias("confidence"), F.lit("source_not_found").alias("error"))
+    anchor = F.when(hit, F.concat("source_id", F.lit("#line-"), F.col("line_start").cast("string")))
+    out = best.select("case_id", "ref_id", source.alias("source_id"), confidence.alias("confidence"), error.alias("error"), "line_start", "line_end", "excerpt", "context", anchor.alias("anchor_id"))
+    none = refs.join(out.select("case_id", "ref_id"), ["case_id", "ref_id"], "left_anti").select("case_id", "ref_id", F.lit("").alias("source_id"), F.lit("unmatched").alias("confidence"), F.lit("source_not_found").alias("error"))
     return out.unionByName(none, allowMissingColumns=True)

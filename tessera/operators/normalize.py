@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.classify import METHOD, SOURCE_KINDS, VERSION
+
 #: Chunk types, and bytes that a stored field may have: fixed values.
 CHUNK_TYPES = ["customer_journey", "strategy", "script", "objection_handling", "training_course", "knowledge_entry"]
 FIELD_BYTES = {"chunk_id": 256, "source_file": 1024, "text": 65535}
@@ -25,9 +27,9 @@ def duplicate_groups(rows: DataFrame, text: str, path: str) -> DataFrame:
     return rows.groupBy(F.sha2(text, 256).alias("text_hash")).agg(F.count("*").alias("n"), F.min(path).alias("first")).where("n > 1")
 
 
-def preferred(rows: DataFrame, hash_by: list[Column], name: Column, tie: str) -> DataFrame:
-    """Of equal sources the one whose name has no copy mark, isn't empty, and is least."""
-    rank = [name.rlike(r"\([0-9]+\)").cast("int"), (name == "").cast("int"), name, F.col(tie)]
+def preferred(rows: DataFrame, hash_by: list[Column], name: Column, empty: Column, tie: str) -> DataFrame:
+    """Of equal sources the one whose name has no copy mark before its ending, that isn't empty, and whose name is least."""
+    rank = [name.rlike(r"\([0-9]+\)\.[^.]+$").cast("int"), empty.cast("int"), name, F.col(tie)]
     w = Window.partitionBy(*hash_by).orderBy(*rank)
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
@@ -43,18 +45,26 @@ def chunk_violations(chunks: DataFrame, types: list[str] = CHUNK_TYPES, caps: di
     return rows.select("chunk_id", F.array_compact(F.array(*code)).alias("codes")).where(F.size("codes") > 0)
 
 
-def domain_violations(rows: DataFrame, domains: list[str]) -> DataFrame:
-    """(chunk_id, codes): primary and tags must be known, tags distinct, in order, and hold the primary."""
-    known = F.array(*map(F.lit, domains))
+def domain_violations(rows: DataFrame, domains: list[str], ties: list[str], kinds: list[str] = SOURCE_KINDS, method: str = METHOD, version: str = VERSION) -> DataFrame:
+    """(chunk_id, codes) of rows (source_kind, primary_domain, domain_tags, domain_tagging_method,
+    domain_tagging_version): kinds, domains, method and version must be known; tags not empty, distinct,
+    and the primary first, then by the order of ties."""
+    known = F.array(*map(F.lit, ties))
     place = lambda x: F.array_position(known, x)
-    tags = F.coalesce("domain_tags", F.array().cast("array<string>"))
-    sorted_ = F.transform(F.array_sort(F.transform(tags, lambda x: F.struct(place(x).alias("p"), x.alias("x")))), lambda s: s["x"])
+    tags, primary = F.coalesce("domain_tags", F.array().cast("array<string>")), F.coalesce("primary_domain", F.lit(""))
+    ordered = F.transform(F.array_sort(F.transform(tags, lambda x: F.struct((x != primary).alias("other"), place(x).alias("p"), x.alias("x")))), lambda s: s["x"])
+    unknown = F.exists(tags, lambda x: ~F.coalesce(x.isin(*domains), F.lit(False)))
+    is_ = lambda c, *v: F.coalesce(F.col(c).isin(*v), F.lit(False))
     code = [
-        F.when(place(F.coalesce("primary_domain", F.lit(""))) == 0, F.lit("primary_domain")),
-        F.when(F.exists(tags, lambda x: place(x) == 0), F.lit("domain_tags")),
+        F.when(~is_("source_kind", *kinds), F.lit("source_kind")),
+        F.when(~is_("primary_domain", *domains), F.lit("primary_domain")),
+        F.when(F.size(tags) == 0, F.lit("empty_tags")),
         F.when(F.size(F.array_distinct(tags)) < F.size(tags), F.lit("duplicate_tags")),
-        F.when(~tags.eqNullSafe(sorted_), F.lit("tag_order")),
-        F.when(~F.array_contains(tags, F.coalesce("primary_domain", F.lit(""))), F.lit("primary_not_tagged")),
+        F.when(unknown, F.lit("domain_tags")),
+        F.when((F.size(tags) > 0) & ~unknown & (tags != ordered), F.lit("tag_order")),
+        F.when(is_("primary_domain", *domains) & ~F.array_contains(tags, primary), F.lit("primary_not_tagged")),
+        F.when(~is_("domain_tagging_method", method), F.lit("method")),
+        F.when(~is_("domain_tagging_version", version), F.lit("version")),
     ]
     return rows.select("chunk_id", F.array_compact(F.array(*code)).alias("codes")).where(F.size("codes") > 0)
 

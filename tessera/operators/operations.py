@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +59,54 @@ def numbered(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return events.withColumn("sequence", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
-def compacted(events: DataFrame, key: list[str], order: list[str], cap: int, disposable: str) -> DataFrame:
-    """A bounded log: of each key whose log is over the cap, progress events (the
-    disposable type) become one row with their number, then the oldest other go."""
-    w = Window.partitionBy(*key)
-    rows = events.withColumn("size", F.count("*").over(w)).withColumn("folds", (F.col("size") > cap) & (F.col("event_type") == disposable))
-    last = F.row_number().over(Window.partitionBy(*key, "folds").orderBy(*(F.desc(c) for c in order)))
-    n = F.count("*").over(Window.partitionBy(*key, "folds"))
-    rows = rows.withColumn("last", last).withColumn("merged", F.when(F.col("folds"), n).otherwise(F.lit(1)))
-    rows = rows.where(~F.col("folds") | (F.col("last") == 1))
-    place = F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))
-    return rows.withColumn("place", place).where(F.col("place") <= cap).drop("size", "folds", "last", "place")
+#: What a full log may give up, and what a progress event becomes there: fixed values.
+PROGRESS, COMPACTED, LOG_CAP = ["item_running", "item_completed"], "progress_compacted", 2000
+
+
+def compacted(events: DataFrame, key: list[str], order: list[str], cap: int = LOG_CAP, progress: list[str] = PROGRESS) -> DataFrame:
+    """A bounded log: (key, sequence, order columns, event_type, merged, latest_type) of events (key, order, event_type).
+    In a log of cap events a progress event joins the compacted one, or makes the last progress event one; any other
+    takes the place of the oldest of these, and is left out if there is none. Each step depends on
+    the log before, so a key's events pass in order through one task, which holds its log of cap rows only."""
+    columns = [*key, *order]
+    rows = events.select(*columns, "event_type").repartition(*key).sortWithinPartitions(*columns)
+    fields = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*columns, "sequence", "event_type", "merged", "latest_type"]
+        held, log, waiting, mark = None, {}, deque(), None
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(*row[0], n, *row[1:]) for n, row in log.items()], columns=names)
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = tuple(None if x != x else x for x in tuple(row)[: len(key)])
+                if own != held:
+                    if log:
+                        yield out()
+                    held, log, waiting, mark = own, {}, deque(), None
+                at, kind = tuple(row)[:-1], row.event_type
+                fits = kind in progress
+                if len(log) >= cap:
+                    if fits and (mark is not None or waiting):
+                        if mark is None:
+                            mark = waiting.pop()
+                        log[mark] = (log[mark][0], COMPACTED, log[mark][2] + 1, kind)
+                        continue
+                    oldest = min((n for n in (waiting[0] if waiting else None, mark) if n is not None), default=None)
+                    if oldest is None:
+                        continue
+                    if oldest == mark:
+                        mark = None
+                    else:
+                        waiting.popleft()
+                    del log[oldest]
+                n = max(next(reversed(log), 0), 0) + 1
+                log[n] = (at, kind, 1, kind)
+                if fits:
+                    waiting.append(n)
+        if log:
+            yield out()
+
+    return rows.mapInPandas(run, f"{fields}, sequence long, event_type string, merged long, latest_type string")

@@ -63,16 +63,20 @@ def feedback_violations(spark, sf_dir):
 
 
 def request_violations(spark, sf_dir):
-    out = contracts.request_violations(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
-    return out.select("conv_id", F.array_join("codes", ",").alias("codes"))
+    """Sources as requests: their documents are the rows, every tenth of which repeats a row number, every fifteenth is blank."""
+    id_ = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("source", F.when(id_ % 10 == 0, 0).otherwise(id_).alias("row"), F.when(id_ % 15 == 0, " ").otherwise(F.col("text")).alias("text"))
+    out = contracts.request_violations(rows, "source", "row", "text")
+    return out.select("source", F.array_join("codes", ",").alias("codes"))
 
 
 def result_violations(spark, sf_dir):
-    """Results whose parts are 40, 45 for quality and the rest of the id; grades as stored are by quality only."""
-    rows = _results(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "quality"), "item_id")
-    parts = [F.lit(40.0), F.col("quality") * 45.0, (F.col("item_id") % 16).cast("double")]
-    stored = F.when(F.col("quality") == 1, "excellent").otherwise("failed")
-    codes = contracts.result_codes(F.col("total_score"), parts, stored, evaluation.grade(F.col("total_score")))
+    """Stored totals and grades: of every third item the grade is by quality only, of every fifth the total is off."""
+    rows = _results(spark, sf_dir)
+    total = F.when(F.col("item_id") % 5 == 0, F.col("total_score") + 1).otherwise(F.col("total_score"))
+    parts = [F.when(F.col("status") == evaluation.FINISHED, F.col(c)) for c in ("correctness", "keypoints", "groundedness", "relevance", "deterministic_points")]
+    stored = F.when(F.col("item_id") % 3 == 0, F.when(F.col("correctness") > 0, "excellent").otherwise("failed")).otherwise(evaluation.grade(F.col("total_score")))
+    codes = contracts.result_codes(total, parts, stored, evaluation.grade(total))
     return rows.select("item_id", F.array_join(codes, ",").alias("codes"))
 
 
@@ -84,15 +88,21 @@ def kb_search_results(spark, sf_dir):
 
 
 def display_locations(spark, sf_dir):
-    where = contracts.display_location(F.col("source"), F.col("lang"), F.when(F.col("n_chars") > 1000, F.col("doc_id") % 7), F.lit(None))
+    """Locators by id and length: pages, slides, spans of lines, heading paths, or nothing."""
+    id_ = F.col("doc_id")
+    only = lambda n, c: F.when(id_ % n == 0, c)
+    where = contracts.display_location(only(2, id_ % 7), only(5, id_ % 3 + 1), only(3, id_ % 11), only(3, id_ % 11 + id_ % 4), only(7, F.array(F.col("source"), F.lit(" "), F.col("lang"))))
     return table(spark, sf_dir, "documents").select("doc_id", where.alias("location"))
 
 
 def plan_filters(spark, sf_dir):
-    """Intents of events, widened and lowered to kinds of sources."""
-    intent = F.when(F.col("event_type") == "purchase", "journey_search").otherwise("general_sales_qa")
-    targets = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("course"))).when(F.col("user_id") % 3 == 1, F.array(F.lit("case"))).otherwise(F.array().cast("array<string>"))
-    kinds = contracts.source_kinds(contracts.targets_repaired(intent, targets))
+    """Intents, targets and chunk types of events; what is repaired, lowered to kinds of sources."""
+    user, event = F.col("user_id"), F.col("event_type")
+    intent = F.when(event == "purchase", "journey_search").when(event == "error", "out_of_scope").otherwise("general_sales_qa")
+    none = F.array().cast("array<string>")
+    targets = F.when(user % 3 == 0, F.array(F.lit("course"), F.lit("other"))).when(user % 3 == 1, F.array(F.lit("case"))).otherwise(none)
+    types = F.when(event == "click", F.array(F.lit("knowledge_entry"))).when(event == "view", F.array(F.lit("script"))).otherwise(none)
+    kinds = contracts.source_kinds(contracts.targets_repaired(intent, targets, types, F.col("event_id") % 10 != 0))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(kinds, ",").alias("kinds"))
 
 
@@ -111,17 +121,19 @@ QUERIES = {
 SELECT doc_id, regexp_replace(CASE WHEN base = '' THEN 'case' ELSE left(base, 80) END, '_+$', '') || '_' || left(sha1(name), 10) AS case_id FROM b"""),
     "chunk_templates": (chunk_templates, """WITH l AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents),
 t AS (SELECT doc_id, '知识类型：话术' || chr(10) || '阶段：' || lang || chr(10) || '场景：' || chr(10) || '来源：' || source || CASE WHEN len(items) > 0 THEN chr(10) || '要点：' || chr(10) || array_to_string(list_transform(items, lambda x: '- ' || x), chr(10)) ELSE '' END AS t FROM l) SELECT doc_id, md5(t) AS digest, length(t) AS n_chars FROM t"""),
-    "numbered_lines": (numbered_lines, "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: 'L' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE left(i::VARCHAR, 3) END || ': ' || x), chr(10))) AS digest FROM documents"),
+    "numbered_lines": (numbered_lines, r"SELECT doc_id, md5(array_to_string(list_transform(regexp_split_to_array(regexp_replace(text, '\n$', ''), '\n'), lambda x, i: printf('L%03d: ', i) || x), chr(10))) AS digest FROM documents"),
     "answer_deltas": (answer_deltas, f"WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{_ENDS}]{{0,17}}[{_ENDS}]|[^{_ENDS}]{{1,18}}') AS s FROM conversations) SELECT conv_id, turn, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM p"),
     "upload_groups": (upload_groups, "WITH p AS (SELECT string_split(url, '/') AS s FROM pages), g AS (SELECT s[3] AS upload_id, CASE WHEN len(s) > 4 THEN s[4] ELSE '__root__' END AS folder FROM p) SELECT upload_id, trim(folder) AS unit, count(*) AS n, count(DISTINCT folder) AS names FROM g GROUP BY ALL"),
     "evidence_catalog": (evidence_catalog, None),
     "citation_fallback": (citation_fallback, f"WITH {_FLAT}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, citation ORDER BY CASE citation_index WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, citation_index) AS k FROM f) SELECT conv_id, citation_index, evidence_index, citation_index <= 2 AS selected, md5(citation) AS digest FROM r WHERE k = 1"),
     "feedback_violations": (feedback_violations, "SELECT doc_id, array_to_string(list_filter([CASE WHEN quality <> 1 AND toxic = 1 THEN 'combination' END, CASE WHEN (quality <> 1 OR toxic = 1) AND doc_id % 2 <> 0 THEN 'reason' END], lambda x: x IS NOT NULL), ',') AS codes FROM labels"),
-    "request_violations": (request_violations, "WITH g AS (SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS rows_, max(length(text)) AS longest, count_if(trim(text) = '') AS blank FROM conversations GROUP BY conv_id), c AS (SELECT conv_id, list_filter([CASE WHEN n > 1000 THEN 'rows' END, CASE WHEN n > 100 THEN 'questions' END, CASE WHEN rows_ < n THEN 'row_index' END, CASE WHEN longest > 20000 THEN 'cell' END, CASE WHEN longest > 2000 THEN 'query' END, CASE WHEN blank > 0 THEN 'blank' END], lambda x: x IS NOT NULL) AS codes FROM g) SELECT conv_id, array_to_string(codes, ',') AS codes FROM c WHERE len(codes) > 0"),
-    "result_violations": (result_violations, f"WITH {_RESULTS}, g AS (SELECT *, CASE WHEN total_score >= 85 THEN 'excellent' WHEN total_score >= 75 THEN 'qualified' WHEN total_score IS NOT NULL THEN 'failed' END AS graded FROM r) SELECT item_id, array_to_string(list_filter([CASE WHEN total_score IS NULL THEN 'null' END, CASE WHEN graded IS DISTINCT FROM CASE WHEN quality = 1 THEN 'excellent' ELSE 'failed' END THEN 'grade' END], lambda x: x IS NOT NULL), ',') AS codes FROM g"),
+    "request_violations": (request_violations, "WITH d AS (SELECT source, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id END AS row_, CASE WHEN doc_id % 15 = 0 THEN ' ' ELSE text END AS text FROM documents), g AS (SELECT source, count(*) AS n, count(DISTINCT row_) AS rows_, max(length(text)) AS longest, count_if(trim(text) = '') AS blank FROM d GROUP BY source), c AS (SELECT source, list_filter([CASE WHEN n > 1000 THEN 'rows' END, CASE WHEN n > 100 THEN 'questions' END, CASE WHEN rows_ < n THEN 'row_index' END, CASE WHEN longest > 20000 THEN 'cell' END, CASE WHEN longest > 2000 THEN 'query' END, CASE WHEN blank > 0 THEN 'blank' END], lambda x: x IS NOT NULL) AS codes FROM g) SELECT source, array_to_string(codes, ',') AS codes FROM c WHERE len(codes) > 0"),
+    "result_violations": (result_violations, f"WITH {_RESULTS}, g AS (SELECT *, total_score + CASE WHEN item_id % 5 = 0 THEN 1 ELSE 0 END AS total FROM r), v AS (SELECT *, CASE WHEN total_score >= 85 THEN 'excellent' WHEN total_score >= 75 THEN 'qualified' WHEN total_score IS NOT NULL THEN 'failed' END AS own, CASE WHEN total >= 85 THEN 'excellent' WHEN total >= 75 THEN 'qualified' WHEN total IS NOT NULL THEN 'failed' END AS graded FROM g) SELECT item_id, array_to_string(list_filter([CASE WHEN status = '问答失败' THEN 'null' END, CASE WHEN status = '已完成' AND item_id % 5 = 0 THEN 'total' END, CASE WHEN graded IS DISTINCT FROM CASE WHEN item_id % 3 = 0 THEN CASE WHEN quality = 1 THEN 'excellent' ELSE 'failed' END ELSE own END THEN 'grade' END], lambda x: x IS NOT NULL), ',') AS codes FROM v"),
     "kb_search_results": (kb_search_results, rf"WITH {BM25}, t AS (SELECT query_id, rank, d.source, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS line FROM {RANKED.format('scores')} JOIN documents d ON doc_id = chunk_id WHERE rank <= 5 AND score > 0) SELECT query_id, rank, source AS docId, 'SLICE' AS knowledgeType, '切片' AS knowledgeTypeName, CASE WHEN length(line) > 240 THEN left(line, 240) || '...' ELSE line END AS content FROM t"),
-    "display_locations": (display_locations, "SELECT doc_id, source || ' · ' || lang || CASE WHEN n_chars > 1000 THEN ' · 第 ' || (doc_id % 7) || ' 页' ELSE '' END AS location FROM documents"),
-    "plan_filters": (plan_filters, "SELECT event_id, CASE WHEN user_id % 3 = 0 AND event_type <> 'purchase' THEN '培训资料' WHEN user_id % 3 = 1 THEN '绩优案例' ELSE '' END AS kinds FROM events"),
+    "display_locations": (display_locations, """WITH p AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 AND doc_id % 7 <> 0 THEN 'p' || doc_id % 7 END, CASE WHEN doc_id % 5 = 0 THEN 'slide' || (doc_id % 3 + 1) END,
+  CASE WHEN doc_id % 3 = 0 AND doc_id % 11 <> 0 THEN 'L' || doc_id % 11 || CASE WHEN doc_id % 4 <> 0 THEN '-L' || (doc_id % 11 + doc_id % 4) ELSE '' END END, CASE WHEN doc_id % 7 = 0 THEN source || ' / ' || lang END], lambda x: x IS NOT NULL) AS s FROM documents)
+SELECT doc_id, CASE WHEN len(s) > 0 THEN array_to_string(s, ' · ') ELSE '未提供精确位置' END AS location FROM p"""),
+    "plan_filters": (plan_filters, "SELECT event_id, CASE WHEN user_id % 3 = 0 AND NOT (event_id % 10 <> 0 AND event_type IN ('purchase', 'view')) THEN '培训资料' WHEN user_id % 3 = 1 AND NOT (event_id % 10 <> 0 AND event_type = 'click') THEN '绩优案例' ELSE '' END AS kinds FROM events"),
     "error_codes": (error_codes, "SELECT CASE event_type WHEN 'error' THEN '503' WHEN 'click' THEN '10004' ELSE '500' END AS code, count(*) AS n FROM events GROUP BY 1"),
     "checkpoint_latest": (checkpoint_latest, "SELECT conv_id, turn, role, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1"),
 }

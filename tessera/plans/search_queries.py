@@ -11,6 +11,8 @@ from tessera.operators import classify, retrieval
 #: Rule tables for the driver's Latin texts; every operator takes its own as a parameter.
 DOMAINS = {"anglo": ["that", "with", "from"], "gallic": ["eaux", "ment", "pour"], "iberian": ["ción", "para", "mente"], "teuton": ["ung", "lich", "und "]}
 TIES = ["teuton", "gallic", "anglo", "iberian"]
+#: Labels that name a domain.
+LABELS = {"anglo": ["en"], "gallic": ["fr"], "iberian": ["es"], "teuton": ["de"]}
 TAGS = [("legal", "license", ["licensed under", "license"]), ("legal", "rights", ["all rights reserved"]), ("contact", "mail", ["@mail"]), ("style", "list", [" | "]), ("style", "shout", ["!!"])]
 FACETS = ["lang", "source"]
 
@@ -146,8 +148,13 @@ def query_domain_tags(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    fields = {"title": F.split("text", "\n")[0], "text": F.col("text")}
-    return chunks(spark, sf_dir).withColumn("scores", classify.domain_scores(fields, DOMAINS, {"title": 8, "text": 1}))
+    """The language is a label, the first line structured text, and the source's name source text;
+    of every third document only the text counts."""
+    some = F.col("chunk_id") % 3 != 0
+    title = F.split("text", "\n")[0]
+    texts = {"structured": F.when(some, classify.structured_text(F.array(title, F.col("lang")), DOMAINS, LABELS)), "source": F.when(some, F.col("source")), "text": F.col("text")}
+    direct = {"lang": F.when(some, F.array("lang"))}
+    return chunks(spark, sf_dir).withColumn("scores", classify.domain_scores(DOMAINS, direct, texts, LABELS))
 
 
 def domain_scores(spark, sf_dir):
@@ -162,6 +169,11 @@ def primary_domain(spark, sf_dir):
     return _primary(spark, sf_dir).select("chunk_id", "domain")
 
 
+def domain_tags(spark, sf_dir):
+    tags = classify.domain_tags(F.col("scores"), TIES)
+    return _scored(spark, sf_dir).select("chunk_id", F.coalesce(F.array_join(tags, ";"), F.lit("")).alias("tags"))
+
+
 def domain_distribution(spark, sf_dir):
     return classify.distribution(_primary(spark, sf_dir), "domain")
 
@@ -183,9 +195,9 @@ def facet_merge(spark, sf_dir):
 
 _TAG_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_keys(k)} THEN '{d}/{v}' END" for d, v, k in TAGS) + "], lambda x: x IS NOT NULL)"
 _DOMAIN_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_keys(DOMAINS[d])} THEN '{d}' END" for d in TIES) + "], lambda x: x IS NOT NULL)"
-_SCORES = "scored AS (" + " UNION ALL ".join(f"SELECT doc_id AS chunk_id, '{d}' AS domain, {i} AS tie, 8 * ({_count(DOMAINS[d], 'title')}) + {_count(DOMAINS[d])} AS score FROM titled" for i, d in enumerate(TIES)) + ")"
-_TITLED = "titled AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS title FROM documents)"
-_PRIMARY = f"{_TITLED}, {_SCORES}, best AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, tie) AS k FROM scored), classed AS (SELECT chunk_id, CASE WHEN score >= 2 THEN domain ELSE 'unclassified' END AS domain FROM best WHERE k = 1)"
+_SCORES = "scored AS (" + " UNION ALL ".join(f"SELECT doc_id AS chunk_id, '{d}' AS domain, {i} AS tie, CASE WHEN doc_id % 3 <> 0 THEN 10 * (lang = '{LABELS[d][0]}')::INT + 4 * ({_count(DOMAINS[d], 'title')}) + 2 * ({_count(DOMAINS[d], 'source')}) ELSE 0 END + {_count(DOMAINS[d])} AS score FROM titled" for i, d in enumerate(TIES)) + ")"
+_TITLED = "titled AS (SELECT doc_id, text, lang, source, CASE WHEN string_split(text, chr(10))[1] IN ('en', 'de', 'fr', 'es') THEN '' ELSE string_split(text, chr(10))[1] END AS title FROM documents)"
+_PRIMARY = f"{_TITLED}, {_SCORES}, best AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, tie) AS k FROM scored), classed AS (SELECT chunk_id, CASE WHEN score >= 4 THEN domain ELSE 'unclassified' END AS domain FROM best WHERE k = 1)"
 _HIT = "query_id, chunk_id, rank, score"
 
 QUERIES = {
@@ -209,6 +221,7 @@ SELECT query_id, chunk_id, rank, score, factor FROM (SELECT *, row_number() OVER
     "query_domain_tags": (query_domain_tags, f"SELECT item_id AS query_id, array_to_string({_DOMAIN_LIST}, ';') AS domains FROM benchmark"),
     "domain_scores": (domain_scores, f"WITH {_TITLED}, {_SCORES} SELECT chunk_id, domain, score FROM scored WHERE score > 0"),
     "primary_domain": (primary_domain, f"WITH {_PRIMARY} SELECT chunk_id, domain FROM classed"),
+    "domain_tags": (domain_tags, f"WITH {_PRIMARY} SELECT chunk_id, coalesce(string_agg(domain, ';' ORDER BY k > 1, tie) FILTER (score >= 4), '') AS tags FROM best GROUP BY chunk_id"),
     "domain_distribution": (domain_distribution, f"WITH {_PRIMARY} SELECT domain AS value, count(*) AS n FROM classed GROUP BY domain"),
     "domain_samples": (domain_samples, f"WITH {_PRIMARY} SELECT domain, chunk_id, k FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY chunk_id) AS k FROM classed) WHERE k <= 3"),
     "facet_values": (facet_values, "SELECT DISTINCT 'lang' AS facet, trim(lang) AS value FROM documents WHERE trim(lang) <> '' UNION SELECT DISTINCT 'source', trim(source) FROM documents WHERE trim(source) <> ''"),

@@ -40,6 +40,7 @@ def test_deltas_match_a_loop(spark, answer):
 def test_numbers_are_not_cut(spark):
     lines = value(spark, cases.numbered(F.col("text")), "\n".join("x" * 2345)[: 2 * 2345 - 1]).split("\n")
     assert [lines[i] for i in (0, 998, 999, 1000, 2344)] == ["L001: x", "L999: x", "L1000: x", "L1001: x", "L2345: x"]
+    assert value(spark, cases.numbered(F.col("text")), "a\r\nb\x0bc\n\n") == "L001: a\nL002: b\nL003: c\nL004: " and value(spark, cases.numbered(F.col("text")), "") == ""
     ids = {r.i: r.chunk_id for r in chunking.segment_ids(spark.range(1, 10012).select(F.lit(7).alias("doc_id"), F.col("id").alias("i")), "doc_id", ["i"], "course").collect()}
     assert len(set(ids.values())) == 10011 and [ids[i] for i in (1, 9999, 10000, 10001)] == ["course__7__0001", "course__7__9999", "course__7__10000", "course__7__10001"]
 
@@ -91,7 +92,13 @@ def test_contracts(spark):
     kinds = lambda *t: value(spark, contracts.source_kinds(F.array(*map(F.lit, t)).cast("array<string>")))
     assert (kinds("case"), kinds("course"), kinds("case", "course"), kinds()) == (["绩优案例"], ["培训资料"], [], [])
     assert value(spark, contracts.targets_repaired(F.lit("journey_search"), F.array(F.lit("course")))) == ["case", "course"]
-    assert value(spark, contracts.display_location(F.lit("a.pptx"), F.lit(""), F.lit(3), F.lit(None))) == "a.pptx · 第 3 页"
+    fix = lambda intent, targets, types=(), needs=True: value(spark, contracts.targets_repaired(F.lit(intent), F.array(*map(F.lit, targets)).cast("array<string>"), F.array(*map(F.lit, types)).cast("array<string>"), F.lit(needs)))
+    assert fix("any", ["course"], ["script"]) == fix("any", ["case"], ["knowledge_entry"]) == fix("any", []) == fix("any", ["odd"]) == ["case", "course"]
+    assert fix("any", ["course", "course"]) == fix("out_of_scope", ["course"], ["script"]) == fix("journey_search", ["course"], [], False) == ["course"]
+    where = lambda page=None, slide=None, first=None, last=None, path=(): value(spark, contracts.display_location(F.lit(page), F.lit(slide), F.lit(first), F.lit(last), F.array(*map(F.lit, path)).cast("array<string>")))
+    assert where(first=2, last=4) == "L2-L4" and where(3, 5, 9, 9, ["one", " two "]) == "p3 · slide5 · L9 · one / two"
+    assert where() == where(path=[" ", ""]) == where(page=0) == "未提供精确位置"
+    assert value(spark, contracts.display_excerpt(F.lit(" "), F.lit(" quote "))) == "quote" and value(spark, contracts.display_excerpt(F.lit("kept"), F.lit("quote"))) == "kept"
     assert value(spark, contracts.error_code(F.col("text")), "TimeoutError") == "504" and value(spark, contracts.error_code(F.col("text")), "Odd") == "500"
     assert value(spark, contracts.secret_keys(F.col("text")), '{"a":{"apiKey":"1"}}') and value(spark, contracts.secret_keys(F.col("text")), '{"u":"http://a:b@c"}') and not value(spark, contracts.secret_keys(F.col("text")), '{"u":"http://c"}')
 

@@ -11,8 +11,12 @@ def test_references_are_resolved(spark):
     text = "\n".join(f"line number {i}" for i in range(1, 11))
     sources = spark.createDataFrame([("c", "p1", "f", "s1", text), ("c", "p2", "f", "s2", "other\ntext here")], "case_id string, source_path string, filename string, source_id string, text string")
     rows = [("span", "c", "p1", "", "", "a paraphrase", 2, 4), ("quote", "c", "p1", "", "", "line number 5", None, None), ("near", "c", "", "", "s2", "zz...text here", 9, 3), ("none", "c", "", "f", "", "nowhere", 90, 91), ("lost", "x", "p", "", "", "q", None, None)]
+    rows.append(("quote", "d", "", "", "s1", "of another", None, None))  # the same ids in another case
+    sources = sources.unionByName(spark.createDataFrame([("d", "p1", "f", "s1", "text\nof another case")], sources.schema))
     refs = spark.createDataFrame(rows, "ref_id string, case_id string, source_path string, filename string, source_id string, quote string, line_start int, line_end int")
-    out = {r.ref_id: r for r in locate.resolved(refs, sources).collect()}
+    out = {(r.case_id, r.ref_id): r for r in locate.resolved(refs, sources).collect()}
+    assert len(out) == len(rows) and (out["d", "quote"].confidence, out["d", "quote"].line_start, out["d", "quote"].excerpt) == ("exact", 2, "of another case")
+    out = {k[1]: r for k, r in out.items() if k[0] != "d"}
     assert (out["span"].confidence, out["span"].line_start, out["span"].anchor_id) == ("validated_span", 2, "s1#line-2") and out["span"].excerpt.count("\n") == 2
     assert (out["quote"].confidence, out["quote"].line_start) == ("exact", 5) and out["quote"].context == "\n".join(f"line number {i}" for i in range(2, 9))
     assert (out["near"].confidence, out["near"].line_start, out["near"].source_id) == ("approximate", 2, "s2")
