@@ -30,7 +30,7 @@ CACHE = "digest binary, version string, n_tokens long"
 #: Characters that one call of the tokenizer encodes, but for a longer single text.
 CALL = 1 << 20
 #: Missing digests that are broadcast, of 32 bytes each.
-MAX_MISSES = 500_000
+MAX_MISSES = 20_000
 
 
 def tokenizer_file(name: str = TOKENIZER) -> bytes:
