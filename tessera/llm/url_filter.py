@@ -4,7 +4,8 @@ An entry (host, path, verdict, rule) fits its host and all subdomains where the
 url's path starts with the entry's. Rules go before the other listed entries; then
 the longest wins (host and path together; of equally long ones the greatest host, path, verdict). A canonical url is the host,
 lower-cased, and the path, without query and fragment. Its keys are each suffix of the host's
-labels with each beginning of the path that is as long as some entry's path. The
+labels with each beginning of the path that is as long as some entry's path; of these lengths there are as many as
+the longest entry has characters at most, and they are looked up as a table. The
 filter, blocks of 512 bits of which an entry sets eight in one block, passes keys that
 may be listed; the join on the key removes false positives. Verdicts are made
 once for each distinct (host, path), so a frequent url costs no more than a row.
@@ -17,6 +18,7 @@ and path, fits nothing and gets the default verdict. Repeated rows stay rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,6 @@ from pyspark.sql import functions as F
 
 BITS_PER_ENTRY, BLOCK_BITS, PROBES = 16, 512, 8
 MAX_FILTER_BYTES = 64 << 20
-#: Distinct lengths of entries' paths; a list with more needs another key, and is refused.
-MAX_LENGTHS = 1024
-
 ENTRIES = "host string, path string, verdict string, rule boolean"
 #: Hosts that the corpus lists for spam, and the rules of the check: fixed values.
 LISTED = [("spam-farm.example.org", "/", "block", False), ("cheap-pills.example.com", "/", "block", False)]
@@ -96,16 +95,15 @@ def url_verdicts(pages: DataFrame, entries: DataFrame, default: str = "allow", i
     """(id, host, path, rule, verdict, listed) of every row of pages. entries:
     ENTRIES; rule is the winning entry where it is flagged as one."""
     entries = entries.dropna(subset=["host", "path", "verdict"])
-    lengths = [r[0] for r in entries.select(F.length("path").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"paths of more than {MAX_LENGTHS} lengths")
+    lengths = sorted(r[0] for r in entries.select(F.length("path").alias("n")).distinct().collect())
     host, path = canonical(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rows = rows.fillna("", ["host", "path"])
     urls = rows.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.array_distinct(F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths or [0])), lambda x: x.isNotNull()))
+    fitting = F.filter(F.from_json(F.lit(json.dumps(lengths)), "array<int>"), lambda n: n <= F.length("path"))
+    heads = F.transform(fitting, lambda n: F.substr("path", F.lit(1), n))
     keys = urls.withColumn("tail", F.explode(tails)).withColumn("head", F.explode(heads)).withColumn("digest", key_digest(F.col("tail"), F.col("head")))
     words = pages.sparkSession.sparkContext.broadcast(bloom(entries))
     hits = keys.mapInArrow(_probed(words), keys.schema)

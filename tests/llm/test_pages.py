@@ -73,6 +73,16 @@ def test_verdicts(spark):
     assert {r.verdict for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), none).collect()} == {"allow"}
 
 
+def test_lists_of_many_path_lengths_and_odd_tables(spark):
+    entries = [("long.org", "/" + "a" * n, "block" if n % 2 else "allow", False) for n in range(1500)]
+    urls = [f"http://x.long.org/{'a' * n}/" for n in (0, 3, 700, 1499, 1600)] + ["http://long.org/" + "b" * 100_000, "http://" + "a." * 3000 + "long.org/aa"]
+    schema = "page_id long, url string, host string, path int, rule string, tail string"
+    rows = [(i, u, "h", 1, "r", "t") for i, u in enumerate(urls)]
+    got = {r.page_id: (r.verdict, r.listed) for r in url_filter.url_verdicts(spark.createDataFrame(rows, schema), spark.createDataFrame(entries, url_filter.ENTRIES)).collect()}
+    assert got == {0: ("allow", True), 1: ("block", True), 2: ("allow", True), 3: ("block", True), 4: ("block", True), 5: ("allow", True), 6: ("allow", True)}
+    assert url_filter.url_verdicts(spark.createDataFrame([], schema), spark.createDataFrame(entries, url_filter.ENTRIES)).count() == 0
+
+
 def test_filter_has_no_false_negatives(spark):
     entries = spark.range(5000).selectExpr("concat('h', id, '.com') AS host", "'/a' AS path", "'block' AS verdict", "false AS rule")
     words = url_filter.bloom(entries)
