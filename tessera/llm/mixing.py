@@ -8,7 +8,7 @@ marginal in turn until all agree; a cell that reaches its own tokens is cut ther
 (probability 1) and the other cells of the value take what it lacks. So a rare
 value decides about its own documents and not about the corpus, the expected tokens of the sample have
 these marginals, and no document is drawn twice. Values that can't reach their share, and
-raking that hasn't converged after max_rounds, are told in a warning; ``marginals`` has
+raking that hasn't converged after max_rounds (each marginal within tolerance of its own size), are told in a warning; ``marginals`` has
 the wanted and the expected share of every value. ``raked`` without keep instead divides
 by the largest factor of any cell: exact shares, in a sample that the rarest cell limits.
 The draw is a hash of id and text: the same for equal rows, in every run, at every partitioning.
@@ -20,9 +20,9 @@ the others rescaled. Cells are a table that Spark joins to itself in each round,
 the shared folder. Documents meet it in a broadcast join if it has MAX_CELLS
 rows at most, else in a plain one.
 
-Topics are the first kind of passage that a text's patterns show. Null sources,
-languages and texts count as values of their own (``?`` for the first two, topic
-general and no tokens for the last). A cell without tokens has probability 1.
+Topics are given in a column, or learned (``Topics``). Null sources, languages and topics
+count as a value of their own (``?``); a null, empty or blank text has no tokens and the topic
+EMPTY. A cell without tokens has probability 1. Columns of docs pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,43 +30,134 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import fresh, written
+from tessera.llm.words import slices
 
-#: (topic, pattern) in the order in which they are tried; texts without a match are general.
-TOPICS = [("legal", r"(?i)licen[cs]ed? under|all rights reserved|copyright"), ("code", r"token = |key=|secret"), ("contact", r"[0-9]@|\+[0-9] \(")]
 EXPONENTS = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 DIMENSIONS = ["source", "lang", "topic"]
-TOLERANCE, MAX_ROUNDS, MAX_CELLS = 1e-3, 25, 100_000
+TOLERANCE, MAX_ROUNDS, MAX_CELLS = 1e-3, 50, 100_000
+#: Topics of a language, places of a vector, passes, languages with topics of their own.
+TOPICS, DIMS, STEPS, MAX_LANGS, SEED = 4, 64, 5, 32, 11
+OTHER_LANGS, EMPTY = "*", "no words"
 #: Tokens of the sample, as a share of the tokens that can be drawn.
 KEEP = 0.85
 
 
-def topic_of(text: Column, topics: list[tuple[str, str]] = TOPICS) -> Column:
-    out = F.lit("general")
-    for name, pattern in reversed(topics):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+class Topics:
+    """Centres of document vectors, by language: a document has the topic of the nearest centre.
 
+    A vector counts a text's words in DIMS hashed places, as square roots scaled to unit length. The
+    centres are learned from all documents by spherical k-means, a Spark pass a step: tasks sum the
+    vectors of each (language, topic), and K x DIMS sums of each of MAX_LANGS languages at most reach
+    the driver; rarer languages share one set. So topics divide each language and don't repeat it."""
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, centres: dict[str, np.ndarray]):
+        self.centres = centres
+
+    def nearest(self, lang: str | None, vectors: np.ndarray) -> np.ndarray:
+        centres = self.centres.get(lang, self.centres.get(OTHER_LANGS))
+        return np.zeros(len(vectors), np.int64) if centres is None else np.argmax(np.round(vectors @ centres.T, 9), axis=1)
+
+    @classmethod
+    def learned(cls, docs: DataFrame, k: int = TOPICS, steps: int = STEPS) -> Topics:
+        langs = [r[0] for r in docs.where("lang is not null").groupBy(F.col("lang").cast("string").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()]
+        rows = written(_own(docs).mapInArrow(_vectors, "lang string, vector array<float>"), "vectors")
+        names = [*langs, OTHER_LANGS]
+        rng = np.random.default_rng(SEED)
+        start = rng.random((k, DIMS))
+        self = cls({name: start / np.linalg.norm(start, axis=1, keepdims=True) for name in names})
+        for _ in range(steps):
+            sums: dict[str, dict[int, np.ndarray]] = {}
+            out = rows.mapInArrow(_summed(self, langs), "lang string, topic int, n long, sums array<double>")
+            places = F.array(*(F.sum(F.round(F.col("sums")[i], 6).cast("decimal(30,6)")).cast("double") for i in range(DIMS)))
+            for r in out.groupBy("lang", "topic").agg(F.sum("n").alias("n"), places.alias("sums")).collect():
+                sums.setdefault(r["lang"], {})[r["topic"]] = np.array(r["sums"])
+            for name, own in sums.items():
+                centres = self.centres[name].copy()
+                for t, v in own.items():
+                    centres[t] = v
+                norms = np.linalg.norm(centres, axis=1, keepdims=True)
+                self.centres = self.centres | {name: centres / np.where(norms > 0, norms, 1)}
+        return self
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def vectors_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of each text, and its number of words."""
+    out, words = np.zeros((len(texts), DIMS)), np.zeros(len(texts), np.int64)
+    for s in slices(texts):
+        place = (s.digests(lower=True) >> np.uint64(64 - DIMS.bit_length() + 1)).astype(np.int64)
+        row = np.repeat(np.arange(s.first, s.last), np.diff(s.words))
+        np.add.at(out, (row, place), 1)
+        words[s.first : s.last] = np.diff(s.words)
+    out = np.sqrt(out)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norms > 0, norms, 1), words
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DIMENSIONS), pa.array(n, pa.int64())], names=[*DIMENSIONS, "tokens"])
+        vectors, words = vectors_of(batch.column("text"))
+        some = words > 0
+        flat = pa.array(vectors[some].astype(np.float32).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column("lang").filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1) * DIMS, pa.int32()), flat)], names=["lang", "vector"])
+
 
+def _summed(topics: Topics, langs: list[str]):
+    """Of a task: for each language and topic the number and the sum of its vectors."""
 
-def _keyed(docs: DataFrame, topics: list[tuple[str, str]]) -> DataFrame:
-    own = {c: F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("source", "lang")}
-    return docs.select(own["source"].alias("source"), own["lang"].alias("lang"), F.coalesce(topic_of(F.col("text"), topics), F.lit("general")).alias("topic"), F.col("text").cast("string").alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            vectors = batch.column("vector").flatten().to_numpy().astype(np.float64).reshape(-1, DIMS)
+            lang = np.array([x if x in langs else OTHER_LANGS for x in batch.column("lang").to_pylist()], dtype=object)
+            for name in dict.fromkeys(lang):
+                own = vectors[lang == name]
+                at = topics.nearest(name, own)
+                for t in np.unique(at):
+                    held = sums.setdefault((name, int(t)), [0, np.zeros(DIMS)])
+                    held[0] += int((at == t).sum())
+                    held[1] += own[at == t].sum(axis=0)
+        rows = [{"lang": k[0], "topic": k[1], "n": v[0], "sums": v[1].tolist()} for k, v in sums.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("topic", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))]))
 
+    return run
 
-def cells_of(docs: DataFrame, topics: list[tuple[str, str]] = TOPICS) -> DataFrame:
-    """(source, lang, topic, tokens) of the documents."""
-    counted = _keyed(docs, topics).mapInArrow(_tokens, "source string, lang string, topic string, tokens long")
-    return counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+
+def _measured(topics: Topics | None):
+    """Batches with the topic and the words of each text behind their own columns (text first, lang second)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, langs = batch.column(0), np.array(batch.column(1).to_pylist(), dtype=object)
+            if topics is None:
+                names, words = batch.column(2), np.array([len(t.as_buffer().to_pybytes().split()) if t.is_valid else 0 for t in texts], np.int64)
+            else:
+                vectors, words = vectors_of(texts)
+                found = np.zeros(len(langs), np.int64)
+                for name in set(langs):
+                    found[langs == name] = topics.nearest(name, vectors[langs == name])
+                names = pa.array([f"topic {t}" if w else EMPTY for t, w in zip(found, words)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], names, pa.array(words)], names=[*batch.schema.names[3:], "topic", "tokens"])
+
+    return run
+
+
+def with_topics(docs: DataFrame, topics: Topics | None, topic_col: str | None, topic: str, tokens: str) -> DataFrame:
+    """docs with two more columns: the topic of each row (given, or the nearest) and its words."""
+    given = F.coalesce(F.col(topic_col).cast("string"), F.lit("?")) if topic_col else F.lit(None).cast("string")
+    # columns by place, as any name may be taken
+    own = docs.select(F.col("text").cast("string").alias("c0"), F.col("lang").cast("string").alias("c1"), given.alias("c2"), *(F.col(f"`{c}`").alias(f"c{i + 3}") for i, c in enumerate(docs.columns)))
+    kinds = ", ".join(f"c{i + 3} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return own.mapInArrow(_measured(topics), f"{kinds}, topic string, tokens long").toDF(*docs.columns, topic, tokens)
 
 
 def _shares(cells: DataFrame, targets: dict[str, DataFrame] | None, exponents: dict[str, float]) -> dict[str, DataFrame]:
@@ -130,12 +221,12 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponen
             factor = sums.join(shares[d], d).select(d, F.coalesce(F.when((share > F.col("sum")) & (free > 0), more).otherwise(less), F.lit(0.0)).alias("factor"))
             state = state.join(factor, d).withColumn("weight", F.least(F.col("weight") * F.col("factor"), most)).drop("factor")
         state = written(state, "raked")
-        offs = [state.groupBy(d).agg(F.sum("weight").alias("sum")).join(shares[d], d).agg(F.max(F.abs(F.col("sum") - F.col(f"{d}_share"))).alias("off")) for d in DIMENSIONS]
+        offs = [state.groupBy(d).agg(F.sum("weight").alias("sum")).join(shares[d], d).agg(F.max(F.when(F.col(f"{d}_share") > 0, F.abs(F.col("sum") / F.col(f"{d}_share") - 1)).otherwise(F.col("sum"))).alias("off")) for d in DIMENSIONS]
         off = offs[0].union(offs[1]).union(offs[2]).agg(F.max("off")).head()[0] or 0.0
         if off <= tolerance:
             break
     else:
-        warnings.warn(f"raking is {off:.4f} off a marginal share after {max_rounds} rounds; the tolerance is {tolerance}", stacklevel=2)
+        warnings.warn(f"raking is {off:.4f} of a share off a marginal after {max_rounds} rounds; the tolerance is {tolerance}", stacklevel=2)
     factor = F.col("weight") / F.col("tokens")
     if keep is not None:  # cells that no target lets in have left the state
         out = cells.join(state.select(*DIMENSIONS, "weight"), DIMENSIONS, "left").fillna(0.0, ["weight"])
@@ -153,16 +244,35 @@ def marginals(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exp
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: list[tuple[str, str]] = TOPICS, exponents: dict[str, float] = EXPONENTS, seed: int = 1, keep: float = KEEP) -> DataFrame:
-    """docs with topic_, probability_ and drawn_."""
-    cells = raked(cells_of(docs, topics), targets, exponents, keep=keep).select(*(F.col(d).alias(f"{d}_") for d in DIMENSIONS), F.col("probability").alias("probability_"))
+def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topics: Topics | None = None, exponents: dict[str, float] = EXPONENTS, seed: int = 1, keep: float = KEEP, topic_col: str | None = None) -> DataFrame:
+    """docs with topic_, probability_ and drawn_; a name that docs has already gets more underscores
+    (``shared.fresh`` tells). topic_col: a column of given topics; else topics, learned from docs by default."""
+    names = {c: fresh(docs, f"{c}_") for c in (*DIMENSIONS, "tokens", "probability", "drawn")}
+    topics = None if topic_col else topics or Topics.learned(docs)
+    measured = with_topics(docs, topics, topic_col, names["topic"], names["tokens"])
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    keyed = measured.select(value("source").alias("source"), value("lang").alias("lang"), F.col(names["topic"]).alias("topic"), F.col(names["tokens"]).alias("tokens"))
+    cells = raked(keyed.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), targets, exponents, keep=keep)
+    cells = cells.select(*(F.col(d).alias(names[d]) for d in DIMENSIONS), F.col("probability").alias(names["probability"]))
     cells = F.broadcast(cells) if cells.count() <= MAX_CELLS else cells
-    own = docs.withColumns({"source_": F.coalesce(F.col("source").cast("string"), F.lit("?")), "lang_": F.coalesce(F.col("lang").cast("string"), F.lit("?")), "topic_": F.coalesce(topic_of(F.col("text"), topics), F.lit("general"))})
+    own = measured.withColumns({names["source"]: value("source"), names["lang"]: value("lang")})
     draw = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    out = own.join(cells, [f"{d}_" for d in DIMENSIONS], "left").withColumn("probability_", F.coalesce("probability_", F.lit(1.0)))
-    return out.withColumn("drawn_", draw < F.col("probability_")).drop("source_", "lang_")
+    out = own.join(cells, [names[d] for d in DIMENSIONS], "left").withColumn(names["probability"], F.coalesce(names["probability"], F.lit(1.0)))
+    return out.withColumn(names["drawn"], draw < F.col(names["probability"])).select(*docs.columns, names["topic"], names["probability"], names["drawn"])
+
+
+def drawn(docs: DataFrame, **more) -> DataFrame:
+    """The rows of docs that are drawn, with its own columns only."""
+    out = sampled(docs, **more)
+    return out.where(F.col(fresh(docs, "drawn_"))).select(*docs.columns)
+
+
+#: Shares of the query's languages; sources and topics are tempered.
+TARGETS = {"lang": {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12}}
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
-    out = sampled(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    targets = {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in TARGETS.items()}
+    out = sampled(docs, targets)
     return out.select("doc_id", "source", "lang", F.col("topic_").alias("topic"), F.round("probability_", 6).alias("probability"), F.col("drawn_").alias("drawn"))

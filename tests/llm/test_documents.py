@@ -241,6 +241,43 @@ def test_sampling(spark):
     assert mixing.sampled(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_and_given_topics(spark):
+    columns = ["doc_id", "text", "lang", "source", "topic_", "probability_", "drawn_", "source_", "lang_", "tokens", "topic"]
+    rows = [(i, f"some words of text {i % 50}", "en" if i % 4 else "de", f"s{i % 3}", "t", 0.5, True, "x", "y", i, f"k{i % 2}") for i in range(400)] + [(None, None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic_ string, probability_ double, drawn_ boolean, source_ string, lang_ string, tokens int, topic string")
+    out = mixing.sampled(docs)
+    assert out.columns == [*columns, "topic__", "probability__", "drawn__"] and out.select(*columns).exceptAll(docs).count() == 0 and out.count() == 401
+    kept = mixing.drawn(docs, topic_col="topic")
+    assert kept.columns == columns and 0.6 < kept.count() / 401 <= 1
+    assert {r.topic__ for r in mixing.sampled(docs, topic_col="topic").collect()} == {"k0", "k1", "?"}
+
+
+def test_topics_divide_each_language(spark):
+    rng = np.random.default_rng(7)
+    kinds = [[f"{lang}{t}{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)] for lang in "ed" for t in range(3)]
+    rows = [(i, " ".join(rng.choice(kinds[3 * (i % 2) + i % 3], 80)), "ed"[i % 2], "s") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    topics = mixing.Topics.learned(docs, k=3, steps=8)
+    out = mixing.with_topics(docs, topics, None, "topic", "tokens").toPandas()
+    assert (out["tokens"] == 80).all()
+    for lang, own in out.groupby("lang"):  # each kind of words goes to one topic, all but a few
+        assert own.groupby(own["doc_id"] % 3)["topic"].agg(lambda x: x.value_counts(normalize=True).iloc[0]).mean() > 0.8
+    again = mixing.with_topics(docs.repartition(7), mixing.Topics.learned(docs.repartition(5), k=3, steps=8), None, "topic", "tokens").toPandas()
+    assert dict(zip(out["doc_id"], out["topic"])) == dict(zip(again["doc_id"], again["topic"]))
+
+
+def test_drawn_tokens_meet_the_marginals(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(5, 60)), ["en", "de", "fr"][int(i % 10 > 5) + int(i % 10 > 8)], f"s{i * i % 7 % 4}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": spark.createDataFrame([("en", 0.5), ("de", 0.35), ("fr", 0.15)], "value string, share double")}
+    out = mixing.sampled(docs, targets, keep=0.5).where("drawn_").toPandas()
+    tokens = out["text"].str.split().str.len()
+    share = tokens.groupby(out["lang"]).sum() / tokens.sum()
+    assert abs(share["en"] - 0.5) < 0.02 and abs(share["de"] - 0.35) < 0.02 and abs(share["fr"] - 0.15) < 0.02
+    assert tokens.sum() / sum(len(r[1].split()) for r in rows) == pytest.approx(0.5, abs=0.02)
+
+
 def test_one_document_of_a_new_source_leaves_the_sample(spark):
     cells = [(f"s{i}", lang, "x", 40_000 + 1000 * i) for i in range(6) for lang in ("en", "de")]
     get = lambda rows, **more: {r[:3]: r.probability for r in mixing.raked(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), keep=0.8, **more).collect()}
