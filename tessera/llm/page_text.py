@@ -11,7 +11,9 @@ labelled as content, white space within a block as one space, joined by one spac
 Training takes MAX_PAGES labelled pages at most, a documented bound; extraction
 covers every row and the whole html. Null, empty and blank pages have no blocks
 and an empty text. Equal pages get equal texts. Markup that isn't closed, or is
-closed twice, is read as browsers do in the common cases (p, li, cells).
+closed twice, is read as browsers do in the common cases (p, li, cells). Elements that HTML doesn't
+know, as those of formulas, belong to the text around them. Work grows with a page's length, however deep its
+elements are: an element knows what it adds to the features above it, and the sum of their weights.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose text isn't text of the page; elements without content; elements that don't interrupt a block.
-SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "object", "canvas", "math", "select", "textarea", "head"}
+#: Elements whose text isn't text of the page; elements without content; elements that interrupt a block.
+SILENT = {"script", "style", "template", "title", "iframe", "select", "textarea", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+BREAKS = {
+    "address", "article", "aside", "audio", "blockquote", "body", "br", "button", "canvas", "caption", "center", "col", "colgroup", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "iframe", "input", "legend", "li", "link", "listing", "main", "menu", "meta", "nav", "noscript", "object", "ol", "optgroup", "option", "p",
+    "picture", "plaintext", "pre", "script", "search", "section", "select", "source", "style", "summary", "table", "tbody", "td", "template", "textarea", "tfoot", "th", "thead", "title", "tr", "track", "ul", "video", "xmp",
+}
 #: What an opening element closes, up to what stops the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 OUT_OF_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -37,16 +43,34 @@ SCOPE = {"article", "aside", "body", "button", "div", "footer", "form", "header"
 MAX_PAGES, EPOCHS, SEED = 400, 6, 7
 
 
+class Element:
+    """An element above blocks: what it adds to the features of those above it."""
+
+    __slots__ = ("above", "added", "block", "score")
+
+    def __init__(self, above: Element | None, added: tuple[str, ...], block: str):
+        self.above, self.added, self.block, self.score = above, added, block, None
+
+    def features(self) -> list[str]:
+        out, at = [], self
+        while at is not None:
+            out += at.added
+            at = at.above
+        return out
+
+
 class Blocks(HTMLParser):
-    """The leaf blocks of a page: (elements above it, text, characters in links)."""
+    """The leaf blocks of a page: (element, text, characters in links)."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple, str, int]] = []
+        self.stack: list[tuple[str, Element]] = []
+        self.places: dict[str, list[int]] = {}  # of open elements, by name
+        self.held: dict[str, int] = {}  # features of open elements, and how many have them
+        self.blocks: list[tuple[Element | None, str, int]] = []
         self.parts: list[str] = []
         self.linked = self.silent = self.anchors = 0
-        self.above: tuple = ()
+        self.above: Element | None = None
         self.feed(html)
         self.close()
         self._end()
@@ -59,20 +83,22 @@ class Blocks(HTMLParser):
             self.parts, self.linked = [], 0
 
     def _pop(self, at: int):
-        for name, _ in self.stack[at:]:
+        for name, element in self.stack[at:]:
+            self.places[name].pop()
             self.silent -= name in SILENT
             self.anchors -= name == "a"
+            for f in element.added:
+                del self.held[f]
         del self.stack[at:]
 
     def _close(self, names: set, stop: set):
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] in names:
-                return self._pop(at)
-            if self.stack[at][0] in stop:
-                return None
+        """Closes the last open one of names, if none of stop is inside it."""
+        last = lambda some: max((self.places[n][-1] for n in some if self.places.get(n)), default=-1)
+        if (at := last(names)) >= 0 and at >= last(stop):
+            self._pop(at)
 
     def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
+        if tag in BREAKS:
             self._end()
         if tag in VOID:
             return
@@ -82,8 +108,13 @@ class Blocks(HTMLParser):
             self._close(*CLOSES[tag])
         if tag == "body":
             self._close({"head"}, {"html"})
-        marks = tuple(t for k, v in attrs if k in ("class", "id", "role") and v for t in re.split(r"[\s_-]+", v.lower()) if t)
-        self.stack.append((tag, marks))
+        marks = (f"as:{t}" for k, v in attrs if k in ("class", "id", "role") and v for t in re.split(r"[\s_-]+", v.lower()) if t)
+        added = tuple(f for f in dict.fromkeys((f"in:{tag}", *marks)) if f not in self.held)
+        self.held.update(dict.fromkeys(added, 1))
+        above = self.stack[-1][1] if self.stack else None
+        block = tag if tag in BREAKS else above.block if above else "-"
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, Element(above, added, block)))
         self.silent += tag in SILENT
         self.anchors += tag == "a"
 
@@ -93,50 +124,72 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag in BREAKS:
             self._end()
-        if any(name == tag for name, _ in self.stack):
-            self._close({tag}, set())
+        self._close({tag}, set())
 
     def handle_data(self, data):
         if not self.silent:
             if not self.parts:
-                self.above = tuple(self.stack)
+                self.above = self.stack[-1][1] if self.stack else None
             self.parts.append(data)
             self.linked += len(data) if self.anchors else 0
 
 
-def features(blocks: list[tuple[tuple, str, int]]) -> list[list[str]]:
-    """The names of each block's features."""
-    out, n = [], len(blocks)
-    for i, (above, text, linked) in enumerate(blocks):
-        own = {f"in:{name}" for name, _ in above} | {f"as:{m}" for _, marks in above for m in marks}
-        words = text.count(" ") + 1
-        own |= {"bias", f"words:{min(words.bit_length(), 7)}", f"links:{4 * linked // (len(text) + 1)}"}
-        own.add(f"ends:{text[-1] if text[-1] in '.!?:,;' else '-'}")
-        if "©" in text:
-            own.add("copyright")
-        block = next((name for name, _ in reversed(above) if name not in INLINE), "-")
-        out.append([*own, f"block:{block}", f"at:{4 * i // n}"])
-    return out
+def own_features(i: int, n: int, block: tuple[Element | None, str, int]) -> list[str]:
+    """The names of the features that a block has beside those of the elements above it."""
+    above, text, linked = block
+    words = text.count(" ") + 1
+    out = ["bias", f"words:{min(words.bit_length(), 7)}", f"links:{4 * linked // (len(text) + 1)}", f"ends:{text[-1] if text[-1] in '.!?:,;' else '-'}"]
+    return [*out, *(["copyright"] if "©" in text else []), f"block:{above.block if above else '-'}", f"at:{4 * i // n}"]
+
+
+def features(blocks: list[tuple[Element | None, str, int]]) -> list[list[str]]:
+    """The names of all features of each block."""
+    return [[*(b[0].features() if b[0] else []), *own_features(i, len(blocks), b)] for i, b in enumerate(blocks)]
 
 
 class Field:
     """Weights of the field: features x 2 labels, and 2 x 2 neighbouring labels."""
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, turns: np.ndarray):
-        self.names, self.weights, self.turns = names, weights, turns
+        self.names, self.weights, self.turns, self._of_name = names, weights, turns, None
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         get, w = self.names.get, self.weights
         return np.array([w[[k for k in map(get, row) if k is not None]].sum(axis=0) for row in rows]).reshape(-1, 2)
 
+    def block_scores(self, blocks: list[tuple[Element | None, str, int]]) -> np.ndarray:
+        """scores(features(blocks)): the weights above a block are summed once for each element."""
+        get = {f: tuple(self.weights[k].tolist()) for f, k in self.names.items()}.get if self._of_name is None else self._of_name
+        self._of_name = get
+        zero, out = (0.0, 0.0), np.empty((len(blocks), 2))
+        for i, block in enumerate(blocks):
+            chain, at = [], block[0]
+            while at is not None and at.score is None:
+                chain.append(at)
+                at = at.above
+            x, y = at.score if at is not None else zero
+            for element in reversed(chain):
+                for f in element.added:
+                    w = get(f, zero)
+                    x, y = x + w[0], y + w[1]
+                element.score = (x, y)
+            for f in own_features(i, len(blocks), block):
+                w = get(f, zero)
+                x, y = x + w[0], y + w[1]
+            out[i] = x, y
+        return out
+
     def decoded(self, rows: list[list[str]]) -> list[int]:
+        return self.best_path(self.scores(rows))
+
+    def best_path(self, scores: np.ndarray) -> list[int]:
         """Viterbi: the labels of the best path."""
-        if not rows:
+        if not len(scores):
             return []
         (t00, t01), (t10, t11) = self.turns.tolist()
-        (a, b), *rest = self.scores(rows).tolist()
+        (a, b), *rest = scores.tolist()
         back = []
         for x, y in rest:
             back.append((int(b + t10 > a + t00), int(b + t11 > a + t01)))
@@ -146,6 +199,28 @@ class Field:
             path.append(step[path[-1]])
         return path[::-1]
 
+    def likelihood(self, rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The log-likelihood of the labels, by forward and backward sums, and its gradients by weights and turns."""
+        s = np.array([self.weights[row].sum(axis=0) for row in rows])
+        n = len(s)
+        fore, aft = np.zeros((n, 2)), np.zeros((n, 2))
+        fore[0] = s[0]
+        for i in range(1, n):
+            fore[i] = s[i] + np.logaddexp(fore[i - 1, 0] + self.turns[0], fore[i - 1, 1] + self.turns[1])
+        for i in range(n - 2, -1, -1):
+            z = self.turns + s[i + 1] + aft[i + 1]
+            aft[i] = np.logaddexp(z[:, 0], z[:, 1])
+        whole = np.logaddexp(*fore[-1])
+        miss = np.eye(2)[labels] - np.exp(fore + aft - whole)
+        pair = np.exp(fore[:-1, :, None] + self.turns + (s + aft)[1:, None, :] - whole).sum(axis=0)
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (labels[:-1], labels[1:]), 1)
+        grad = np.zeros_like(self.weights)
+        for row, m in zip(rows, miss):
+            np.add.at(grad, row, m)
+        own = s[np.arange(n), labels].sum() + (seen * self.turns).sum()
+        return own - whole, grad, seen - pair
+
     @classmethod
     def trained(cls, pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-4, seed: int = SEED) -> Field:
         """Stochastic gradient ascent (per-weight rates) on the log-likelihood of the labels."""
@@ -155,26 +230,9 @@ class Field:
         coded = [([np.array([names[f] for f in row]) for row in rows], np.array(labels)) for rows, labels in pages if rows]
         for _ in range(epochs):
             for k in rng.permutation(len(coded)):
-                rows, labels = coded[k]
-                s = np.array([self.weights[row].sum(axis=0) for row in rows])
-                n = len(s)
-                fore, aft = np.zeros((n, 2)), np.zeros((n, 2))
-                fore[0] = s[0]
-                for i in range(1, n):
-                    fore[i] = s[i] + np.logaddexp(fore[i - 1, 0] + self.turns[0], fore[i - 1, 1] + self.turns[1])
-                for i in range(n - 2, -1, -1):
-                    z = self.turns + s[i + 1] + aft[i + 1]
-                    aft[i] = np.logaddexp(z[:, 0], z[:, 1])
-                whole = np.logaddexp(*fore[-1])
-                miss = np.eye(2)[labels] - np.exp(fore + aft - whole)
-                pair = np.exp(fore[:-1, :, None] + self.turns + (s + aft)[1:, None, :] - whole).sum(axis=0)
-                seen = np.zeros((2, 2))
-                np.add.at(seen, (labels[:-1], labels[1:]), 1)
-                grad = np.zeros_like(self.weights)
-                for row, m in zip(rows, miss):
-                    np.add.at(grad, row, m)
+                _, grad, turn = self.likelihood(*coded[k])
                 grad -= decay * self.weights
-                turn = seen - pair - decay * self.turns
+                turn -= decay * self.turns
                 g_w += grad**2
                 g_t += turn**2
                 self.weights += rate * grad / np.sqrt(g_w)
@@ -275,8 +333,8 @@ def labelled_pages(n: int = 240, seed: int = SEED) -> Iterator[tuple[str, list[b
 
 def fit(pages: DataFrame | None = None, max_pages: int = MAX_PAGES, seed: int = SEED) -> Field:
     """The field of labelled pages (html string, labels array<boolean>), of
-    max_pages of them at most; made pages by default. Pages whose blocks and labels differ in number are refused."""
-    rows = labelled_pages(seed=seed) if pages is None else ((r["html"], r["labels"]) for r in pages.select("html", "labels").limit(max_pages).collect())
+    max_pages of them at most, by a hash of the html; made pages by default. Pages whose blocks and labels differ in number are refused."""
+    rows = labelled_pages(seed=seed) if pages is None else ((r["html"], r["labels"]) for r in pages.select("html", "labels").orderBy(F.xxhash64("html"), "html").limit(max_pages).collect())
     data = []
     for html, labels in rows:
         blocks = Blocks(html).blocks
@@ -288,7 +346,7 @@ def fit(pages: DataFrame | None = None, max_pages: int = MAX_PAGES, seed: int =
 
 def extracted(html: str, field: Field) -> str:
     blocks = Blocks(html).blocks
-    return " ".join(text for (_, text, _), label in zip(blocks, field.decoded(features(blocks))) if label)
+    return " ".join(text for (_, text, _), label in zip(blocks, field.best_path(field.block_scores(blocks))) if label)
 
 
 def _extracted(field: Field):

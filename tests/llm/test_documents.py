@@ -57,6 +57,30 @@ def test_divergence_rejects_symbols_and_keeps_prose(spark):
     assert quality_rules.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_kept_follows_stored_references(spark):
+    rng = np.random.default_rng(15)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    prose = lambda n, letters="bdflmnprst": " ".join(rng.choice(quality_rules.COMMON["en"]) if rng.random() < 0.3 else word(letters) for _ in range(n))
+    clean = spark.createDataFrame([(i, prose(150), "en") for i in range(40)], "doc_id long, text string, lang string")
+    refs = quality_rules.references(quality_rules.counts(clean)).cache()
+    rows = [(i, prose(int(rng.integers(5, 400))), "en", "x") for i in range(20)] + [(100 + i, prose(200, "#*%&|"), "en", "x") for i in range(60)]  # junk is the more
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, class_ref string")
+    out = quality_rules.judged(docs, refs=refs).collect()
+    ref = refs.head()
+
+    def far(p, q):
+        p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+        m = (p + q) / 2
+        return math.sqrt(max(sum(u * math.log2(u / v) for x in (p, q) for u, v in zip(x, m) if u) / 2, 0))
+
+    counted = {r.doc_id: r for r in quality_rules.counts(docs).collect()}
+    for r in out:
+        c = counted[r.doc_id]
+        near = (r.word_chars < 200 or far(c.classes, ref.class_ref) <= 0.15 + 1 / math.sqrt(r.word_chars)) and (r.n_words < 20 or far(c.common, ref.word_ref) <= 0.08 + 2 / math.sqrt(r.n_words))
+        assert r.kept == (not r.base_failed and near)
+    assert all(r.kept == (r.doc_id < 100 and not r.base_failed) for r in out)
+
+
 def test_a_long_text_without_common_words_is_judged(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("bcfgjkpvwx"), 6))
@@ -107,20 +131,58 @@ def test_repeated_rows_are_encoded_once(spark, tmp_path, monkeypatch, most):
 
 
 def test_audio_round_trip(spark):
-    rows = [(i, t) for i, t in enumerate([*TEXTS, "x" * 64, "word " * 3000])]
-    out = {r.doc_id: r for r in audio.audio_features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, t in rows:
+    rows = [(i, t, "m") for i, t in enumerate([*TEXTS, "x" * 64, "word " * 3000])] + [(9, TEXTS[9], "m"), (None, "x", None)]
+    media = audio.stored_media(spark.createDataFrame(rows, "doc_id long, text string, media string"))
+    held = {r.doc_id: bytes(r.media) for r in media.collect()}
+    got = audio.audio_features(media).collect()
+    out = {r.doc_id: r for r in got}
+    for i, t, _ in rows:
         raw = (t or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
         r = out[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
-        assert audio.samples_of(bytes(r.media))[1].tobytes() == payload
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(held[i]) and r.media_sha256 == hashlib.sha256(held[i]).hexdigest()
+        assert audio.samples_of(held[i])[1].tobytes() == payload
         table = audio.read_tensors(bytes(r.tensors))
-        assert str(table.schema.field("mel").type).startswith("extension<arrow.fixed_shape_tensor") and table["mel"].combine_chunks().to_numpy_ndarray().shape[1:] == (audio.PATCH, audio.BANDS)
-        assert all(a < b for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist()))
-    assert out[9].feature == out[11].feature
-    assert audio.audio_features(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+        patches = table["mel"].combine_chunks().to_numpy_ndarray()
+        assert str(table.schema.field("mel").type).startswith("extension<arrow.fixed_shape_tensor") and patches.shape[1:] == (audio.PATCH, audio.BANDS) and len(patches) == -(-r.frames // audio.PATCH)
+        assert all(a < b for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist())) and all(s.start_s < s.end_s for s in r.spans)
+    assert out[9].feature == out[11].feature and len(got) == len(rows)
+    assert audio.audio_features(audio.stored_media(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_log_mel_is_the_transform_written_out():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=900) / 4
+    bands, energy = audio.log_mel(x, 8000)
+    t, k = np.arange(audio.FRAME), np.arange(audio.FRAME // 2 + 1)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(20) + (mel(4000) - mel(20)) * i / (audio.BANDS + 1)) / 2595) - 1) for i in range(audio.BANDS + 2)]
+    x = np.pad(x, (0, 7 * audio.HOP))
+    assert len(bands) == 7
+    for i in range(len(bands)):
+        frame = x[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        shape = 0.5 - 0.5 * np.cos(2 * np.pi * t / (audio.FRAME - 1))
+        power = [abs((frame * shape * np.exp(-2j * np.pi * t * f / audio.FRAME)).sum()) ** 2 / audio.FRAME for f in k]
+        for b in range(audio.BANDS):
+            lo, mid, hi = edges[b : b + 3]
+            own = sum(p * max(0, min((f * 8000 / audio.FRAME - lo) / (mid - lo), (hi - f * 8000 / audio.FRAME) / (hi - mid))) for f, p in zip(k, power))
+            assert bands[i, b] == pytest.approx(max(audio.FLOOR_DB, 10 * math.log10(own + 1e-9)), abs=2e-3)
+        assert energy[i] == pytest.approx(10 * math.log10((frame**2).mean() + 1e-9), abs=1e-6)
+
+
+def test_slices_give_what_the_whole_gives(monkeypatch):
+    raw = np.random.default_rng(4).integers(0, 256, 50_001).astype(np.uint8)
+    for up, down in ((1, 2), (2, 3), (3, 2)):
+        whole = audio.resampled((raw.astype(np.float64) - 128) / 128, up, down)
+        samples = audio.Samples(raw, up, down)
+        assert samples.size == len(whole)
+        for a, b in ((0, 10), (5, 4000), (20_000, 20_001), (len(whole) - 700, len(whole))):
+            assert np.allclose(samples.span(a, b), whole[a:b], atol=1e-12)
+    whole = audio.log_mel(audio.Samples(raw), 8000)
+    monkeypatch.setattr(audio, "FRAMES_AT_ONCE", 13)
+    cut = audio.log_mel(audio.Samples(raw), 8000)
+    assert np.abs(whole[0] - cut[0]).max() <= 0.0011 and np.allclose(whole[1], cut[1])
 
 
 @pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 3), (3, 2), (1, 1)])

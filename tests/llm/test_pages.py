@@ -37,6 +37,50 @@ def test_viterbi_is_the_best_path():
         assert score(field.decoded(rows)) == max(map(score, paths))
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    field = page_text.Field({}, rng.normal(size=(6, 2)), rng.normal(size=(2, 2)))
+    rows, labels = [np.array([0, 1]), np.array([2]), np.array([3, 4, 1]), np.array([5])], np.array([0, 1, 1, 0])
+    score = lambda path: sum(field.weights[row, y].sum() for row, y in zip(rows, path)) + sum(field.turns[a, b] for a, b in zip(path, path[1:]))
+    plain = lambda: score(labels) - np.log(sum(np.exp(score([k >> i & 1 for i in range(4)])) for k in range(16)))
+    own, grad, turn = field.likelihood(rows, labels)
+    assert abs(own - plain()) < 1e-9
+    for table, slope in ((field.weights, grad), (field.turns, turn)):
+        for at in np.ndindex(table.shape):
+            table[at] += 1e-6
+            high = plain()
+            table[at] -= 2e-6
+            low = plain()
+            table[at] += 1e-6
+            assert abs((high - low) / 2e-6 - slope[at]) < 1e-5
+
+
+def test_scores_by_element_are_those_by_features():
+    field = page_text.fit()
+    for page, _ in page_text.labelled_pages(60, 99):
+        blocks = page_text.Blocks(page).blocks
+        assert np.allclose(field.block_scores(blocks), field.scores(page_text.features(blocks)))
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<article><h1>Sums of two</h1><p>We know that <math><mi>a</mi><mo>+</mo><mn>1</mn></math> is true, and <x-term>so</x-term> on it goes.<p>More <object>of it</object> follows here as well, they say.</article><footer>end</footer>"
+    assert page_text.extracted(page, page_text.fit()) == "Sums of two We know that a+1 is true, and so on it goes. More of it follows here as well, they say."
+
+
+def test_deep_and_long_pages_take_time_by_length():
+    import time
+
+    field = page_text.fit()
+    pages = [lambda n: "<div>" * n + "<p>a sentence of some words." * n, lambda n: "<b>" * n + "<div>x y." * n, lambda n: "<ul>" * n + "</ul>x" * n, lambda n: "<p><span>" * n, lambda n: "<p class='c1 c2'>Text of a page, and more of it." * n, lambda n: "</i>" * n + "<i>" * n + "</b>" * n, lambda n: "<div><p>a b.</p>" * n]
+    for page in pages:
+        seconds = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            page_text.extracted(page(n), field)
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 10 * seconds[0] + 0.5
+
+
 def test_extraction(spark):
     page = """<html><head><title>t</title><script>var x = "</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></ul></nav>
 <article><h1>Big &amp;\n  news</h1><p>It is <b>ve</b>ry true that many things happened here today.<p>And so on, as they say, it goes on and on.</article>
