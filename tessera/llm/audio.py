@@ -7,8 +7,12 @@ the floor), an Arrow fixed-shape tensor column beside each patch's time span, as
 an IPC stream. Segments of sound come from frame energies with hysteresis: one
 opens above the high level and closes below the low one.
 
+Media and features are tables in the shared folder: the first has each payload's file, the second is computed
+from the files that are read back and has the tensors, and results come from the second, read back.
+
 A null or empty payload becomes 64 zero bytes. Equal payloads give equal bytes
-and features; each row is computed alone, whole, in slices of frames.
+and features; each row is computed alone, whole, in slices of FRAMES_AT_ONCE frames, so beside a payload's own
+bytes and its tensors a task holds a slice of samples. Repeated rows stay rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import written
+
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, BANDS, PATCH = 256, 128, 16, 32
 HIGH_DB, LOW_DB, FLOOR_DB = -24.0, -30.0, -80.0
@@ -94,18 +100,37 @@ def mel_filters(rate: int, frame: int, bands: int) -> np.ndarray:
     return np.maximum(0, np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)))
 
 
-def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+class Samples:
+    """8-bit samples as numbers from -1 to 1 at up / down of their rate, by spans."""
+
+    def __init__(self, raw: np.ndarray, up: int = UP, down: int = DOWN):
+        self.raw, self.up, self.down, self.size = raw, up, down, -(-len(raw) * up // down)
+
+    def span(self, first: int, last: int) -> np.ndarray:
+        """Samples first..last-1; the filter sees as much before and behind them as it reaches."""
+        reach = len(phases(self.up, self.down)[0][0]) + self.down
+        block = max(first // self.up - -(-reach // self.down), 0)  # a block: down samples in, up samples out
+        start = block * self.down
+        end = min(-(-last // self.up) * self.down + reach, len(self.raw))
+        x = (self.raw[start:end].astype(np.float64) - 128) / 128
+        return resampled(x, self.up, self.down)[first - block * self.up : last - block * self.up]
+
+
+def log_mel(x: np.ndarray | Samples, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """(log-mel bands in dB, frame energies in dB) of overlapping frames; a short tail is padded."""
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.pad(x, (0, max(0, (n - 1) * HOP + FRAME - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
+    size = x.size if isinstance(x, Samples) else len(x)
+    n = max(1, -(-(size - FRAME) // HOP) + 1)
     window, filters = np.hanning(FRAME), mel_filters(rate, FRAME, BANDS)
     bands, energy = np.empty((n, BANDS), np.float32), np.empty(n)
     for a in range(0, n, FRAMES_AT_ONCE):
-        part = frames[a : a + FRAMES_AT_ONCE]
+        b = min(a + FRAMES_AT_ONCE, n)
+        first, last = a * HOP, (b - 1) * HOP + FRAME
+        own = x.span(first, min(last, size)) if isinstance(x, Samples) else x[first:last]
+        own = np.pad(own, (0, last - first - len(own)))
+        part = np.lib.stride_tricks.sliding_window_view(own, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(part * window)) ** 2 / FRAME
-        bands[a : a + len(part)] = np.round(np.maximum(FLOOR_DB, 10 * np.log10(power @ filters + 1e-9)), 3)
-        energy[a : a + len(part)] = np.maximum(FLOOR_DB, 10 * np.log10((part**2).mean(axis=1) + 1e-9))
+        bands[a:b] = np.round(np.maximum(FLOOR_DB, 10 * np.log10(power @ filters + 1e-9)), 3)
+        energy[a:b] = np.maximum(FLOOR_DB, 10 * np.log10((part**2).mean(axis=1) + 1e-9))
     return bands, energy
 
 
@@ -139,54 +164,60 @@ def read_tensors(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-COLUMNS = {
-    "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(),
-    "feature": pa.string(), "spans": pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), "media": pa.binary(), "tensors": pa.binary(),
-}
-DDL = {"doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "spans": "array<struct<start_s: double, end_s: double>>", "media": "binary", "tensors": "binary"}
+SPANS = "array<struct<start_s: double, end_s: double>>"
+STORED = "doc_id long, n_bytes long, media binary"
+COLUMNS = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, spans {SPANS}, tensors binary"
 
 
-def described(content: bytes) -> dict:
-    """All columns of one payload but its id."""
-    payload = content + b"\0" * (-len(content) % UNIT or UNIT * (not content))
-    media = wav(payload)
-    rate, back = samples_of(media)
-    x = resampled((back.astype(np.float64) - 128) / 128)
-    bands, energy = log_mel(x, rate * UP // DOWN)
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The file of each payload."""
+    for batch in batches:
+        contents = [x.as_py() or b"" for x in batch.column(1)]
+        media = [wav(c + b"\0" * (-len(c) % UNIT or UNIT * (not c))) for c in contents]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def described(media: bytes) -> dict:
+    """What a stored file gives: digests of its payload and of itself, features, spans of sound, and tensors."""
+    rate, raw = samples_of(media)
+    bands, energy = log_mel(Samples(raw), rate * UP // DOWN)
     spans = [(a * HOP * DOWN / (rate * UP), ((b - 1) * HOP + FRAME) * DOWN / (rate * UP)) for a, b in segments(energy)]
-    stream, back = tensors(bands, rate * UP / DOWN), back.tobytes()
     feature = f"frames={len(bands)};segments={len(spans)};sound_s={sum(b - a for a, b in spans):.3f};mean_db={np.round(energy, 3).mean():.2f};mel={hashlib.sha256(bands.tobytes()).hexdigest()[:16]}"
     return {
-        "n_bytes": len(content), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-UNIT:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": feature, "spans": [{"start_s": a, "end_s": b} for a, b in spans], "media": media, "tensors": stream,
+        "payload_bytes": len(raw), "payload_sha256": hashlib.sha256(raw).hexdigest(), "tail_crc32": zlib.crc32(raw[-UNIT:].tobytes()), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
+        "feature": feature, "frames": len(bands), "spans": [{"start_s": a, "end_s": b} for a, b in spans], "tensors": tensors(bands, rate * UP / DOWN),
     }
 
 
-def _described(columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, COLUMNS[c]) for c in columns])
-        for batch in batches:
-            rows, size = [], 0
-            for doc, content in zip(batch.column(0), batch.column(1)):
-                row = described(content.as_py() or b"")
-                rows.append({"doc_id": doc.as_py()} | {c: row[c] for c in columns if c != "doc_id"})
-                size += len(row["media"]) + len(row["tensors"])
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, size = [], 0
-            if rows:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "frames": pa.int64(), "spans": spans, "tensors": pa.binary()}
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *kinds.items()])
+    for batch in batches:
+        rows, size = [], 0
+        for doc, n, media in zip(batch.column(0), batch.column(1), batch.column(2)):
+            row = described(media.as_py())
+            rows.append({"doc_id": doc.as_py(), "n_bytes": n.as_py()} | row)
+            size += len(row["tensors"])
+            if size > 8 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return run
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def audio_features(docs: DataFrame, columns: list[str] | None = None, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
-    """The media columns of every row: its text or bytes as audio; columns: of COLUMNS, all by default."""
-    columns = columns or list(COLUMNS)
+def stored_media(docs: DataFrame, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media) of every row, as a table that is written and read back."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
-    return rows.mapInArrow(_described(columns), ", ".join(f"{c} {DDL[c]}" for c in columns))
+    return written(rows.mapInArrow(_stored, STORED), "media", "zstd")
+
+
+def audio_features(media: DataFrame) -> DataFrame:
+    """COLUMNS of every row of stored_media(), as a table that is written and read back."""
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(_described, COLUMNS), "audio", "zstd")
 
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
+    out = audio_features(stored_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return audio_features(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests)
+    return out.select(*digests, "frames", "spans", F.sha2("tensors", 256).alias("tensors_sha256"))

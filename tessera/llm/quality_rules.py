@@ -5,7 +5,8 @@ Base rules reject texts with too few words or too many words in repeated
 windows. The others are compared with their language: the Jensen-Shannon
 distance (square root of the divergence, base 2, so 0..1) of two histograms,
 character classes and common words, from the histograms of all texts of that
-language. References cover every row; each document weighs the same in them, so
+language. References are given, as a stored table fitted on clean texts, so that a verdict depends on the
+document alone; or they are made of all rows that pass the base rules; each document weighs the same in them, so
 a few long ones don't decide. A short text's histogram strays more by chance, so
 the limits are ``class_distance + 1 / sqrt(characters)`` and ``word_distance + 2 / sqrt(words)``.
 The words' histogram has a place for all other words, so a text with few or none of its
@@ -134,14 +135,15 @@ def references(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return kinds[0].join(kinds[1], "lang").join(n_docs, "lang").select("lang", F.when(F.col("n_docs") >= min_docs, F.col("class_ref")).alias("class_ref"), "word_ref")
 
 
-def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:
-    """Base counts, distances (null: not judged) and the verdict of every row of docs, with its columns in carry."""
+def judged(docs: DataFrame, common: dict[str, list[str]] = COMMON, class_distance: float = CLASS_DISTANCE, word_distance: float = WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_LENGTH, min_docs: int = MIN_DOCS, refs: DataFrame | None = None, carry: tuple[str, ...] = (), **columns: str) -> DataFrame:
+    """Base counts, distances (null: not judged) and the verdict of every row of docs, with its columns in carry. refs: what references() made."""
     counted = written(counts(docs, common, carry=carry, **columns), "counted")
-    refs = written(references(counted, min_docs), "references")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    refs = written(references(counted.where(~failed), min_docs) if refs is None else refs.select("lang", "class_ref", "word_ref"), "references")
     refs = F.broadcast(refs) if refs.count() <= MAX_LANGS else refs
     out = counted.join(refs, "lang", "left")
     far = {"class_distance": F.when(F.col("word_chars") >= min_chars, distance("classes", "class_ref")), "word_distance": F.when(F.col("n_words") >= min_words, distance("common", "word_ref"))}
-    out = out.withColumns(far).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+    out = out.withColumns(far).withColumn("base_failed", failed)
     stray = lambda n: 1 / F.sqrt(F.greatest(n, F.lit(1)))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= F.lit(class_distance) + stray("word_chars")) & (F.coalesce("word_distance", F.lit(0.0)) <= F.lit(word_distance) + 2 * stray("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & near).drop("classes", "common", "class_ref", "word_ref", "lang")
