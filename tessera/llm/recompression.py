@@ -8,8 +8,9 @@ pair is named depends on nearby symbols only; each symbol carries the words that
 settled it. So a symbol whose settling words lie inside a window comes out the
 same wherever this window occurs: equal windows hold the same such symbols.
 
-Each window picks the longest of them (the least name among equals; a lower
-round's, at last a word, where none is settled). Documents are sent to that
+Each window picks the one that spells the most bytes (the least name among equals; a lower
+round's, at last a word, where none is settled): not the most words, as a pair of the
+commonest words would be the name of one window in a few hundred, and its reducer's share of the corpus with it. Documents are sent to that
 name, one row for each stretch of windows with the same pick, with digests of
 the windows. Names that documents share reveal the repeats; the windows' digests
 verify them (name and digest together are 112 bits: among 10**13 windows about one pair in 10**7 such
@@ -17,7 +18,9 @@ corpora would agree by chance). What repeats inside one
 slice of a task is settled there and only its smallest document goes on. A task keeps
 the windows that repeated in a slice, KNOWN at most, with the smallest document so far, and settles them in later slices too;
 what it doesn't keep goes on as any other. So a passage that a third of the corpus holds
-costs a task a row or two, and no reducer gets a row for each document.
+costs a task a row or two, and no reducer gets a row for each document. A name that more than a share of
+1 / HEAVY of the windows picks is split into SPLIT names by the windows' digests. SAMPLED rows show which names these
+are, HEAVY at most; they decide where windows meet and not what is found.
 
 A null or blank text has no words, removes nothing and keeps the empty text.
 Windows belong to a row (its id and a hash of its text) and are compared by id:
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import written
@@ -41,17 +44,17 @@ WINDOW, ROUNDS = 13, 2
 
 
 class Symbols:
-    """A text of symbols: names, words covered, and words that settle them."""
+    """A text of symbols: names, bytes covered, and words that settle them."""
 
     def __init__(self, names, length, lo, hi, row, first, last):
         #: lo..hi: the words that settle a symbol; first, last: of the row; a symbol that the row's edge settles has lo or hi outside
         self.names, self.length, self.lo, self.hi, self.row, self.first, self.last = names, length, lo, hi, row, first, last
 
     @classmethod
-    def of_words(cls, digests: np.ndarray, bounds: np.ndarray) -> Symbols:
+    def of_words(cls, digests: np.ndarray, bounds: np.ndarray, sizes_of_words: np.ndarray) -> Symbols:
         at, sizes = np.arange(len(digests)), np.diff(bounds)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        return cls(digests, np.ones(len(at), np.int64), at, at + 1, row, bounds[:-1][row], bounds[1:][row])
+        return cls(digests, sizes_of_words, at, at + 1, row, bounds[:-1][row], bounds[1:][row])
 
     def _beside(self) -> tuple[np.ndarray, np.ndarray]:
         """lo of the symbol before and hi of the one after, beyond the row at its edges."""
@@ -92,9 +95,9 @@ class Symbols:
         return self._merged(starts, names, lo[starts], hi[ends])
 
 
-def picks(digests: np.ndarray, bounds: np.ndarray, width: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def picks(digests: np.ndarray, bounds: np.ndarray, width: int, rounds: int, bytes_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each window of width words inside a row: its first word and the name it picks."""
-    symbols = Symbols.of_words(digests, bounds)
+    symbols = Symbols.of_words(digests, bounds, np.ones(len(digests), np.int64) if bytes_of is None else bytes_of)
     at = np.arange(len(digests))
     at = at[at + width <= symbols.last]
     found, best = np.zeros(len(at), np.uint64), np.full(len(at), np.iinfo(np.uint64).max)
@@ -104,7 +107,7 @@ def picks(digests: np.ndarray, bounds: np.ndarray, width: int, rounds: int) -> t
         levels.append(symbols)
     for level, s in enumerate(levels):
         # the least key: the longest symbol, then the least digest
-        key = (np.uint64(64) - np.minimum(s.length, 63).astype(np.uint64) << np.uint64(57)) | (mix(s.names + np.uint64(level)) >> np.uint64(7))
+        key = (np.uint64(127) - np.minimum(s.length, 127).astype(np.uint64) << np.uint64(57)) | (mix(s.names + np.uint64(level)) >> np.uint64(7))
         i = np.searchsorted(s.lo, at)  # the symbols that the window settles are i..j-1
         j = np.searchsorted(s.hi, at + width, "right")
         tables = [key]
@@ -128,6 +131,10 @@ HELD = 1 << 20
 KNOWN = 1 << 20
 
 
+#: Rows that show frequent names; the inverse of a frequent name's share, and so the most there can be; names that one is split into.
+SAMPLED, HEAVY, SPLIT = 4000, 4096, 64
+
+
 class Known:
     """Windows that a task has seen in several documents, with the smallest of these."""
 
@@ -151,7 +158,7 @@ class Known:
         self.windows, self.least = both[order], np.concatenate([self.least, least])[order]
 
 
-def _revealed(width: int, rounds: int):
+def _revealed(width: int, rounds: int, heavy: np.ndarray):
     """Rows (name, doc_id, row, start, n, windows): a stretch of n windows that pick a
     name, with KEPT bytes of each window; without these, and with a name of no meaning, what a task settles."""
 
@@ -164,7 +171,7 @@ def _revealed(width: int, rounds: int):
                 digests = s.digests()
                 if len(digests) < width:
                     continue
-                at, name = picks(digests, s.words, width, rounds)
+                at, name = picks(digests, s.words, width, rounds, s.ends - s.starts)
                 row = np.searchsorted(s.words, at, "right") - 1
                 ok = known[s.first + row]
                 at, name, row = at[ok], name[ok], row[ok]
@@ -172,6 +179,9 @@ def _revealed(width: int, rounds: int):
                     continue
                 doc, window = ids[s.first + row], windows(digests, width)[at]
                 start = at - s.words[row]
+                if len(heavy):
+                    split = heavy[np.minimum(np.searchsorted(heavy, name), len(heavy) - 1)] == name
+                    name = np.where(split, joined(name, window % np.uint64(SPLIT)), name)
                 # of a window that several documents of this slice hold, the smallest goes on
                 order = np.argsort(window, kind="stable")
                 head = np.ones(len(order), bool)
@@ -285,6 +295,27 @@ def _without(width: int):
     return run
 
 
+def _counted(width: int, rounds: int):
+    """(name, n): the windows of each slice that pick a name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column(1)):
+                digests = s.digests()
+                if len(digests) >= width:
+                    names, n = np.unique(picks(digests, s.words, width, rounds, s.ends - s.starts)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], names=["name", "n"])
+
+    return run
+
+
+def frequent_names(texts: DataFrame, width: int, rounds: int) -> np.ndarray:
+    """The names, in order, that more than 1 / HEAVY of the windows of SAMPLED rows pick."""
+    counts = texts.limit(SAMPLED).mapInArrow(_counted(width, rounds), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    shares = counts.withColumn("all", F.sum("n").over(Window.partitionBy()))
+    return np.sort(np.array([r[0] for r in shares.where(f"n * {HEAVY} > all").select("name").collect()], np.int64).view(np.uint64))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
@@ -293,7 +324,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, start, n): n windows of width words, from word start on, each of
     which also starts in a document with a smaller id; row is the hash of the text."""
-    rows = _texts(docs, id_col, text_col).mapInArrow(_revealed(width, rounds), "name long, doc_id long, row long, start int, n int, windows binary")
+    texts = _texts(docs, id_col, text_col)
+    heavy = frequent_names(texts, width, rounds)
+    rows = texts.mapInArrow(_revealed(width, rounds, heavy), "name long, doc_id long, row long, start int, n int, windows binary")
     rows = rows.repartition("name").sortWithinPartitions("name", "doc_id").mapInArrow(_judged(HELD), "name long, doc_id long, row long, start int, n int, window long")
     rows = written(rows, "judged")
     over = rows.where("name is not null")
