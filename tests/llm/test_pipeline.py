@@ -66,6 +66,34 @@ def test_verdicts_belong_to_rows(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text) for r in out) == sorted([*((str(i), t) for i, t in enumerate(long[:6])), ("None", long[6]), ("9", long[7])])
 
 
+def test_a_broken_run_goes_on_and_names_may_clash(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(5)) for _ in range(60))
+    rows = [(i, text(), "en", "s", 1, "a", "b", i, True, "c") for i in range(30)] + [(40, "word " * 200_000, "en", "s", 1, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, source_ string, topic_ string, row_ int, drawn_ boolean, k_ string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    work, ran = f"file://{tmp_path}/work", []
+
+    def watched(name, stage):
+        def run(*args):
+            ran.append(name)
+            if name == "source_mixing" and ran.count(name) == 1:
+                raise OSError("lost")
+            return stage(*args)
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    try:
+        corpus_pipeline.run(spark, f"file://{tmp_path}", work)
+        raise AssertionError
+    except OSError:
+        pass
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}", work)
+    assert ran == ["quality_rules", "ngram_jaccard_join", "pii", "source_mixing", "source_mixing", "best_fit_packing"]
+    assert spark.read.parquet(f"{work}/source_mixing").columns == docs.columns and 0 < out.count() <= 30
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}", work).count() == out.count() and len(ran) == 6
+
+
 def test_pipeline_of_no_rows(spark, tmp_path):
     table(spark, f"file://{tmp_path}", [])
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
