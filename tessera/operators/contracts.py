@@ -121,3 +121,33 @@ def error_code(name: Column, codes: dict[str, str] = ERRORS, other: str = "500")
 def secret_keys(json: Column) -> Column:
     """Whether a JSON object's keys, at any depth, name a secret, or a url holds credentials."""
     return json.rlike(r'(?i)"[^"]*(api[_-]?key|secret|password|token|authorization)[^"]*"\s*:') | json.rlike(r"://[^/\s:@\"]+:[^/\s@\"]+@")
+
+
+def search_plans(plans: DataFrame) -> DataFrame:
+    """plans (query_id, intent, needs_retrieval, rewritten_query, chunk_types, stage, collection_targets) with state (search, skip, or
+    error where there is nothing to search for) and the filters of the search: chunk types but for general questions, the
+    stage, and the kind of source of a single target."""
+    skipped = ~F.coalesce("needs_retrieval", F.lit(True)) | (F.col("intent") == "out_of_scope")
+    state = F.when(skipped, "skip").when(stripped(F.coalesce("rewritten_query", F.lit(""))) == "", "error").otherwise("search")
+    none = F.array().cast("array<string>")
+    types = F.when(F.col("intent") == "general_sales_qa", none).otherwise(F.coalesce("chunk_types", none))
+    targets = targets_repaired(F.col("intent"), F.col("collection_targets"), F.col("chunk_types"), F.col("needs_retrieval"))
+    plans = plans.withColumn("_kinds", source_kinds(targets))  # before names are taken anew
+    return plans.select("query_id", state.alias("state"), stripped(F.coalesce("rewritten_query", F.lit(""))).alias("query"), types.alias("chunk_types"), F.coalesce("stage", F.lit("")).alias("stage"), F.col("_kinds").alias("source_kinds"))
+
+
+def kb_request(query: str, domains: list[str] | None = None, types: list[str] | None = None, mode: str = "HYBRID", weights=None, top_k: int | None = None) -> dict:
+    """The parameters of a knowledge-base search, or its error: query, domains, top_n, top_k, and whether there is anything to search."""
+    try:
+        if not str(query or "").strip():
+            raise ValueError("query 不能为空")
+        own = domains_checked(list(domains or []))
+        top_n, k = kb_limits(10 if top_k is None else int(top_k))
+        if str(mode or "").strip().upper() != "HYBRID":
+            raise ValueError("retrievalMode 暂时仅支持 HYBRID")
+        if weights is not None and not isinstance(weights, dict):
+            raise ValueError("hybridWeights 必须为对象")
+    except (TypeError, ValueError) as e:
+        return {"code": "10004", "message": f"参数错误: {e}"}
+    kinds = ["SLICE"] if types is None else [str(t).strip().upper() for t in types if str(t).strip()]
+    return {"code": "0", "query": str(query).strip(), "domains": own, "top_n": top_n, "top_k": k, "searched": "SLICE" in kinds}

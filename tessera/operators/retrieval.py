@@ -2,8 +2,8 @@
 
 All questions of a table go through one plan. Chunks are (chunk_id, text,
 facets), vectors (chunk_id, vector), queries (query_id, query). The side that is
-broadcast is always the queries', and only up to MAX_QUERY_ROWS; beyond, it is
-joined; vectors of queries are sent in blocks of a bounded size.
+broadcast is always the queries', and only up to MAX_QUERY_ROWS or MAX_QUERY_VECTORS; beyond, it is
+joined.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.plans.storage import written
 
 #: Fixed values of the ranking formulas.
 K1, B, RRF_K, BOOST, MOST_BOOSTS = 1.2, 0.75, 60, 0.1, 3
 MAX_QUERY_ROWS = 200_000
 SCALE = 6
-#: Queries whose vectors are held against the corpus at once.
-QUERY_BLOCK = 4096
+#: Vectors of a block; queries whose vectors are broadcast.
+BLOCK, MAX_QUERY_VECTORS = 2048, 16_384
 
 
 def few(df: DataFrame, most: int = MAX_QUERY_ROWS) -> bool:
@@ -43,21 +44,28 @@ def corpus_statistics(chunks: DataFrame, tokenize=tokens) -> DataFrame:
     return chunks.select(F.size(tokenize(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, tokenize=tokens, by: list[str] | None = None) -> DataFrame:
+def postings(chunks: DataFrame, vocabulary: DataFrame, tokenize=tokens) -> DataFrame:
+    """(chunk_id, token, tf): how often each token of the vocabulary stands in a chunk, and, with a null
+    token, how many others do. Texts are split once; a chunk's tokens are counted in the task that has it."""
+    # outer: a chunk without tokens counts as one, too; and an inner explode would filter on the array and split texts twice more
+    rows = chunks.select("chunk_id", F.explode_outer(tokenize(F.col("text"))).alias("token"))
+    marked = rows.join(vocabulary.select("token", F.lit(True).alias("known")), "token", "left")
+    return marked.groupBy("chunk_id", F.when(F.col("known"), F.col("token")).alias("token")).agg(F.count("token").alias("tf"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, tokenize=tokens) -> DataFrame:
     """(query_id, chunk_id, rank, score): the k best chunks of each query, score > 0.
-    Postings are cut to the queries' tokens before they are counted."""
+    Postings of the queries' tokens are written once; lengths, statistics and scores come from this narrow table."""
     wanted = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    words = chunks.select("chunk_id", tokenize(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    all_ = chunks.select(F.size(tokenize(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hint = F.broadcast if few(wanted) else lambda df: df  # a check of the queries alone; both tables below are no longer
-    vocabulary = hint(wanted.select("token").distinct())
-    # outer, as an inner explode filters on the array first and so splits texts twice more
-    tf = words.select("chunk_id", "dl", F.explode_outer("words").alias("token")).join(vocabulary, "token").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(all_)).select("token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    hint = F.broadcast if few(wanted) else lambda df: df  # a check of the queries alone; all tables below that take the hint are no longer
+    held = written(postings(chunks, hint(wanted.select("token").distinct()), tokenize), "postings")
+    lengths = held.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    all_ = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = held.where("token is not null")
+    idf = tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(all_)).select("token", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     weighed = hint(wanted.join(idf, "token"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
-    scored = tf.join(weighed, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCALE).alias("score"))
+    scored = tf.join(lengths, "chunk_id").join(weighed, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCALE).alias("score"))
     return top_k(scored.where("score > 0"), k)
 
 
@@ -77,23 +85,36 @@ def normalised(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("vector", F.transform("vector", lambda x: x / norm))
 
 
-def _nearest(ids: list, matrix: np.ndarray, k: int):
-    """The k best chunks of each batch for every query of a block."""
+def _blocks():
+    """Batches of (id, vector) as one row each: the ids, and the vectors as a matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([matrix.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    return run
+
+
+def _nearest(k: int):
+    """The k best chunks of each block of chunks for each query of a block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunk, column = batch.column("chunk_id"), batch.column("vector")
-            if not batch.num_rows:
-                continue
-            own = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            scores = np.round(own @ matrix.T, SCALE)
-            place = np.empty(batch.num_rows, np.int64)
-            place[pc.sort_indices(chunk).to_numpy()] = np.arange(batch.num_rows)
-            best = [np.lexsort((place, -scores[:, j]))[:k] for j in range(len(ids))]
-            rows = np.concatenate(best)
-            query = pa.array([q for q, b in zip(ids, best) for _ in b])
-            score = np.concatenate([scores[b, j] for j, b in enumerate(best)])
-            yield pa.RecordBatch.from_arrays([query, chunk.take(pa.array(rows)), pa.array(score)], names=["query_id", "chunk_id", "score"])
+            for row in range(batch.num_rows):
+                (chunks, own), (queries, asked) = ((batch.column(c)[row].values, np.frombuffer(batch.column(c + 1)[row].as_buffer(), np.float64)) for c in (0, 2))
+                scores = np.round(own.reshape(len(chunks), -1) @ asked.reshape(len(queries), -1).T, SCALE)
+                place = np.empty(len(chunks), np.int64)
+                place[pc.sort_indices(chunks).to_numpy()] = np.arange(len(chunks))
+                best = [np.lexsort((place, -scores[:, j]))[:k] for j in range(len(queries))]
+                rows = np.concatenate(best)
+                asked_by = queries.take(pa.array(np.repeat(np.arange(len(queries)), [len(x) for x in best])))
+                score = np.concatenate([scores[x, j] for j, x in enumerate(best)])
+                yield pa.RecordBatch.from_arrays([asked_by, chunks.take(pa.array(rows)), pa.array(score)], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -101,19 +122,17 @@ def _nearest(ids: list, matrix: np.ndarray, k: int):
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, rank, score): exact cosine of unit vectors of one
     dimension. queries: (query_id, vector), a stated set that each vector is held
-    against, in blocks of about QUERY_BLOCK: a block's matrix goes to the tasks, a
-    task keeps k rows a batch and query, and only these are shuffled."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    against: blocks of BLOCK chunks meet blocks of BLOCK queries, as matrices, in one plan. The queries' blocks
+    are broadcast if there are MAX_QUERY_VECTORS at most, else shuffled; a block keeps k rows a query, and only these are ranked."""
+    def blocked(rows: DataFrame, id_: str, ids: str, matrix: str) -> DataFrame:
+        kind = rows.schema[id_].dataType.simpleString()
+        return rows.select(id_, "vector").mapInArrow(_blocks(), f"ids array<{kind}>, matrix binary").toDF(ids, matrix)
+
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
-    found = []
-    for i in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "vector").toArrow()
-        if block.num_rows:
-            matrix = np.array(block["vector"].to_pylist(), np.float64)
-            found.append(vectors.select("chunk_id", "vector").mapInArrow(_nearest(block["query_id"].to_pylist(), matrix, k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"))
-    if not found:
-        return queries.limit(0).select("query_id").join(vectors.limit(0).select("chunk_id")).select("query_id", "chunk_id", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
-    return top_k(reduce(DataFrame.unionByName, found), k)
+    asked = blocked(queries, "query_id", "query_ids", "asked")
+    asked = F.broadcast(asked) if few(queries, MAX_QUERY_VECTORS) else asked
+    pairs = blocked(vectors, "chunk_id", "chunk_ids", "own").crossJoin(asked)
+    return top_k(pairs.mapInArrow(_nearest(k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
 
 
 def fused(arms: list[DataFrame], limit: int | None = None) -> DataFrame:

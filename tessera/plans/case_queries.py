@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.text import latin_tokens
-from tessera.operators import answer, cases, contracts, evaluation, operations, retrieval
-from tessera.plans.search_queries import BM25, RANKED, chunks, questions, table
+from tessera.operators import answer, cases, classify, contracts, evaluation, operations, records, retrieval, tagging
+from tessera.plans.normalisation import judged, report
+from tessera.plans.search_queries import _count, BM25, DOMAINS, FUSED, LABELS, NEAR, TIES, chunks, question_vectors, questions, table, vectors
+from tessera.plans.storage import shared_dir
+from tessera.sources.evaluation import checkpoint
 from tessera.plans.text_queries import _FLAT, _RESULTS, _results
 
 
@@ -81,10 +86,12 @@ def result_violations(spark, sf_dir):
 
 
 def kb_search_results(spark, sf_dir):
+    """Both arms over the chunks of two domains only, fused, and the five best as rows of the interface."""
     top_n, top_k = contracts.kb_limits(5)
-    hits = retrieval.bm25(chunks(spark, sf_dir), questions(spark, sf_dir), top_n, latin_tokens).where(F.col("rank") <= top_k)
-    own = chunks(spark, sf_dir).select("chunk_id", "text", F.array(F.struct(F.col("source").alias("source_id"))).alias("citations"))
-    return contracts.kb_results(hits.join(own, "chunk_id"), full=True)
+    own = chunks(spark, sf_dir).withColumn("primary_domain", F.element_at(F.create_map(*(F.lit(x) for d, ls in LABELS.items() for x in (ls[0], d))), F.col("lang")))
+    hits = retrieval.search(questions(spark, sf_dir), own, vectors(spark, sf_dir), question_vectors(spark, sf_dir), where=retrieval.matching(primary_domains=KB_DOMAINS), top_n=top_n, top_k_=top_k, tokenize=latin_tokens)
+    cited = own.select("chunk_id", "text", F.array(F.struct(F.col("source").alias("source_id"))).alias("citations"))
+    return contracts.kb_results(hits.join(cited, "chunk_id"), full=True)
 
 
 def display_locations(spark, sf_dir):
@@ -111,11 +118,100 @@ def error_codes(spark, sf_dir):
 
 
 def checkpoint_latest(spark, sf_dir):
-    """The last record of each conversation wins."""
-    return operations.latest(table(spark, sf_dir, "conversations"), "conv_id", ["turn"]).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+    """Conversations as records of a checkpoint in JSON lines: an item's turns in one file; the last record wins."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("item_id"), F.lit("f").alias("fingerprint"), F.col("role").alias("status"), F.col("turn").cast("double").alias("total_score"), F.md5("text").alias("payload"))
+    rows.repartition("item_id").sortWithinPartitions("total_score").write.json(path)
+    return checkpoint(spark, path).select("item_id", "status", "total_score", F.col("payload").alias("digest"))
+
+
+def _tagged(spark, sf_dir):
+    """Documents with a first line of kind (of even ids), and a tag line inside every third."""
+    kind = F.when(F.col("doc_id") % 2 == 0, F.lit("知识类型：x\n")).otherwise(F.lit(""))
+    line = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n 标签：a/"), F.col("lang"), F.lit("；；b \n"))).otherwise(F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat(F.lit("head\n"), kind, F.left("text", F.lit(50)), line, F.col("source")).alias("text"))
+
+
+def tag_line_reading(spark, sf_dir):
+    rows = _tagged(spark, sf_dir)
+    paths = tagging.tag_paths(F.array(F.lit("b"), F.concat(F.lit("c/"), F.col("source"))), F.col("text"))
+    return rows.select("doc_id", F.array_join(paths, ",").alias("paths"), F.md5(tagging.without_tag_lines(F.col("text"))).alias("digest"))
+
+
+def tag_line_insertion(spark, sf_dir):
+    rows = _tagged(spark, sf_dir)
+    line = tagging.tag_line(F.array(F.col("lang"), F.lit(" "), F.col("source")))
+    return rows.select("doc_id", F.md5(tagging.with_tag_line(F.col("text"), line)).alias("digest"))
+
+
+def tag_path_metadata(spark, sf_dir):
+    """Paths by id and source, of three parts or two."""
+    paths = F.array(F.concat(F.lit("销售技能/"), F.col("lang"), F.lit("/"), F.col("source")), F.concat_ws("/", F.lit("客户经营"), F.col("lang")), F.concat(F.lit("其他/"), F.col("lang"), F.lit("/x")), F.concat(F.lit("客户经营/"), F.col("lang"), F.lit("/"), F.col("source")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tagging.path_parts(paths).alias("p"))
+    return rows.select("doc_id", *(F.array_join(f"p.{c}", ",").alias(c) for c in ("business_domains", "business_categories", "business_tags")))
+
+
+def _chunks_of(spark, sf_dir):
+    """Documents as chunks: their language and source as metadata, their first lines as citations."""
+    text = F.concat(F.lit(" "), F.col("text"), F.lit("\n"))
+    fields = {f: F.lit("") for f in ("section_name", "source_id", "filename", "source_type", "source_path", "quote", "context", "source_excerpt", "locator_confidence", "locator_error", "anchor_id")}
+    own = lambda x: F.struct(*((x if c in ("quote", "context", "source_excerpt") else fields[c] if c != "locator" else F.lit(None).cast("map<string,string>")).alias(c) for c in ("section_name", "source_id", "filename", "source_type", "source_path", "quote", "context", "source_excerpt", "locator", "locator_confidence", "locator_error", "anchor_id")))
+    cited = F.transform(F.slice(F.split("text", "\n"), 1, 3), own)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("script").alias("chunk_type"), text.alias("text"), F.create_map(F.lit("stage"), F.col("lang"), F.lit("case_name"), F.col("source")).alias("metadata"), cited.alias("citations"))
+
+
+def index_rows(spark, sf_dir):
+    rows = records.flattened(_chunks_of(spark, sf_dir))
+    cited = F.from_json("citations_json", "array<struct<quote: string, context: string, source_excerpt: string>>")
+    return rows.select("chunk_id", "text_hash", "case_name", "stage", "scenario", "chunk_type", "metadata_json", F.size(cited).alias("n_citations"), F.array_join(F.transform(cited, lambda c: F.length(c["source_excerpt"]).cast("string")), ",").alias("excerpts"), F.exists(cited, lambda c: c["context"].isNotNull()).alias("context_kept"))
+
+
+def index_rows_restored(spark, sf_dir):
+    back = records.restored(records.flattened(_chunks_of(spark, sf_dir)))
+    return back.select("chunk_id", F.md5("text").alias("digest"), F.col("metadata")["stage"].alias("stage"), F.size("citations").alias("n_citations"), "source_file")
+
+
+def evidence_prompts(spark, sf_dir):
+    """Turns of conversations as evidence, their lines as citations."""
+    cited = F.transform(F.split("text", "\n"), lambda x: F.struct(F.col("role").alias("filename"), F.lit("s").alias("section_name"), F.lit("L1").alias("location"), F.when(F.length(x) % 2 == 0, x).alias("source_excerpt"), x.alias("quote")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("chunk_id"), F.col("role").alias("chunk_type"), "text", cited.alias("citations"))
+    return answer.evidence_texts(rows, "conv_id", "turn").select("conv_id", F.md5("evidence").alias("digest"), F.length("evidence").alias("n_chars"))
+
+
+def search_plan_filters(spark, sf_dir):
+    event, user = F.col("event_type"), F.col("user_id")
+    intent = F.when(event == "purchase", "journey_search").when(event == "error", "out_of_scope").otherwise("general_sales_qa")
+    plans = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), intent.alias("intent"), (F.col("event_id") % 10 != 0).alias("needs_retrieval"), F.when(F.col("event_id") % 7 == 0, " ").otherwise("q").alias("rewritten_query"), F.array(F.lit("script")).alias("chunk_types"), F.when(user % 2 == 0, "s").alias("stage"), F.array(F.when(user % 3 == 0, F.lit("course")).otherwise(F.lit("case"))).alias("collection_targets"))
+    out = contracts.search_plans(plans)
+    return out.select("query_id", "state", "query", F.array_join("chunk_types", ",").alias("chunk_types"), "stage", F.array_join("source_kinds", ",").alias("source_kinds"))
+
+
+def _normalised(spark, sf_dir):
+    """Documents as chunks of files: of both kinds of sources, some of neither; every 40th has the id of another."""
+    id_, kind = F.col("doc_id"), F.col("doc_id") % 8
+    path = F.when(kind == 0, F.concat(F.col("source"), F.lit("/chunks.jsonl"))).when(kind == 1, F.concat(F.lit("a/b/"), F.col("source"), F.lit(".jsonl"))).otherwise(F.concat(F.lit("chunk/"), F.col("source"), F.lit(".chunks.jsonl")))
+    rows = chunks(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id").withColumn("relative", path).withColumn("line_no", id_).withColumn("chunk_id", F.when(id_ % 40 == 0, id_ - F.floor(id_ / 40) % 3 - 2).otherwise(id_))
+    return judged(rows, classify.domain_scores(DOMAINS, {"lang": F.when(id_ % 5 != 0, F.array("lang"))}, {"text": F.col("text")}, LABELS), TIES)
+
+
+def normalisation_issues(spark, sf_dir):
+    return _normalised(spark, sf_dir).select("doc_id", F.coalesce("issue", F.lit("")).alias("issue"), F.when(F.col("issue").isNull(), F.col("primary_domain")).alias("primary_domain"))
+
+
+def normalisation_report(spark, sf_dir):
+    return report(_normalised(spark, sf_dir))
 
 
+KB_DOMAINS = ["gallic", "teuton"]
+_POOL = "pool AS (SELECT * FROM documents WHERE lang IN (" + ", ".join(f"'{LABELS[d][0]}'" for d in KB_DOMAINS) + ")),"
 _ENDS = "。！？；\\n"
+_TAGGED = "t AS (SELECT doc_id, lang, source, 'head' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '知识类型：x' || chr(10) ELSE '' END || left(text, 50) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || ' 标签：a/' || lang || '；；b ' || chr(10) ELSE '' END || source AS text FROM documents), g AS (SELECT doc_id, lang, source, string_split(text, chr(10)) AS lines FROM t)"
+_NORMALISED = "scored AS (" + " UNION ALL ".join(f"SELECT doc_id, '{d}' AS domain, {i} AS tie, CASE WHEN doc_id % 5 <> 0 THEN 10 * (lang = '{LABELS[d][0]}')::INT ELSE 0 END + {_count(DOMAINS[d])} AS score FROM documents" for i, d in enumerate(TIES)) + """),
+b AS (SELECT doc_id, arg_max(domain, score * 10 - tie) AS domain, max(score) AS score, count_if(score >= 4) AS n_tags FROM scored GROUP BY doc_id),
+f AS (SELECT doc_id, source, CASE WHEN doc_id % 8 = 0 THEN source || '/chunks.jsonl' WHEN doc_id % 8 = 1 THEN 'a/b/' || source || '.jsonl' ELSE 'chunk/' || source || '.chunks.jsonl' END AS path, CASE WHEN doc_id % 40 = 0 THEN doc_id - (doc_id // 40) % 3 - 2 ELSE doc_id END AS id FROM documents),
+k AS (SELECT *, CASE WHEN doc_id % 8 = 0 THEN '绩优案例' WHEN doc_id % 8 > 1 THEN '培训资料' END AS kind FROM f),
+w AS (SELECT *, row_number() OVER (PARTITION BY id, kind IS NOT NULL ORDER BY path, doc_id) AS place, first_value(kind) OVER (PARTITION BY id, kind IS NOT NULL ORDER BY path, doc_id) AS first FROM k),
+j AS (SELECT w.doc_id, kind, domain, n_tags, CASE WHEN kind IS NULL THEN 'unsupported_path' WHEN place > 1 AND first <> kind THEN 'duplicate_chunk_id_source_conflict' WHEN place > 1 THEN 'deduplicated_chunk_id' WHEN score < 4 THEN 'unclassified' END AS issue FROM w JOIN b USING (doc_id))"""
 QUERIES = {
     "case_id_hash": (case_id_hash, r"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents), b AS (SELECT doc_id, name, regexp_replace(regexp_replace(lower(trim(name)), '[^\p{L}\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g') AS base FROM f)
 SELECT doc_id, regexp_replace(CASE WHEN base = '' THEN 'case' ELSE left(base, 80) END, '_+$', '') || '_' || left(sha1(name), 10) AS case_id FROM b"""),
@@ -129,11 +225,25 @@ t AS (SELECT doc_id, '知识类型：话术' || chr(10) || '阶段：' || lang |
     "feedback_violations": (feedback_violations, "SELECT doc_id, array_to_string(list_filter([CASE WHEN quality <> 1 AND toxic = 1 THEN 'combination' END, CASE WHEN (quality <> 1 OR toxic = 1) AND doc_id % 2 <> 0 THEN 'reason' END], lambda x: x IS NOT NULL), ',') AS codes FROM labels"),
     "request_violations": (request_violations, "WITH d AS (SELECT source, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id END AS row_, CASE WHEN doc_id % 15 = 0 THEN ' ' ELSE text END AS text FROM documents), g AS (SELECT source, count(*) AS n, count(DISTINCT row_) AS rows_, max(length(text)) AS longest, count_if(trim(text) = '') AS blank FROM d GROUP BY source), c AS (SELECT source, list_filter([CASE WHEN n > 1000 THEN 'rows' END, CASE WHEN n > 100 THEN 'questions' END, CASE WHEN rows_ < n THEN 'row_index' END, CASE WHEN longest > 20000 THEN 'cell' END, CASE WHEN longest > 2000 THEN 'query' END, CASE WHEN blank > 0 THEN 'blank' END], lambda x: x IS NOT NULL) AS codes FROM g) SELECT source, array_to_string(codes, ',') AS codes FROM c WHERE len(codes) > 0"),
     "result_violations": (result_violations, f"WITH {_RESULTS}, g AS (SELECT *, total_score + CASE WHEN item_id % 5 = 0 THEN 1 ELSE 0 END AS total FROM r), v AS (SELECT *, CASE WHEN total_score >= 85 THEN 'excellent' WHEN total_score >= 75 THEN 'qualified' WHEN total_score IS NOT NULL THEN 'failed' END AS own, CASE WHEN total >= 85 THEN 'excellent' WHEN total >= 75 THEN 'qualified' WHEN total IS NOT NULL THEN 'failed' END AS graded FROM g) SELECT item_id, array_to_string(list_filter([CASE WHEN status = '问答失败' THEN 'null' END, CASE WHEN status = '已完成' AND item_id % 5 = 0 THEN 'total' END, CASE WHEN graded IS DISTINCT FROM CASE WHEN item_id % 3 = 0 THEN CASE WHEN quality = 1 THEN 'excellent' ELSE 'failed' END ELSE own END THEN 'grade' END], lambda x: x IS NOT NULL), ',') AS codes FROM v"),
-    "kb_search_results": (kb_search_results, rf"WITH {BM25}, t AS (SELECT query_id, rank, d.source, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS line FROM {RANKED.format('scores')} JOIN documents d ON doc_id = chunk_id WHERE rank <= 5 AND score > 0) SELECT query_id, rank, source AS docId, 'SLICE' AS knowledgeType, '切片' AS knowledgeTypeName, CASE WHEN length(line) > 240 THEN left(line, 240) || '...' ELSE line END AS content FROM t"),
+    "kb_search_results": (kb_search_results, rf"WITH {_POOL} {BM25.replace('FROM documents', 'FROM pool')}, {NEAR.replace('embeddings e)', 'embeddings e SEMI JOIN pool ON doc_id = e.vec_id)')}, {FUSED}, t AS (SELECT query_id, rank, d.source, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS line FROM placed JOIN documents d ON doc_id = chunk_id WHERE rank <= 5) SELECT query_id, rank, source AS docId, 'SLICE' AS knowledgeType, '切片' AS knowledgeTypeName, CASE WHEN length(line) > 240 THEN left(line, 240) || '...' ELSE line END AS content FROM t"),
     "display_locations": (display_locations, """WITH p AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 AND doc_id % 7 <> 0 THEN 'p' || doc_id % 7 END, CASE WHEN doc_id % 5 = 0 THEN 'slide' || (doc_id % 3 + 1) END,
   CASE WHEN doc_id % 3 = 0 AND doc_id % 11 <> 0 THEN 'L' || doc_id % 11 || CASE WHEN doc_id % 4 <> 0 THEN '-L' || (doc_id % 11 + doc_id % 4) ELSE '' END END, CASE WHEN doc_id % 7 = 0 THEN source || ' / ' || lang END], lambda x: x IS NOT NULL) AS s FROM documents)
 SELECT doc_id, CASE WHEN len(s) > 0 THEN array_to_string(s, ' · ') ELSE '未提供精确位置' END AS location FROM p"""),
     "plan_filters": (plan_filters, "SELECT event_id, CASE WHEN user_id % 3 = 0 AND NOT (event_id % 10 <> 0 AND event_type IN ('purchase', 'view')) THEN '培训资料' WHEN user_id % 3 = 1 AND NOT (event_id % 10 <> 0 AND event_type = 'click') THEN '绩优案例' ELSE '' END AS kinds FROM events"),
     "error_codes": (error_codes, "SELECT CASE event_type WHEN 'error' THEN '503' WHEN 'click' THEN '10004' ELSE '500' END AS code, count(*) AS n FROM events GROUP BY 1"),
-    "checkpoint_latest": (checkpoint_latest, "SELECT conv_id, turn, role, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1"),
+    "checkpoint_latest": (checkpoint_latest, "SELECT conv_id::VARCHAR AS item_id, role AS status, turn::DOUBLE AS total_score, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1"),
+    "tag_line_reading": (tag_line_reading, rf"WITH {_TAGGED}, l AS (SELECT doc_id, lang, source, list_filter(lines, lambda x: NOT starts_with(trim(x), '标签：')) AS kept FROM g) SELECT doc_id, 'b,c/' || source || CASE WHEN doc_id % 3 = 0 THEN ',a/' || lang ELSE '' END AS paths, md5(regexp_replace(regexp_replace(array_to_string(kept, chr(10)), '^\s+', ''), '\s+$', '')) AS digest FROM l"),
+    "tag_line_insertion": (tag_line_insertion, f"WITH {_TAGGED}, l AS (SELECT doc_id, lines, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS pos, '标签：' || lang || '；' || source AS line FROM g) SELECT doc_id, md5(array_to_string(list_concat(list_concat(lines[1:pos], [line]), lines[pos + 1:]), chr(10))) AS digest FROM l"),
+    "tag_path_metadata": (tag_path_metadata, "SELECT doc_id, '销售技能,客户经营' AS business_domains, lang AS business_categories, source AS business_tags FROM documents"),
+    "index_rows": (index_rows, r"""WITH c AS (SELECT doc_id, lang, source, text, string_split(text, chr(10))[1:3] AS l FROM documents) SELECT doc_id::VARCHAR AS chunk_id, sha256(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')) AS text_hash, source AS case_name, lang AS stage, '' AS scenario, 'script' AS chunk_type, '{"stage":"' || lang || '","case_name":"' || source || '"}' AS metadata_json,
+len(l)::INT AS n_citations, array_to_string(list_transform(l, lambda x: least(length(x), 600)), ',') AS excerpts, false AS context_kept FROM c"""),
+    "index_rows_restored": (index_rows_restored, "SELECT doc_id::VARCHAR AS chunk_id, md5(' ' || text || chr(10)) AS digest, lang AS stage, least(len(string_split(text, chr(10))), 3)::INT AS n_citations, 'case.sales_insights.json' AS source_file FROM documents"),
+    "evidence_prompts": (evidence_prompts, """WITH e AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS i FROM e),
+t AS (SELECT conv_id, n, '[证据' || n || ']' || chr(10) || 'chunk_id：' || any_value(turn) || chr(10) || '知识类型：' || any_value(role) || chr(10) || '内容：' || any_value(text) || chr(10) || string_agg('[引用' || i || '] 文件：' || role || '；章节：s；位置：L1；原文：' || line, chr(10) ORDER BY i) AS t FROM c GROUP BY conv_id, n),
+w AS (SELECT conv_id, regexp_replace(regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY n), '^\\s+', ''), '\\s+$', '') AS w FROM t GROUP BY conv_id) SELECT conv_id, md5(w) AS digest, length(w) AS n_chars FROM w"""),
+    "search_plan_filters": (search_plan_filters, "SELECT event_id AS query_id, CASE WHEN event_id % 10 = 0 OR event_type = 'error' THEN 'skip' WHEN event_id % 7 = 0 THEN 'error' ELSE 'search' END AS state, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'q' END AS query, CASE WHEN event_type IN ('purchase', 'error') THEN 'script' ELSE '' END AS chunk_types, CASE WHEN user_id % 2 = 0 THEN 's' ELSE '' END AS stage, CASE WHEN user_id % 3 <> 0 THEN '绩优案例' WHEN event_id % 10 = 0 OR event_type = 'error' THEN '培训资料' ELSE '' END AS source_kinds FROM events"),
+    "normalisation_issues": (normalisation_issues, f"WITH {_NORMALISED} SELECT doc_id, coalesce(issue, '') AS issue, CASE WHEN issue IS NULL THEN domain END AS primary_domain FROM j"),
+    "normalisation_report": (normalisation_report, f"""WITH {_NORMALISED} SELECT 'total' AS section, 'input_chunks' AS value, count_if(issue IS NULL OR issue <> 'unsupported_path')::BIGINT AS n FROM j UNION ALL SELECT 'total', 'chunks', count_if(issue IS NULL)::BIGINT FROM j UNION ALL SELECT 'total', 'multi_domain_chunks', count_if(issue IS NULL AND n_tags > 1)::BIGINT FROM j
+UNION ALL SELECT 'source_kind', kind, count(*) FROM j WHERE issue IS NULL GROUP BY kind UNION ALL SELECT 'primary_domain', domain, count(*) FROM j WHERE issue IS NULL GROUP BY domain UNION ALL SELECT 'domain', s.domain, count(*) FROM j JOIN scored s USING (doc_id) WHERE issue IS NULL AND s.score >= 4 GROUP BY s.domain UNION ALL SELECT 'issue', issue, count(*) FROM j WHERE issue IS NOT NULL GROUP BY issue"""),
 }

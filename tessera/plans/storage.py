@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a new table in the shared folder, read again: computed once, whatever reads it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.text import latin_tokens
-from tessera.operators import answer, chunking, evaluation, locate, normalize, operations, retrieval
-from tessera.plans.index import IndexTable, merged
+from tessera.operators import answer, chunking, evaluation, locate, normalize, operations, output, retrieval
+from tessera.plans.index import IndexTable
 from tessera.plans.search_queries import BM25, NEAR, RANKED, chunks, question_vectors, questions, table, vectors
 from tessera.plans.storage import shared_dir
 from tessera.streaming.incremental import chunk_stream, upsert_stream
@@ -53,15 +53,33 @@ def id_set_difference(spark, sf_dir):
     return normalize.difference(docs(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id")
 
 
+def _index(spark, sf_dir):
+    """documents as an index table in the shared folder."""
+    index = IndexTable(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    index.rebuild(docs(spark, sf_dir).select("doc_id", "source"))
+    return index
+
+
 def upsert_merge(spark, sf_dir):
     """Labelled documents are written again, with their quality as source."""
-    new = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
-    return merged(docs(spark, sf_dir).select("doc_id", "source"), new, "doc_id")
+    index = _index(spark, sf_dir)
+    index.upsert(table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source")))
+    return index.read()
 
 
 def delete_by_ids(spark, sf_dir):
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return docs(spark, sf_dir).select("doc_id", "source").join(toxic, "doc_id", "left_anti")
+    index = _index(spark, sf_dir)
+    index.delete(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+    return index.read()
+
+
+def index_rollback(spark, sf_dir):
+    """A deletion that is undone, and the versions that nothing names any more deleted."""
+    index = _index(spark, sf_dir)
+    index.delete(table(spark, sf_dir, "labels").select("doc_id"))
+    index.rollback()
+    index.vacuum()
+    return index.read()
 
 
 def chunk_contract_violations(spark, sf_dir):
@@ -308,11 +326,18 @@ def bounded_text(spark, sf_dir):
 
 
 def csv_backfill(spark, sf_dir):
-    """Each user turn with the assistant's answer to it, empty without one."""
-    c = table(spark, sf_dir, "conversations")
-    asked = c.where("role = 'user'").select("conv_id", "turn", F.md5("text").alias("question"))
-    told = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.md5("text").alias("answer"))
-    return asked.join(told, ["conv_id", "turn"], "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    """Questions are a conversation's user turns, answers the assistant's behind them; a third of these failed, and what was there stays."""
+    c = table(spark, sf_dir, "conversations").withColumn("row_index", F.concat_ws("/", "conv_id", F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn"))))
+    asked = c.where("role = 'user'").select("row_index", F.md5("text").alias("question"), F.lit("old").alias("answer"))
+    told = c.where("role = 'assistant'").select("row_index", F.when(F.col("conv_id") % 3 == 0, "failed").otherwise("succeeded").alias("status"), F.md5("text").alias("answer"))
+    return output.backfilled(asked, told)
+
+
+def safe_messages(spark, sf_dir):
+    """Documents as messages, with a path, a secret and, every ninth, a stack behind them."""
+    tail = F.when(F.col("doc_id") % 9 == 0, F.lit("\n  at x.y(z.py)")).otherwise(F.lit(" api_key: 'a b', see /var/log/app.log and C:\\tmp\\x.txt, Bearer abc.def; http://host/path"))
+    out = tx.safe_message(F.concat(F.left("text", F.lit(1500)), tail))
+    return docs(spark, sf_dir).select("doc_id", F.md5(out).alias("digest"), F.length(out).alias("n_chars"))
 
 
 def incremental_upsert_stream(spark, sf_dir):
@@ -347,6 +372,7 @@ QUERIES = {
 SELECT doc_id, name FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY regexp_matches(name, '\([0-9]+\)\.[^.]+$'), empty, name, doc_id) AS k FROM n) WHERE k = 1"""),
     "id_set_difference": (id_set_difference, "SELECT 'left' AS side, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'right', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)"),
     "upsert_merge": (upsert_merge, "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'q' || quality FROM labels"),
+    "index_rollback": (index_rollback, "SELECT doc_id, source FROM documents"),
     "delete_by_ids": (delete_by_ids, "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "chunk_contract_violations": (chunk_contract_violations, """WITH r AS (SELECT sha256(text) AS chunk_id, text, count(*) OVER (PARTITION BY sha256(text)) AS copies, lang, source FROM documents),
 v AS (SELECT chunk_id, list_filter([CASE WHEN trim(text) = '' THEN 'blank_text' END, CASE WHEN trim(source) = '' THEN 'blank_source_file' END, CASE WHEN strlen(text) > 4096 THEN 'long_text' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'chunk_type' END, CASE WHEN copies > 1 THEN 'duplicate_chunk_id' END], lambda x: x IS NOT NULL) AS codes FROM r)
@@ -356,7 +382,7 @@ SELECT chunk_id, array_to_string(codes, ',') AS codes FROM v WHERE len(codes) >
     "context_window": (context_window, f"WITH {_LINES}, n AS (SELECT *, (max(line_no) OVER (PARTITION BY doc_id) + 1) // 2 AS middle FROM l) SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (abs(line_no - middle) <= 3 AND trim(line) <> ''), '') AS context FROM n GROUP BY doc_id"),
     "quote_locate": (quote_locate, r"""WITH s AS (SELECT doc_id, text, coalesce(string_split(text, chr(10))[2], '') AS second FROM documents),
 q AS (SELECT doc_id, text, length(second) > 40 AND doc_id % 2 = 0 AS cut, second FROM s),
-p AS (SELECT doc_id, 1 AS i, text, trim(CASE WHEN cut THEN left(second, 20) ELSE second END) AS part, cut FROM q UNION ALL SELECT doc_id, 2, text, trim(left(text, 8)), cut FROM q WHERE cut),
+p AS (SELECT doc_id, 1 AS i, text, trim(CASE WHEN cut THEN rtrim(left(second, 20), '.') ELSE second END) AS part, cut FROM q UNION ALL SELECT doc_id, 2, text, trim(left(text, 8)), cut FROM q WHERE cut),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY strpos(text, part) = 0 OR length(part) < 2, length(part) DESC, i) AS k FROM (SELECT doc_id, i, text, cut, unnest(regexp_split_to_array(part, '\.{3,}|…+')) AS part FROM p)),
 z AS (SELECT doc_id, text, trim(part) AS part, CASE WHEN part = '' OR strpos(text, trim(part)) = 0 OR (cut AND length(trim(part)) < 2) THEN 'unmatched' WHEN cut THEN 'approximate' ELSE 'exact' END AS confidence FROM f WHERE k = 1),
 c AS (SELECT *, CASE WHEN confidence = 'unmatched' THEN -1 ELSE strpos(text, part) - 1 END AS char_start FROM z)
@@ -410,6 +436,10 @@ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^0-9])(?:(?:\+86|0086
 c AS (SELECT doc_id, regexp_replace(t, '(^|[^0-9])[0-9]{{17}}[0-9Xx]($|[^0-9])', '\1【身份证号已隐藏】\2', 'g') AS t FROM b) SELECT doc_id, md5(t) AS digest, length(t) AS n_chars FROM c"""),
     "preview_text": (preview_text, r"""WITH r AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END AS preview FROM r"""),
     "bounded_text": (bounded_text, "SELECT doc_id, CASE WHEN length(text) > 205 THEN left(text, 100) || chr(10) || '...' || chr(10) || right(text, 100) ELSE text END AS bounded FROM documents"),
-    "csv_backfill": (csv_backfill, "SELECT u.conv_id, u.turn, md5(u.text) AS question, coalesce(md5(a.text), '') AS answer FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"),
+    "csv_backfill": (csv_backfill, "SELECT u.conv_id || '/' || u.turn AS row_index, md5(u.text) AS question, CASE WHEN a.conv_id % 3 <> 0 THEN md5(a.text) ELSE 'old' END AS answer FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"),
+    "safe_messages": (safe_messages, r"""WITH m AS (SELECT doc_id, left(text, 1500) || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '  at x.y(z.py)' ELSE ' api_key: ''a b'', see /var/log/app.log and C:\tmp\x.txt, Bearer abc.def; http://host/path' END AS m FROM documents),
+a AS (SELECT doc_id, m, regexp_replace(m, '(?i)(^|[^A-Za-z0-9_])["'']?((?:[A-Za-z0-9.]+[_-])*(?:api[_-]key|token|secret|password)|Bearer)["'']?\s*[:=]\s*(?:"[^"]*"|''[^'']*''|[^\s,;，；。]+)', '\1\2=[已隐藏敏感信息]', 'g') AS t FROM m),
+b AS (SELECT doc_id, m, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\bBearer\s+[^\s,;，；。]+', 'Bearer [已隐藏敏感信息]', 'g'), '(^|[^A-Za-z0-9_])[A-Za-z]:[\\/](?:[^\\/\s]+[\\/])*[^\\/\s,;)\]}]+', '\1[已隐藏路径]', 'g'), '(^|[^:/])/(?:[^/\s]+/)*[^/\s,;)\]}]+', '\1[已隐藏路径]', 'g') AS t FROM a)
+SELECT doc_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT doc_id, CASE WHEN regexp_matches(m, '(?i)\b(traceback|stack\s*trace|exception\s*chain)\b|(^|\n)\s*at\s+\S+\([^)]*\)') THEN '内部处理信息已隐藏' ELSE left(t, 2000) END AS t FROM b)"""),
     "incremental_upsert_stream": (incremental_upsert_stream, "SELECT doc_id, sha256(text) AS text_hash, lang, source FROM documents"),
 }

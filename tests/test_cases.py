@@ -1,5 +1,7 @@
 """Cases, contracts and streams on inline tables."""
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -117,3 +119,78 @@ def test_stream_upserts_once(spark, tmp_path):
 def test_registry():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and "hybrid_boosted" in queries
+
+
+def test_tag_lines(spark):
+    from tessera.operators import tagging
+
+    text = "case: a\n知识类型：x\n 标签：p/q/r； ；s \nbody\n标签：s；t\n"
+    assert value(spark, tagging.tag_paths(F.array(F.lit(" s "), F.lit("")), F.col("text")), text) == ["s", "p/q/r", "t"]
+    assert value(spark, tagging.without_tag_lines(F.col("text")), text) == "case: a\n知识类型：x\nbody"
+    put = lambda t: value(spark, tagging.with_tag_line(F.col("text"), F.lit("标签：z")), t)
+    assert put("a\n知识类型：x\nb\n知识类型：y") == "a\n知识类型：x\n标签：z\nb\n知识类型：y" and put("a\nb") == "a\n标签：z\nb" and put("") == "标签：z" and put("a") == "a\n标签：z"
+    assert value(spark, tagging.tag_line(F.array(F.lit("a"), F.lit(" "), F.lit("b")))) == "标签：a；b" and value(spark, tagging.tag_line(F.lit(None).cast("array<string>"))) == ""
+    parts = value(spark, tagging.path_parts(F.array(*map(F.lit, ("销售技能/c/t/more", "客户经营/c/u", "客户经营/d", "其他/c/t")))))
+    assert (parts.business_domains, parts.business_categories, parts.business_tags) == (["销售技能", "客户经营"], ["c"], ["t", "u"])
+    cited = F.array(F.struct(F.lit("Quote").alias("quote"), F.lit("").alias("context"), F.lit(None).cast("string").alias("source_excerpt")))
+    assert value(spark, tagging.haystack(F.col("text"), [F.lit("Stage"), F.lit("")], cited), "Body") == "body\nstage\nquote"
+
+
+def test_rows_of_an_index(spark):
+    from tessera.operators import records
+    from tessera.sources.chunks import CHUNK
+
+    cite = lambda n: {"quote": "q", "context": "long", "source_excerpt": "e" * n, "locator": {"page": "3"}}
+    chunks = spark.createDataFrame([("1", "script", " t ", {"stage": "s", "x": "y"}, [cite(900), cite(5)], "f"), ("2", "script", "", None, None, "f"), ("3", "script", "t", {}, [cite(600)] * 200, "f")], CHUNK)
+    rows = {r.chunk_id: r for r in records.flattened(chunks).collect()}
+    assert (rows["1"].stage, rows["1"].case_name, rows["1"].text_hash) == ("s", "", hashlib.sha256(b"t").hexdigest())
+    cited = json.loads(rows["1"].citations_json)
+    assert [len(c["source_excerpt"]) for c in cited] == [600, 5] and "context" not in cited[0] and rows["2"].citations_json == "[]"
+    most = json.loads(rows["3"].citations_json)
+    size = len(rows["3"].citations_json.encode())
+    assert size <= records.MOST_CITATIONS < size + len(json.dumps(most[0], separators=(",", ":"))) + 2
+    back = {r.chunk_id: r for r in records.restored(records.flattened(chunks)).collect()}
+    assert back["1"].metadata == {"stage": "s", "x": "y"} and back["1"].citations[0].locator == {"page": "3"} and back["1"].text == " t " and back["2"].citations == []
+
+
+def test_answers_with_evidence_and_without(spark):
+    from tessera.operators import answer
+
+    kind = "id string, rank int, chunk_id string, chunk_type string, text string, citations array<struct<filename: string, section_name: string, location: string, source_excerpt: string, quote: string>>"
+    hits = spark.createDataFrame([("a", 2, "c2", "script", "two", [("g", None, "", "", "q3")]), ("a", 1, "c1", "script", "one", [("f", "s", "L2", "e1", "q1"), ("f", "s", "", None, "q2")]), ("b", 1, "c3", "t", "three", [])], kind)
+    texts = {r.id: r.evidence for r in answer.evidence_texts(hits, "id", "rank").collect()}
+    assert texts["a"] == "[证据1]\nchunk_id：c1\n知识类型：script\n内容：one\n[引用1] 文件：f；章节：s；位置：L2；原文：e1\n[引用2] 文件：f；章节：s；位置：；原文：q2\n\n[证据2]\nchunk_id：c2\n知识类型：script\n内容：two\n[引用3] 文件：g；章节：；位置：；原文：q3"
+    assert texts["b"].endswith("内容：three")
+    asked = spark.createDataFrame([("a", "?"), ("z", "??")], "id string, query string")
+    out = {r.id: (r.answer, r.reason) for r in answer.answered(asked, answer.evidence_texts(hits, "id", "rank"), "id", lambda t: t.select("id", F.concat("query", F.lit("!")).alias("answer"))).collect()}
+    assert out == {"a": ("?!", ""), "z": (answer.NO_EVIDENCE, "检索结果为空")}
+
+
+def test_requests_of_the_knowledge_base(spark):
+    ok = contracts.kb_request(" q ", ["产品知识"], None, "hybrid", {}, 30)
+    assert (ok["code"], ok["query"], ok["domains"], ok["top_n"], ok["top_k"], ok["searched"]) == ("0", "q", ["产品知识"], 30, 30, True)
+    assert contracts.kb_request("q", types=["qa"])["searched"] is False and contracts.kb_request("q")["top_k"] == 10
+    for bad in ({"query": " "}, {"query": "q", "domains": ["x"]}, {"query": "q", "mode": "VECTOR"}, {"query": "q", "weights": 1}, {"query": "q", "top_k": 51}, {"query": "q", "top_k": 0}):
+        assert contracts.kb_request(**bad)["code"] == "10004"
+
+
+def test_a_folder_is_normalised_whole_or_not(spark, tmp_path):
+    from tessera.operators import classify
+    from tessera.plans.normalisation import judged, published, report
+
+    rules, ties = {"a": ["alpha"], "b": ["beta"]}, ["b", "a"]
+    rows = [("chunk/x.chunks.jsonl", 1, "1", ["a", "b"]), ("chunk/x.chunks.jsonl", 2, "1", ["a"]), ("case/chunks.jsonl", 1, "2", ["b"])]
+    def run(rows):
+        df = spark.createDataFrame(rows, "relative string, line_no int, chunk_id string, labels array<string>")
+        return judged(df, classify.domain_scores(rules, {"labels": F.col("labels")}), ties)
+    out = f"file://{tmp_path}/out"
+    good = run(rows)
+    assert {(r.relative, r.line_no): r.issue for r in good.collect()} == {("chunk/x.chunks.jsonl", 1): None, ("chunk/x.chunks.jsonl", 2): "deduplicated_chunk_id", ("case/chunks.jsonl", 1): None}
+    assert {(r.section, r.value): r.n for r in report(good).collect()} == {("total", "input_chunks"): 3, ("total", "chunks"): 2, ("total", "multi_domain_chunks"): 1, ("source_kind", "培训资料"): 1, ("source_kind", "绩优案例"): 1, ("primary_domain", "b"): 2, ("domain", "b"): 2, ("domain", "a"): 1, ("issue", "deduplicated_chunk_id"): 1}
+    columns = ["chunk_id", "domain_tags", "source_kind", "line_no"]
+    assert published(spark, good, out, columns) and spark.read.option("pathGlobFilter", "part-*").json(out).count() == 2
+    bad = run([*rows, ("x/y/z.jsonl", 1, "3", ["a"]), ("case/chunks.jsonl", 2, "1", ["a"]), ("chunk/x.chunks.jsonl", 3, "4", [])])
+    assert {r.issue for r in bad.collect()} == {None, "unsupported_path", "duplicate_chunk_id_source_conflict", "unclassified"}
+    assert not published(spark, bad, out, columns) and spark.read.option("pathGlobFilter", "part-*").json(out).count() == 2
+    assert json.loads((tmp_path / "out.classification_report.json").read_text())["published"] is False
+    assert published(spark, good, out, columns) and not (tmp_path / "out.classification_report.json").exists() and not published(spark, run([]), out, columns)

@@ -245,8 +245,69 @@ def test_index_table(spark, tmp_path):
     assert table.read().count() == 3
     table.delete(spark.createDataFrame([("a",)], "chunk_id string"))
     assert table.read().count() == 2
+    assert table.rollback() and table.read().count() == 3
+    table.upsert(rows(("e", "1", [0.0, 1.0])), "stream#4")
+    assert not table.upsert(rows(("e", "2", [0.0, 1.0])), "stream#3") and not table.upsert(rows(("e", "2", [0.0, 1.0])), "stream#4")
     table.rollback()
-    assert table.read().count() == 3
+    assert table.upsert(rows(("e", "2", [0.0, 1.0])), "stream#4") and {r.text for r in table.read().where("chunk_id = 'e'").collect()} == {"2"}
+    gone = table.vacuum()
+    assert gone and table.read().count() == 4 and len(table._numbers()) == 2
+    table.rebuild(rows())
+    assert table.read().count() == 0 and table.read().columns == ["chunk_id", "text", "vector"]
+
+
+def test_index_writers_do_not_lose_rows(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    rows = lambda *x: spark.createDataFrame(list(x), "chunk_id string, n int")
+    one, other = IndexTable(spark, root), IndexTable(spark, root)
+    one.rebuild(rows(*((f"k{i}", 0) for i in range(100))))
+    commit, between = one._commit, [lambda: other.upsert(rows(("k1", 2), ("new", 2))), lambda: other.delete(spark.createDataFrame([("k2",)], "chunk_id string"))]
+
+    def interrupted(*args):
+        if between:
+            between.pop()()
+        return commit(*args)
+
+    monkeypatch.setattr(one, "_commit", interrupted)
+    assert one.upsert(rows(("k1", 1), ("mine", 1)), "b")  # the third try, on what the other writer left
+    got = {r.chunk_id: r.n for r in one.read().collect()}
+    assert len(got) == 101 and (got["k1"], got["mine"], got["new"]) == (1, 1, 2) and "k2" not in got
+    before = {r.chunk_id: r.n for r in one.read().collect()}
+    for step in ("_checked", "_publish"):  # a writer that dies at any step leaves the last version
+        with monkeypatch.context() as m:
+            m.setattr(one, step, lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                one.upsert(rows(("k5", 9)))
+        assert {r.chunk_id: r.n for r in other.read().collect()} == before
+    touched = set(one.manifest()["parts"].items())
+    one.upsert(rows(("k5", 9)))
+    assert len(set(one.manifest()["parts"].items()) - touched) == 1  # one bucket is written anew
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    unit = lambda: (lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v])([rng.gauss(0, 1) for _ in range(5)])
+    own, asked = [(f"c{i:03d}", unit()) for i in range(200)] + [("none", None)], [(i, unit()) for i in range(30)]
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    for most in (1000, 3):
+        monkeypatch.setattr(retrieval, "MAX_QUERY_VECTORS", most)
+        out = retrieval.vector_search(spark.createDataFrame(own, "chunk_id string, vector array<double>").repartition(3), spark.createDataFrame(asked, "query_id int, vector array<double>"), 4)
+        got = {(r.query_id, r.rank): r.chunk_id for r in out.collect()}
+        for q, v in asked:
+            best = sorted((-round(sum(a * b for a, b in zip(v, w)), 6), c) for c, w in own if w)[:4]
+            assert [got[q, k] for k in range(1, 5)] == [c for _, c in best]
+        assert len(got) == 120
+    assert retrieval.vector_search(spark.createDataFrame([], "chunk_id string, vector array<double>"), spark.createDataFrame(asked, "query_id int, vector array<double>"), 4).count() == 0
+
+
+def test_messages_that_may_be_stored(spark):
+    safe = lambda text: value(spark, tx.safe_message(F.col("text")), text)
+    assert safe("my_api_key = 'a b', token:x1; next") == "my_api_key=[已隐藏敏感信息], token=[已隐藏敏感信息]; next"
+    assert safe("sent Bearer abc.def, done") == "sent Bearer [已隐藏敏感信息], done"
+    assert safe("in /var/log/a b.log and C:\\temp\\x.txt, \\\\host\\share\\f; http://h") == "in [已隐藏路径] b.log and [已隐藏路径], [已隐藏路径]; http://h"
+    for stack in ("Traceback (most recent call last)", 'x\n  File "a.py", line 3', "at a.b(C.java:1)", "stack trace follows"):
+        assert safe(stack) == "内部处理信息已隐藏"
+    assert safe("x" * 3000) == "x" * 2000
 
 
 def test_sources(spark, tmp_path):
