@@ -45,9 +45,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cluster_of(text: Column) -> Column:
-    """A digest of the lower-cased words: equal for copies but for case and white space."""
-    words = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[ \\x09-\\x0D]+", " ")
-    return F.xxhash64(F.btrim(words, F.lit(" ")))
+    """A digest of the lower-cased text without white space: equal for copies but for these."""
+    letters = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    for space in " \n\t\r\x0b\x0c":
+        letters = F.replace(letters, F.lit(space))
+    return F.xxhash64(letters)
 
 
 def best_fit(sizes, clusters, sources, capacity: int, max_per_source: int) -> tuple[list[int], list[int]]:
