@@ -8,7 +8,8 @@ marginal in turn until all agree; a cell that reaches its own tokens is cut ther
 (probability 1) and the other cells of the value take what it lacks. So a rare
 value decides about its own documents and not about the corpus, the expected tokens of the sample have
 these marginals, and no document is drawn twice. Values that can't reach their share, and
-raking that hasn't converged after max_rounds (each marginal within tolerance of its own size), are told in a warning; ``marginals`` has
+raking that ends unconverged (each marginal within tolerance of its own size), after max_rounds or as two rounds
+bring it no nearer, which is so where cells have too few tokens for all marginals at once, are told in a warning; ``marginals`` has
 the wanted and the expected share of every value. ``raked`` without keep instead divides
 by the largest factor of any cell: exact shares, in a sample that the rarest cell limits.
 The draw is a hash of id and text: the same for equal rows, in every run, at every partitioning.
@@ -40,7 +41,8 @@ from tessera.llm.words import slices
 
 EXPONENTS = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 DIMENSIONS = ["source", "lang", "topic"]
-TOLERANCE, MAX_ROUNDS, MAX_CELLS = 1e-3, 50, 100_000
+#: The distance of a marginal from its share, as a part of the share; rounds; the part of the last distance that a round has to get below.
+TOLERANCE, MAX_ROUNDS, PROGRESS, MAX_CELLS = 1e-2, 30, 0.9, 100_000
 #: Topics of a language, places of a vector, passes, languages with topics of their own.
 TOPICS, DIMS, STEPS, MAX_LANGS, SEED = 4, 64, 5, 32, 11
 OTHER_LANGS, EMPTY = "*", "no words"
@@ -53,7 +55,7 @@ class Topics:
 
     A vector counts a text's words in DIMS hashed places, as square roots scaled to unit length. The
     centres are learned from all documents by spherical k-means, a Spark pass a step: tasks sum the
-    vectors of each (language, topic), and K x DIMS sums of each of MAX_LANGS languages at most reach
+    vectors of each (language, topic), and K x DIMS sums of each of MAX_LANGS languages at most, as rows, reach
     the driver; rarer languages share one set. So topics divide each language and don't repeat it."""
 
     def __init__(self, centres: dict[str, np.ndarray]):
@@ -73,10 +75,10 @@ class Topics:
         self = cls({name: start / np.linalg.norm(start, axis=1, keepdims=True) for name in names})
         for _ in range(steps):
             sums: dict[str, dict[int, np.ndarray]] = {}
-            out = rows.mapInArrow(_summed(self, langs), "lang string, topic int, n long, sums array<double>")
-            places = F.array(*(F.sum(F.round(F.col("sums")[i], 6).cast("decimal(30,6)")).cast("double") for i in range(DIMS)))
-            for r in out.groupBy("lang", "topic").agg(F.sum("n").alias("n"), places.alias("sums")).collect():
-                sums.setdefault(r["lang"], {})[r["topic"]] = np.array(r["sums"])
+            out = rows.mapInArrow(_summed(self, langs), "lang string, topic int, sums array<double>")
+            places = out.select("lang", "topic", F.posexplode("sums").alias("place", "part"))
+            for r in places.groupBy("lang", "topic", "place").agg(F.sum(F.round("part", 6).cast("decimal(30,6)")).cast("double").alias("sum")).collect():
+                sums.setdefault(r["lang"], {}).setdefault(r["topic"], np.zeros(DIMS))[r["place"]] = r["sum"]
             for name, own in sums.items():
                 centres = self.centres[name].copy()
                 for t, v in own.items():
@@ -115,7 +117,7 @@ def _summed(topics: Topics, langs: list[str]):
     """Of a task: for each language and topic the number and the sum of its vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], list] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             vectors = batch.column("vector").flatten().to_numpy().astype(np.float64).reshape(-1, DIMS)
             lang = np.array([x if x in langs else OTHER_LANGS for x in batch.column("lang").to_pylist()], dtype=object)
@@ -123,11 +125,10 @@ def _summed(topics: Topics, langs: list[str]):
                 own = vectors[lang == name]
                 at = topics.nearest(name, own)
                 for t in np.unique(at):
-                    held = sums.setdefault((name, int(t)), [0, np.zeros(DIMS)])
-                    held[0] += int((at == t).sum())
-                    held[1] += own[at == t].sum(axis=0)
-        rows = [{"lang": k[0], "topic": k[1], "n": v[0], "sums": v[1].tolist()} for k, v in sums.items()]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("topic", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+                    held = sums.setdefault((name, int(t)), np.zeros(DIMS))
+                    held += own[at == t].sum(axis=0)
+        rows = [{"lang": k[0], "topic": k[1], "sums": v.tolist()} for k, v in sums.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("topic", pa.int32()), ("sums", pa.list_(pa.float64()))]))
 
     return run
 
@@ -210,7 +211,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponen
         shares, size = _within_reach(cells, shares, keep)
         most = F.col("tokens") / F.lit(size or 1.0)
     state = cells.withColumn("weight", F.col("tokens") / F.lit(size or 1.0))
-    off = 0.0
+    off, offs_before = 0.0, []
     for _ in range(max_rounds):
         for d in DIMENSIONS:
             cut = F.col("weight") >= most
@@ -223,10 +224,11 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponen
         state = written(state, "raked")
         offs = [state.groupBy(d).agg(F.sum("weight").alias("sum")).join(shares[d], d).agg(F.max(F.when(F.col(f"{d}_share") > 0, F.abs(F.col("sum") / F.col(f"{d}_share") - 1)).otherwise(F.col("sum"))).alias("off")) for d in DIMENSIONS]
         off = offs[0].union(offs[1]).union(offs[2]).agg(F.max("off")).head()[0] or 0.0
-        if off <= tolerance:
+        offs_before.append(off)
+        if off <= tolerance or len(offs_before) > 2 and off > PROGRESS * offs_before[-3]:
             break
-    else:
-        warnings.warn(f"raking is {off:.4f} of a share off a marginal after {max_rounds} rounds; the tolerance is {tolerance}", stacklevel=2)
+    if off > tolerance:
+        warnings.warn(f"raking is {off:.4f} of a share off a marginal after {len(offs_before)} rounds; the tolerance is {tolerance}", stacklevel=2)
     factor = F.col("weight") / F.col("tokens")
     if keep is not None:  # cells that no target lets in have left the state
         out = cells.join(state.select(*DIMENSIONS, "weight"), DIMENSIONS, "left").fillna(0.0, ["weight"])
