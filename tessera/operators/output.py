@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.evaluation import bottom, grade, strata, summary, tag_frequency
 
+#: What codes of judgements are called: fixed values.
 LABELS = {"accurate": "召回准确", "inaccurate": "召回不准确", "correct": "引用正确", "incorrect": "引用错误", "not_applicable": "不适用"}
 
 
@@ -49,10 +50,3 @@ def report(results: DataFrame, statuses: DataFrame) -> str:
     out += [f"| {r.stratum} | {r.n_items} | {r.mean_score} | {r.pass_rate} |" for r in strata(results, statuses).orderBy("stratum").collect()]
     out += ["", "| tag | n |", "| --- | --- |", *(f"| {r.tag} | {r.n} |" for r in tag_frequency(results).orderBy(F.desc("n"), "tag").limit(20).collect())]
     return "\n".join([*out, "", "Lowest: " + ", ".join(str(r.item_id) for r in bottom(results).collect())])
-
-
-def limited_citations(citations: Column, most_bytes: int = 65_535, excerpt: int = 600) -> Column:
-    """Citations as JSON of at most so many bytes: no context, short excerpts, the last ones cut."""
-    short = F.transform(citations, lambda c: c.dropFields("context").withField("source_excerpt", F.substring(c["source_excerpt"], 1, excerpt)))
-    counts = F.transform(F.sequence(F.size(short), F.lit(0), F.lit(-1)), lambda n: F.to_json(F.slice(short, F.lit(1), n)))
-    return F.get(F.filter(counts, lambda x: F.octet_length(x) <= most_bytes), F.lit(0))

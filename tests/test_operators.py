@@ -324,6 +324,10 @@ def test_sources(spark, tmp_path):
     (tmp_path / "g.txt").write_bytes("客户".encode("gbk"))
     texts = {r.path.rsplit("/", 1)[-1]: r.text for r in src.office_texts(spark, str(tmp_path)).collect()}
     assert texts["d.docx"] == "# Title\nBody" and texts["g.txt"] == "客户"
+    with pytest.raises(ValueError, match="line 3: invalid_json"):
+        src.strict_chunks(spark, str(tmp_path))
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    assert [(r.entry, r.code) for r in src.zip_violations(spark, str(tmp_path / "broken.zip")).collect()] == [("", "unreadable")]
     with zipfile.ZipFile(tmp_path / "u.zip", "w") as z:
         z.writestr("ok.txt", "x")
         z.writestr("../evil.txt", "x")
@@ -332,6 +336,45 @@ def test_sources(spark, tmp_path):
     assert [(r.row_index, r.question, r.answer) for r in src.question_table(spark, str(tmp_path / "q.csv")).orderBy("row_index").collect()] == [(1, 'a, "b"', "1"), (2, "c", "")]
 
 
+def test_slides_and_sections(spark, tmp_path):
+    a, p, r = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    words = lambda *lines: "<p:txBody>" + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in lines) + "</p:txBody>"
+    slide = lambda inner: f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{inner}</p:spTree></p:cSld></p:sld>'
+    rels = lambda *x: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="{r}/{k}" Target="{t}"/>' for i, k, t in x) + "</Relationships>"
+    cell = lambda x: f"<a:tc><a:txBody><a:p><a:r><a:t>{x}</a:t></a:r></a:p></a:txBody></a:tc>"
+    folder = tmp_path / "root" / "case" / "one"
+    folder.mkdir(parents=True)
+    with zipfile.ZipFile(folder / "d.pptx", "w") as z:
+        z.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{p}" xmlns:r="{r}"><p:sldIdLst><p:sldId r:id="r2"/><p:sldId r:id="r3"/><p:sldId r:id="r1"/></p:sldIdLst></p:presentation>')
+        z.writestr("ppt/_rels/presentation.xml.rels", rels(("r1", "slide", "slides/slide1.xml"), ("r2", "slide", "slides/slide2.xml"), ("r3", "slide", "/ppt/slides/slide3.xml")))
+        z.writestr("ppt/slides/slide1.xml", slide(f"<p:sp>{words('last', 'line')}</p:sp>"))
+        z.writestr("ppt/slides/slide2.xml", slide(f"<p:sp>{words('first')}</p:sp><p:graphicFrame><a:tbl><a:tr>{cell('x')}{cell('')}{cell('y')}</a:tr><a:tr>{cell('')}</a:tr></a:tbl></p:graphicFrame>"))
+        z.writestr("ppt/slides/slide3.xml", slide("<p:sp/>"))
+        z.writestr("ppt/slides/_rels/slide2.xml.rels", rels(("n", "notesSlide", "../notesSlides/notesSlide1.xml")))
+        z.writestr("ppt/notesSlides/notesSlide1.xml", f'<p:notes xmlns:p="{p}" xmlns:a="{a}"><p:sp><p:nvSpPr><p:nvPr><p:ph type="sldNum"/></p:nvPr></p:nvSpPr>{words("7")}</p:sp><p:sp><p:nvSpPr><p:nvPr><p:ph type="body"/></p:nvPr></p:nvSpPr>{words("say this")}</p:sp></p:notes>')
+        z.writestr("ppt/media/image1.png", b"png")
+    for name, text in (("a.txt", "same"), ("a (1).txt", "same"), ("b(2).txt", "other"), ("c.bin", "x")):
+        (folder / name).write_text(text)
+    (folder.parent / "top.txt").write_text("top")
+    texts = src.office_texts(spark, f"{tmp_path}/root")
+    assert {r.path.rsplit("/", 1)[-1]: r.text for r in texts.collect()}["d.pptx"] == "## 第 1 页\nfirst\nx | y\n### 讲师备注\nsay this\n\n## 第 3 页\nlast\nline"
+    found = {(r.case_name, r.section_name, r.filename) for r in src.case_sections(texts, f"{tmp_path}/root").collect()}
+    assert found == {("case", "one", "d.pptx"), ("case", "one", "a.txt"), ("case", "one", "b(2).txt"), ("case", "case", "top.txt")}
+    assert [(r.image, r.size, r.sha256) for r in src.office_images(spark, f"{tmp_path}/root").collect()] == [("ppt/media/image1.png", 3, hashlib.sha256(b"png").hexdigest())]
+
+
+def test_streams_of_first_rows_and_rates(spark, tmp_path):
+    from tessera.streaming.incremental import event_rates, first_come
+
+    rows = spark.createDataFrame([("a", "x", "2024-01-01 00:01:00", 1), ("a", "x", "2024-01-01 00:02:00", 2), ("b", "y", "2024-01-01 00:11:00", 3)], "key string, kind string, at string, n int").withColumn("at", F.col("at").cast("timestamp"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    for name, out, mode in (("firsts", first_come(stream, "key", "at"), "append"), ("rates", event_rates(stream, "at", "kind"), "update")):
+        out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.key for r in spark.table("firsts").collect()) == ["a", "b"]
+    assert sorted((r.kind, r.n) for r in spark.table("rates").collect()) == [("x", 2), ("y", 1)]
+
+
 def test_text_functions(spark):
     assert value(spark, tx.stripped(F.col("text")), "　 a b \n") == "a b"
     hide = lambda text, secret="": value(spark, tx.redacted(F.col("text"), secret), text)
