@@ -131,8 +131,8 @@ HELD = 1 << 20
 KNOWN = 1 << 20
 
 
-#: Rows that show frequent names; the inverse of a frequent name's share, and so the most there can be; names that one is split into.
-SAMPLED, HEAVY, SPLIT = 4000, 4096, 64
+#: Rows that show frequent names; the inverse of a frequent name's share, and so the most there can be; names that one is split into; partitions of windows for each of an other shuffle.
+SAMPLED, HEAVY, SPLIT, SPREAD = 4000, 4096, 64, 4
 
 
 class Known:
@@ -310,8 +310,10 @@ def _counted(width: int, rounds: int):
 
 
 def frequent_names(texts: DataFrame, width: int, rounds: int) -> np.ndarray:
-    """The names, in order, that more than 1 / HEAVY of the windows of SAMPLED rows pick."""
-    counts = texts.limit(SAMPLED).mapInArrow(_counted(width, rounds), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    """The names, in order, that more than 1 / HEAVY of the windows of SAMPLED rows pick, about."""
+    # a sample, and not a limit, for which each task would shuffle so many rows
+    some = texts.sample(min(1.0, SAMPLED / max(texts.count(), 1)), seed=1)
+    counts = some.mapInArrow(_counted(width, rounds), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
     shares = counts.withColumn("all", F.sum("n").over(Window.partitionBy()))
     return np.sort(np.array([r[0] for r in shares.where(f"n * {HEAVY} > all").select("name").collect()], np.int64).view(np.uint64))
 
@@ -327,7 +329,9 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS,
     texts = _texts(docs, id_col, text_col)
     heavy = frequent_names(texts, width, rounds)
     rows = texts.mapInArrow(_revealed(width, rounds, heavy), "name long, doc_id long, row long, start int, n int, windows binary")
-    rows = rows.repartition("name").sortWithinPartitions("name", "doc_id").mapInArrow(_judged(HELD), "name long, doc_id long, row long, start int, n int, window long")
+    # the windows are some times the input, so their partitions are more than those of other shuffles
+    parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_judged(HELD), "name long, doc_id long, row long, start int, n int, window long")
     rows = written(rows, "judged")
     over = rows.where("name is not null")
     least = over.groupBy("name", "window").agg(F.min("doc_id").alias("least"))
