@@ -17,9 +17,9 @@ The draw is a hash of id and text: the same for equal rows, in every run, at eve
 Without targets a marginal's shares are tempered, ``share ** exponent`` and
 rescaled, which lessens a dominant source. A value that a given
 target doesn't list has share 0; listed values that no document has are left out and
-the others rescaled. Cells are a table that Spark joins to itself in each round, written to
-the shared folder. Documents meet it in a broadcast join if it has MAX_CELLS
-rows at most, else in a plain one.
+the others rescaled. Cells are counts of values and not of documents: up to MAX_CELLS of them, which is
+checked, are raked as arrays and broadcast to the documents; more are a table that Spark joins to itself in
+each round, written to the shared folder, and documents meet it in a plain join. Both give the same.
 
 Topics are given in a column, or learned (``Topics``). Null sources, languages and topics
 count as a value of their own (``?``); a null, empty or blank text has no tokens and the topic
@@ -32,6 +32,7 @@ import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,10 +202,70 @@ def _within_reach(cells: DataFrame, shares: dict[str, DataFrame], keep: float) -
     return out, size
 
 
+def _raked_here(cells: pd.DataFrame, targets: dict[str, dict[str, float]], exponents: dict[str, float], tolerance: float, max_rounds: int, keep: float | None) -> tuple[pd.DataFrame, list[str]]:
+    """raked() of a few cells, and what there is to warn of."""
+    tokens, told = cells["tokens"].to_numpy(np.float64), []
+    codes, wanted = {}, {}
+    for d in DIMENSIONS:
+        codes[d], values = pd.factorize(cells[d])
+        has = np.bincount(codes[d], tokens, len(values))
+        share = np.array([targets[d].get(v, 0.0) for v in values]) if d in targets else (has / tokens.sum()) ** exponents[d]
+        wanted[d] = share / share.sum() if share.sum() > 0 else share
+    size, most = 1.0, np.full(len(tokens), np.inf)
+    if keep is not None:
+        able = np.all([wanted[d][codes[d]] > 0 for d in DIMENSIONS], axis=0)
+        size = keep * tokens[able].sum() or 1.0
+        for d in DIMENSIONS:
+            has = np.bincount(codes[d], tokens * able, len(wanted[d]))
+            factor, full = 0.0, -1
+            while True:
+                gives_all = (wanted[d] * factor >= has) & (has > 0)
+                rest = wanted[d][(has > 0) & ~gives_all].sum()
+                if gives_all.sum() == full or rest <= 0:
+                    break
+                full, factor = gives_all.sum(), (size - has[gives_all].sum()) / rest
+            if full > 0:
+                told.append(f"{full} values of {d} have fewer tokens than their share of the sample and give all they have")
+            wanted[d] = np.minimum(has, wanted[d] * factor) / size
+        most = tokens / size
+    weight, offs = tokens / size, []
+    for _ in range(max_rounds):
+        for d in DIMENSIONS:
+            cut = np.where(weight >= most, weight, 0.0)
+            total, fixed = (np.bincount(codes[d], w, len(wanted[d])) for w in (weight, cut))
+            share, free = wanted[d], total - fixed
+            more = (share > total) & (free > 0)
+            factor = np.where(more, (share - fixed) / np.where(free > 0, free, 1.0), np.where(total > 0, share / np.where(total > 0, total, 1.0), 0.0))
+            weight = np.minimum(weight * factor[codes[d]], most)
+        off = 0.0
+        for d in DIMENSIONS:
+            total = np.bincount(codes[d], weight, len(wanted[d]))
+            off = max(off, *np.where(wanted[d] > 0, np.abs(total / np.where(wanted[d] > 0, wanted[d], 1.0) - 1), total), 0.0)
+        offs.append(off)
+        if off <= tolerance or len(offs) > 2 and off > PROGRESS * offs[-3]:
+            break
+    if offs and offs[-1] > tolerance:
+        told.append(_off(offs, tolerance))
+    factor = weight / tokens
+    probability = np.minimum(factor * size, 1.0) if keep is not None else factor / factor.max() if len(factor) and factor.max() > 0 else factor * 0.0
+    return cells.assign(weight=weight, probability=probability), told
+
+
+def _off(offs: list[float], tolerance: float) -> str:
+    return f"raking is {offs[-1]:.4f} of a share off a marginal after {len(offs)} rounds; the tolerance is {tolerance}"
+
+
 def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponents: dict[str, float] = EXPONENTS, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS, keep: float | None = None) -> DataFrame:
     """cells with the probability of their documents. targets: for a dimension, (value,
     share). keep: the sample's share of the tokens; without it the largest factor is 1."""
-    cells = written(cells.where("tokens > 0"), "cells")
+    cells = written(cells.where("tokens > 0").select(*DIMENSIONS, "tokens"), "cells")
+    if cells.count() <= MAX_CELLS:
+        # of the targets only what the cells have
+        given = {d: {r["value"]: r["share"] for r in t.select("value", F.col("share").cast("double")).join(cells.select(F.col(d).alias("value")).distinct(), "value", "left_semi").collect()} for d, t in (targets or {}).items()}
+        out, told = _raked_here(cells.orderBy(*DIMENSIONS).toPandas(), given, exponents, tolerance, max_rounds, keep)
+        for message in told:
+            warnings.warn(message, stacklevel=2)
+        return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, tokens long, weight double, probability double")
     shares, size = _shares(cells, targets, exponents), None
     most = F.lit(float("inf"))
     if keep is not None:
@@ -228,7 +289,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, exponen
         if off <= tolerance or len(offs_before) > 2 and off > PROGRESS * offs_before[-3]:
             break
     if off > tolerance:
-        warnings.warn(f"raking is {off:.4f} of a share off a marginal after {len(offs_before)} rounds; the tolerance is {tolerance}", stacklevel=2)
+        warnings.warn(_off(offs_before, tolerance), stacklevel=2)
     factor = F.col("weight") / F.col("tokens")
     if keep is not None:  # cells that no target lets in have left the state
         out = cells.join(state.select(*DIMENSIONS, "weight"), DIMENSIONS, "left").fillna(0.0, ["weight"])

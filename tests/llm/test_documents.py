@@ -314,6 +314,22 @@ def test_clashing_names_and_given_topics(spark):
     assert {r.topic__ for r in mixing.sampled(docs, topic_col="topic").collect()} == {"k0", "k1", "?"}
 
 
+def test_few_cells_are_raked_as_many_are(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    rows = [(f"s{i}", lang, f"t{t}", int(rng.integers(1, 3000) if i else 40_000)) for i in range(7) for lang in ("en", "de") for t in range(2) if rng.random() < 0.9]
+    cells = spark.createDataFrame([*rows, ("s1", "xx", "t0", 5)], "source string, lang string, topic string, tokens long")
+    targets = {"lang": spark.createDataFrame([("en", 0.4), ("de", 0.6), ("absent", 1.0)], "value string, share double")}
+    for keep in (0.6, None):
+        few = {r[:3]: r for r in mixing.raked(cells, targets, keep=keep).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MAX_CELLS", 0)
+            many = {r[:3]: r for r in mixing.raked(cells, targets, keep=keep).collect()}
+        for k, r in many.items():
+            assert few[k].probability == pytest.approx(r.probability, rel=1e-6, abs=1e-12) and few[k].weight == pytest.approx(r.weight, rel=1e-6, abs=1e-12)
+        assert set(many) <= set(few) and all(few[k].probability == 0 for k in set(few) - set(many))
+    assert mixing.raked(cells.limit(0), targets, keep=0.5).count() == 0
+
+
 def test_topics_divide_each_language(spark):
     rng = np.random.default_rng(7)
     kinds = [[f"{lang}{t}{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)] for lang in "ed" for t in range(3)]
