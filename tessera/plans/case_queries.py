@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions.text import latin_tokens
-from tessera.operators import answer, cases, classify, contracts, evaluation, operations, records, retrieval, tagging
+from tessera.operators import answer, cases, classify, contracts, evaluation, records, retrieval, tagging
 from tessera.plans.normalisation import judged, report
 from tessera.plans.search_queries import _count, BM25, DOMAINS, FUSED, LABELS, NEAR, TIES, chunks, question_vectors, questions, table, vectors
 from tessera.plans.storage import shared_dir

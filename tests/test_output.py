@@ -1,7 +1,6 @@
 """Resolution of references, evaluation data and outputs on inline tables."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import locate, output
 from tessera.sources import evaluation
