@@ -97,3 +97,18 @@ def test_a_broken_run_goes_on_and_names_may_clash(spark, tmp_path, monkeypatch):
 def test_pipeline_of_no_rows(spark, tmp_path):
     table(spark, f"file://{tmp_path}", [])
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_tables_can_be_cleared(spark):
+    from tessera.llm import shared
+
+    before = list(shared._made)
+    shared._made.clear()
+    table = shared.written(spark.range(5).toDF("n"), "clear-test")
+    assert table.count() == 5 and len(shared._made) == 1
+    path = shared._made[0]
+    shared.clear(spark)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not shared._made and not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    shared._made.extend(before)
+    assert shared.fresh(spark.range(1).toDF("Row_"), "row_") == "row__"
