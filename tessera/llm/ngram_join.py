@@ -27,8 +27,9 @@ or partners.
 Null, empty and blank texts have the empty set and no links. A text with fewer
 words than ``width`` has one feature, the whole sequence. Equal rows share a
 component. A null id keeps its row and joins only equal sets. Rows with one id are one document: what is
-linked with one of their texts is linked with all. Inside, a class of equal sets goes by a row number
-that is stored with its sets, so its texts are its own whatever the ids.
+linked with one of their texts is linked with all. Inside, a class of equal sets goes by its smallest id, so that
+buckets have the first document for their centre, which its copies are likelier near to than to each other; where an id
+is the smallest of several classes, all but one go by numbers below all ids, so its texts are its own whatever the ids.
 """
 
 from __future__ import annotations
@@ -218,9 +219,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     key = ["d1", "d2", "n_shingles"]
     # a class has the number of one of its rows, and its smallest id; written first, so that this
     # join has a shuffle of its own and Spark can split a large class in it
-    classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))).alias("rep"), F.min("doc_id").alias("least"))
-    classes = written(classes, "classes")
-    placed = written(rows.join(classes, key, "left").select("row", "doc_id", "hash", "n_shingles", "rep", "least"), "placed")
+    classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))).alias("first"), F.min("doc_id").alias("least"))
+    lowest = rows.agg(F.min("doc_id")).head()[0] or 0
+    named = classes.where("least is not null")
+    named = named.join(named.groupBy("least").agg(F.min("first").alias("own")), "least").withColumn("rep", F.when(F.col("first") == F.col("own"), F.col("least")).otherwise(F.lit(lowest) - 1 - F.col("first")))
+    classes = written(named.drop("own").unionByName(classes.where("least is null"), allowMissingColumns=True), "classes")
+    placed = written(rows.join(classes, key, "left").select("row", "doc_id", "hash", "n_shingles", "rep", "least", (F.col("row") == F.col("first")).alias("is_first")), "placed")
     rep_of = placed.where("doc_id is not null and rep is not null").select("row", "rep", "n_shingles")
 
     stars = sets.select(F.explode("signs").alias("sign"), "row").repartition("sign").sortWithinPartitions("sign", "row").mapInArrow(_stars, "sign long, c long, m long")
@@ -239,7 +243,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     pairs = pairs.join(sizes.select(F.col("rep").alias("c"), F.col("n_shingles").alias("c_n")), "c")
     pairs = written(pairs.where(100 * F.least("c_n", "m_n") >= percent * F.greatest("c_n", "m_n")).select("c", "m", "shared"), "pairs")
 
-    needed = placed.where("row = rep").join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "hash")
+    needed = placed.where("is_first").join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "hash")
     kept = written(texts.join(needed, ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).select("rep", "text"), "texts")
 
     def links(todo: DataFrame) -> DataFrame:
