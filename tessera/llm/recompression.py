@@ -132,7 +132,7 @@ KNOWN = 1 << 20
 
 
 #: Rows that show frequent names; the inverse of a frequent name's share, and so the most there can be; names that one is split into; partitions of windows for each of an other shuffle.
-SAMPLED, HEAVY, SPLIT, SPREAD = 4000, 4096, 64, 4
+SAMPLED, HEAVY, SPLIT, SPREAD = 4000, 4096, 64, 3
 
 
 class Known:
@@ -333,6 +333,8 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS,
     parts = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_judged(HELD), "name long, doc_id long, row long, start int, n int, window long")
     rows = written(rows, "judged")
+    # the windows' shuffle has no reader any more: its files go when the driver collects what nothing refers to
+    docs.sparkSession.sparkContext._jvm.System.gc()
     over = rows.where("name is not null")
     least = over.groupBy("name", "window").agg(F.min("doc_id").alias("least"))
     late = over.where("start >= 0").join(least, ["name", "window"]).where("least < doc_id")
