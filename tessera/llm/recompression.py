@@ -8,9 +8,8 @@ pair is named depends on nearby symbols only; each symbol carries the words that
 settled it. So a symbol whose settling words lie inside a window comes out the
 same wherever this window occurs: equal windows hold the same such symbols.
 
-Each window picks the one that spells the most bytes (the least name among equals; a lower
-round's, at last a word, where none is settled): not the most words, as a pair of the
-commonest words would be the name of one window in a few hundred, and its reducer's share of the corpus with it. Documents are sent to that
+Each window picks the longest of them (the least name among equals; a lower
+round's, at last a word, where none is settled). Documents are sent to that
 name, one row for each stretch of windows with the same pick, with digests of
 the windows. Names that documents share reveal the repeats; the windows' digests
 verify them (name and digest together are 112 bits: among 10**13 windows about one pair in 10**7 such
@@ -132,7 +131,7 @@ KNOWN = 1 << 20
 
 
 #: Rows that show frequent names; the inverse of a frequent name's share, and so the most there can be; names that one is split into; partitions of windows for each of an other shuffle.
-SAMPLED, HEAVY, SPLIT, SPREAD = 4000, 4096, 64, 3
+SAMPLED, HEAVY, SPLIT, SPREAD = 4000, 4096, 64, 1
 
 
 class Known:
@@ -171,7 +170,7 @@ def _revealed(width: int, rounds: int, heavy: np.ndarray):
                 digests = s.digests()
                 if len(digests) < width:
                     continue
-                at, name = picks(digests, s.words, width, rounds, s.ends - s.starts)
+                at, name = picks(digests, s.words, width, rounds)
                 row = np.searchsorted(s.words, at, "right") - 1
                 ok = known[s.first + row]
                 at, name, row = at[ok], name[ok], row[ok]
@@ -303,7 +302,7 @@ def _counted(width: int, rounds: int):
             for s in slices(batch.column(1)):
                 digests = s.digests()
                 if len(digests) >= width:
-                    names, n = np.unique(picks(digests, s.words, width, rounds, s.ends - s.starts)[1], return_counts=True)
+                    names, n = np.unique(picks(digests, s.words, width, rounds)[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], names=["name", "n"])
 
     return run
