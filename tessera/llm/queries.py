@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.alignment import op11_cross_tokenizer_alignment
 from tessera.llm.audio import op6_media_columns
+from tessera.llm.impact_index import OP13_SQL, op13_exact_top_k
 from tessera.llm.mixing import op7_source_mixing
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
 from tessera.llm.packing import op5_best_fit_packing
@@ -10,6 +12,7 @@ from tessera.llm.page_text import op1_html_extraction
 from tessera.llm.pii import op8_pii
 from tessera.llm.quality_rules import op10_quality_rules
 from tessera.llm.recompression import op4_substring_dedup
+from tessera.llm.spelling import op12_spelling_variants
 from tessera.llm.token_counts import op3_token_counts
 from tessera.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -26,8 +29,11 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_url_filter": op9_url_filter,
         "op10_quality_rules": op10_quality_rules,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_exact_top_k": op13_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op9_url_filter": OP9_SQL, "op13_exact_top_k": OP13_SQL}
