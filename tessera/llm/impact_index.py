@@ -190,8 +190,8 @@ def op13_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 OP13_SQL = """
 WITH v AS (
-  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.n, q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.n <> v.n WHERE q.vec_id % 50 = 0
 ), ranked AS (
