@@ -226,7 +226,9 @@ def _path_end(text: str, at: int, limit: int, joints: str, stops: str) -> tuple[
 def _paths(text: str) -> list[tuple[int, int, str]]:
     """Absolute paths: of shares (two backslashes, host, joint), of drives (letter, colon, joint) and of roots."""
     spans = []
-    for m in re.finditer(r"\S*[/\\]\S*", text):
+    for m in re.finditer(r"\S+", text):
+        if "/" not in m[0] and "\\" not in m[0]:
+            continue
         at, limit, last = m.start(), m.end(), m.start()
         read = {"drive": 0, "root": 0}  # no path of this kind begins before
         while at < limit:

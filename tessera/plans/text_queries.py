@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import redaction
 from tessera.functions import text as tx
 from tessera.functions.text import latin_tokens
 from tessera.operators import answer, chunking, evaluation, locate, normalize, operations, output, retrieval
@@ -313,7 +314,7 @@ SECRET = "token"
 def pii_redaction(spark, sf_dir):
     """All rules, with a word as the secret, over the texts with an identity number and phone numbers behind each."""
     tail = F.concat(F.lit(" 11010519491231002x 1"), F.lpad((F.col("doc_id") % 7 + 3).cast("string"), 1, "0"), F.lit("8 0013-8000, +86 13912345678 tel 139123456789"))
-    out = tx.redacted(F.concat("text", tail), SECRET)
+    out = redaction.redacted(F.concat("text", tail), SECRET)
     return docs(spark, sf_dir).select("doc_id", F.md5(out).alias("digest"), F.length(out).alias("n_chars"))
 
 
@@ -336,7 +337,7 @@ def csv_backfill(spark, sf_dir):
 def safe_messages(spark, sf_dir):
     """Documents as messages, with a path, a secret and, every ninth, a stack behind them."""
     tail = F.when(F.col("doc_id") % 9 == 0, F.lit("\n  at x.y(z.py)")).otherwise(F.lit(" api_key: 'a b', see /var/log/app.log and C:\\tmp\\x.txt, Bearer abc.def; http://host/path"))
-    out = tx.safe_message(F.concat(F.left("text", F.lit(1500)), tail))
+    out = redaction.safe_message(F.concat("text", tail))
     return docs(spark, sf_dir).select("doc_id", F.md5(out).alias("digest"), F.length(out).alias("n_chars"))
 
 
@@ -437,7 +438,7 @@ c AS (SELECT doc_id, regexp_replace(t, '(^|[^0-9])[0-9]{{17}}[0-9Xx]($|[^0-9])',
     "preview_text": (preview_text, r"""WITH r AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END AS preview FROM r"""),
     "bounded_text": (bounded_text, "SELECT doc_id, CASE WHEN length(text) > 205 THEN left(text, 100) || chr(10) || '...' || chr(10) || right(text, 100) ELSE text END AS bounded FROM documents"),
     "csv_backfill": (csv_backfill, "SELECT u.conv_id || '/' || u.turn AS row_index, md5(u.text) AS question, CASE WHEN a.conv_id % 3 <> 0 THEN md5(a.text) ELSE 'old' END AS answer FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'"),
-    "safe_messages": (safe_messages, r"""WITH m AS (SELECT doc_id, left(text, 1500) || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '  at x.y(z.py)' ELSE ' api_key: ''a b'', see /var/log/app.log and C:\tmp\x.txt, Bearer abc.def; http://host/path' END AS m FROM documents),
+    "safe_messages": (safe_messages, r"""WITH m AS (SELECT doc_id, text || CASE WHEN doc_id % 9 = 0 THEN chr(10) || '  at x.y(z.py)' ELSE ' api_key: ''a b'', see /var/log/app.log and C:\tmp\x.txt, Bearer abc.def; http://host/path' END AS m FROM documents),
 a AS (SELECT doc_id, m, regexp_replace(m, '(?i)(^|[^A-Za-z0-9_])["'']?((?:[A-Za-z0-9.]+[_-])*(?:api[_-]key|token|secret|password)|Bearer)["'']?\s*[:=]\s*(?:"[^"]*"|''[^'']*''|[^\s,;，；。]+)', '\1\2=[已隐藏敏感信息]', 'g') AS t FROM m),
 b AS (SELECT doc_id, m, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\bBearer\s+[^\s,;，；。]+', 'Bearer [已隐藏敏感信息]', 'g'), '(^|[^A-Za-z0-9_])[A-Za-z]:[\\/](?:[^\\/\s]+[\\/])*[^\\/\s,;)\]}]+', '\1[已隐藏路径]', 'g'), '(^|[^:/])/(?:[^/\s]+/)*[^/\s,;)\]}]+', '\1[已隐藏路径]', 'g') AS t FROM a)
 SELECT doc_id, md5(t) AS digest, length(t) AS n_chars FROM (SELECT doc_id, CASE WHEN regexp_matches(m, '(?i)\b(traceback|stack\s*trace|exception\s*chain)\b|(^|\n)\s*at\s+\S+\([^)]*\)') THEN '内部处理信息已隐藏' ELSE left(t, 2000) END AS t FROM b)"""),
