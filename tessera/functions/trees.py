@@ -44,7 +44,10 @@ TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++'
 
 def canonical(c: Column) -> Column:
     """JSON with keys in order at every depth and no white space, numbers in one form; null for what isn't JSON, or has a key twice."""
-    return F.to_json(F.try_parse_json(c))
+    # the parser stops behind the first value; a value with something behind it can't stand both in an array and in an object
+    in_array, in_object = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}")))
+    out = F.to_json(in_array)
+    return F.when(in_object.isNotNull(), F.substr(out, F.lit(2), F.length(out) - 2))
 
 
 def _tokens(c: Column) -> Column:

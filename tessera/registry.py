@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import case_queries, search_queries, text_queries
+from tessera.plans import answer_queries, case_queries, search_queries, text_queries
 
-ALL = search_queries.QUERIES | text_queries.QUERIES | case_queries.QUERIES
+ALL = search_queries.QUERIES | text_queries.QUERIES | case_queries.QUERIES | answer_queries.QUERIES
 
 
 def queries() -> dict:
