@@ -124,6 +124,8 @@ STATES = [*product(range(3), repeat=3)]
 NEXT = [[STATES.index(_step(s, same)) for same in product((False, True), repeat=3)] for s in STATES]
 START, DEAD = STATES.index((2, 0, 1)), STATES.index((2, 2, 2))
 LOOSE = [NEXT[s][0] != DEAD for s in range(len(STATES))]
+#: The places of the word (before, at, after) whose letters alone lead on from a state.
+LIVE = [[i for i in range(3) if NEXT[s][4 >> i] != DEAD] for s in range(len(STATES))]
 #: A word's rest is one edit away if it is as many letters longer than where the state is, -1, 0 or 1.
 ACCEPTS = [[s[1 + rest] == 1 for rest in (0, 1, -1)] for s in STATES]
 
@@ -148,7 +150,9 @@ def near_words(trie: Trie, word: bytes) -> Iterator[tuple[bytes, int]]:
         if LOOSE[state]:
             children = range(low, high)
         else:
-            children = [c for c in (letters.find(x, low, high) for x in {before, at, after}) if c >= 0]
+            live = LIVE[state]
+            tried = padded[depth + live[0] : depth + live[0] + 1] if len(live) == 1 else {padded[depth + i] for i in live}
+            children = [c for c in (letters.find(x, low, high) for x in tried) if c >= 0]
         for child in children:
             c = letters[child]
             after_it = NEXT[state][4 * (c == before) + 2 * (c == at) + (c == after)]
