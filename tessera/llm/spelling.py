@@ -2,9 +2,11 @@
 
 Words are counted in each task, counts are summed by word. Words sorted by the cluster become shards of up to SHARD_WORDS words and
 SHARD_LETTERS letters; a task makes each a compact trie: a letter and a 32-bit number of its first child a node, nodes by depth, so that a
-node's children are neighbours. Shards are broadcast one by one, each bounded by these two figures, and every word's
+node's children are neighbours. There are shards of the words and shards of the words read backwards. Shards are broadcast one by one, each bounded by these two figures, and every word's
 Levenshtein automaton of distance one goes through every shard depth-first: its state is the middle of a row of the edit distance's
-matrix, of which there are a few, so a node of a trie is visited once at most. What a task finds for a word in a shard
+matrix, of which there are a few, so a node of a trie is visited once at most. A near word that shares a word's first half is
+found in a shard of words, where the automaton allows its edit behind that half only; one that doesn't shares the second half and is found in a backward shard, likewise. So each is
+found once, and a word leaves most shards after a few letters instead of trying all that they begin with. What a task finds for a word in a shard
 is one row, its number of near words and the best of them; these rows are summed by word. Roots come by doubling: forms grow in number at
 each step, so a chain has no circle and few steps.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import product
@@ -32,40 +34,39 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import written
 
-#: Words are runs of these bytes of UTF-8 in lower case: ASCII letters and U+00C0..U+00FF.
-RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+#: The letters of words, ASCII in lower case.
+LETTERS = "[a-z\u00c0-\u00ff]"
 MIN_LETTERS, MIN_COUNT, RATIO, SLIPS = 6, 5, 5, 199
 HELD, SHARD_WORDS, SHARD_LETTERS, TASK_WORDS = 1 << 19, 1 << 18, 1 << 22, 2000
 TRIE, NEAR = "shard long, letters binary, firsts binary, counts binary", "word string, n_near long, form_n long, form string"
 
 
-def slipped(word: bytes, start: int, every: int = SLIPS) -> bytes:
+def slipped(word: str, start: int, every: int = SLIPS) -> str:
     """word, or without one of its letters where its checksum after start is divisible by every."""
-    h = zlib.crc32(word, start)
-    if h % every:
-        return word
-    letters = word.decode()
-    return (letters[: h % len(letters)] + letters[h % len(letters) + 1 :]).encode()
+    h = zlib.crc32(word.encode(), start)
+    return word if h % every else word[: h % len(word)] + word[h % len(word) + 1 :]
 
 
 def _counted(least: int, slip: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: defaultdict[str, int] = defaultdict(int)
+        # a run of too few letters is too short with or without one of them, and a longer one matches whole
+        runs = re.compile(f"{LETTERS}{{{least},}}").findall
 
         def passed() -> Iterator[pa.RecordBatch]:
             words, n = list(held), list(held.values())
             for i in range(0, len(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 16)], pa.binary()).cast(pa.string()), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 start = zlib.crc32(f"{'' if i is None else i}:".encode())
-                own = Counter(RUN.findall(text.as_buffer().to_pybytes().lower())) if text.is_valid else {}
+                # bytes.lower() changes A-Z only
+                own = Counter(runs(text.as_buffer().to_pybytes().lower().decode())) if text.is_valid else {}
                 for word, n in own.items():
+                    word = slipped(word, start, slip) if slip else word
                     if len(word) >= least:
-                        word = slipped(word, start, slip) if slip else word
-                        if len(word) - word.count(b"\xc3") >= least:
-                            held[word] += n
+                        held[word] += n
                 if len(held) >= HELD:
                     yield from passed()
                     held.clear()
@@ -130,11 +131,16 @@ LIVE = [[i for i in range(3) if NEXT[s][4 >> i] != DEAD] for s in range(len(STAT
 ACCEPTS = [[s[1 + rest] == 1 for rest in (0, 1, -1)] for s in STATES]
 
 
-def near_words(trie: Trie, word: bytes) -> Iterator[tuple[bytes, int]]:
-    """The words of a trie that are exactly one edit from word, each with its count."""
+def near_words(trie: Trie, word: bytes, held: int = 0) -> Iterator[tuple[bytes, int]]:
+    """The words of a trie that are exactly one edit from word and share its first held letters, each with its count."""
     letters, firsts, counts, size = trie.letters, trie.firsts, trie.counts, len(word)
     padded = b"\0" + word + b"\0\0"  # the place before, at and after depth d is padded[d : d + 3]
-    todo = [(0, 0, START, None)] if counts else []
+    node = 0 if counts else -1
+    for i in range(held):
+        if node < 0:
+            break
+        node = letters.find(word[i], firsts[node], firsts[node + 1])
+    todo = [(node, held, START, None)] if node >= 0 else []
     while todo:
         node, depth, state, path = todo.pop()
         if counts[node] and size - depth <= 1 and ACCEPTS[state][size - depth]:
@@ -142,7 +148,7 @@ def near_words(trie: Trie, word: bytes) -> Iterator[tuple[bytes, int]]:
             while back:
                 back, letter = back
                 near.append(letter)
-            yield bytes(reversed(near)), counts[node]
+            yield word[:held] + near[::-1], counts[node]
         if depth > size:
             continue
         low, high = firsts[node], firsts[node + 1]
@@ -183,14 +189,23 @@ def _tries(shard_words: int):
     return run
 
 
-def _searched(shard) -> Callable:
+def near_here(trie: Trie, word: bytes, backward: bool) -> list[tuple[bytes, int]]:
+    """The near words of word that share its first half, or, where trie has words backwards, the others."""
+    half = len(word) // 2
+    if not backward:
+        return list(near_words(trie, word, half))
+    found = ((near[::-1], n) for near, n in near_words(trie, word[::-1], len(word) - half))
+    return [(near, n) for near, n in found if not near.startswith(word[:half])]
+
+
+def _searched(shard, backward: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, firsts, counts = shard.value
         trie = Trie(letters, array("i", firsts), array("q", counts))
         for batch in batches:
             rows = []
             for word in batch.column("word").to_pylist():
-                found = [(-n, near) for near, n in near_words(trie, word.encode("latin-1"))]
+                found = [(-n, near) for near, n in near_here(trie, word.encode("latin-1"), backward)]
                 if found:
                     n, form = min(found)
                     rows.append((word, len(found), -n, form.decode("latin-1")))
@@ -203,15 +218,17 @@ def _searched(shard) -> Callable:
 def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(word, n_near, form_n, form) of the words of (word, n) that have a near word: how many, and the most frequent of them."""
     spark, n = words.sparkSession, words.count()
-    shards = words.repartitionByRange(max(1, -(-n // shard_words)), "word").sortWithinPartitions("word")
-    tries = written(shards.mapInArrow(_tries(shard_words), TRIE), "tries", "zstd")
+    ranges = max(1, -(-n // shard_words))
     # words next to each other take alike ways; dealt out evenly, as many a task as are worth one
     queries = written(words.select("word").repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_WORDS))), "queries")
     parts = []
-    for t in tries.drop("shard").toLocalIterator():
-        shard = spark.sparkContext.broadcast((bytes(t.letters), bytes(t.firsts), bytes(t.counts)))
-        parts.append(written(queries.mapInArrow(_searched(shard), NEAR), "near"))
-        shard.destroy()
+    for backward in (False, True):
+        key = F.reverse("word") if backward else F.col("word")
+        shards = words.select(key.alias("word"), "n").repartitionByRange(ranges, "word").sortWithinPartitions("word")
+        for t in written(shards.mapInArrow(_tries(shard_words), TRIE), "tries", "zstd").drop("shard").toLocalIterator():
+            shard = spark.sparkContext.broadcast((bytes(t.letters), bytes(t.firsts), bytes(t.counts)))
+            parts.append(written(queries.mapInArrow(_searched(shard, backward), NEAR), "near"))
+            shard.destroy()
     found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], NEAR)
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form"))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", (-F.col("best.less")).alias("form_n"), "best.form")
