@@ -1,6 +1,6 @@
 """Spelling variants of a corpus's words: those one edit away, and the frequent form that a rare one stands for.
 
-Words are counted in each task, counts are summed by word. Words sorted by the cluster become shards of up to SHARD_WORDS words and
+Words are counted in each task, counts are summed by word. Words are dealt by their first letters (BEGINNING) and sorted by the cluster, and become shards of up to SHARD_WORDS words and
 SHARD_LETTERS letters; a task makes each a compact trie: a letter and a 32-bit number of its first child a node, nodes by depth, so that a
 node's children are neighbours. There are shards of the words and shards of the words read backwards. Shards are broadcast one by one, each bounded by these two figures, and every word's
 Levenshtein automaton of distance one goes through every shard depth-first: its state is the middle of a row of the edit distance's
@@ -37,7 +37,7 @@ from tessera.llm.shared import written
 #: The letters of words, ASCII in lower case.
 LETTERS = "[a-z\u00c0-\u00ff]"
 MIN_LETTERS, MIN_COUNT, RATIO, SLIPS = 6, 5, 5, 199
-HELD, SHARD_WORDS, SHARD_LETTERS, TASK_WORDS = 1 << 19, 1 << 18, 1 << 22, 2000
+HELD, SHARD_WORDS, SHARD_LETTERS, BEGINNING, TASK_WORDS = 1 << 19, 1 << 17, 1 << 22, 3, 2000
 TRIE, NEAR = "shard long, letters binary, firsts binary, counts binary", "word string, n_near long, form_n long, form string"
 
 
@@ -168,18 +168,19 @@ def near_words(trie: Trie, word: bytes, held: int = 0) -> Iterator[tuple[bytes,
 
 def _tries(shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, size = [], [], 0
+        words, n, size, last = [], [], 0, None
 
         def made() -> pa.RecordBatch:
             t = Trie.of(words, n)
             return pa.RecordBatch.from_pylist([{"shard": len(words), "letters": t.letters, "firsts": t.firsts.tobytes(), "counts": t.counts.tobytes()}])
 
         for batch in batches:
-            for word, k in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for word, k, shard in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "shard")), strict=True):
                 word = word.encode("latin-1")
-                if words and (len(words) >= shard_words or size + len(word) > SHARD_LETTERS):
+                if words and (shard != last or len(words) >= shard_words or size + len(word) > SHARD_LETTERS):
                     yield made()
                     words, n, size = [], [], 0
+                last = shard
                 words.append(word)
                 n.append(k)
                 size += len(word)
@@ -218,13 +219,14 @@ def _searched(shard, backward: bool) -> Callable:
 def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(word, n_near, form_n, form) of the words of (word, n) that have a near word: how many, and the most frequent of them."""
     spark, n = words.sparkSession, words.count()
-    ranges = max(1, -(-n // shard_words))
+    dealt = max(1, -(-n // shard_words))
     # words next to each other take alike ways; dealt out evenly, as many a task as are worth one
     queries = written(words.select("word").repartition(max(spark.sparkContext.defaultParallelism, -(-n // TASK_WORDS))), "queries")
     parts = []
     for backward in (False, True):
         key = F.reverse("word") if backward else F.col("word")
-        shards = words.select(key.alias("word"), "n").repartitionByRange(ranges, "word").sortWithinPartitions("word")
+        shard = F.pmod(F.xxhash64(F.left(key, F.lit(BEGINNING))), F.lit(dealt)).alias("shard")
+        shards = words.select(key.alias("word"), "n", shard).repartition(dealt, "shard").sortWithinPartitions("shard", "word")
         for t in written(shards.mapInArrow(_tries(shard_words), TRIE), "tries", "zstd").drop("shard").toLocalIterator():
             shard = spark.sparkContext.broadcast((bytes(t.letters), bytes(t.firsts), bytes(t.counts)))
             parts.append(written(queries.mapInArrow(_searched(shard, backward), NEAR), "near"))
