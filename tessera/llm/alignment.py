@@ -72,7 +72,8 @@ def encoder_b(file: bytes):
 
 def links(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """The packed pair of ids of each link, in the text's order; end_: where tokens end."""
-    ends = np.union1d(end_a, end_b)
+    ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # two runs in order
+    ends = ends[np.diff(ends, prepend=-1) > 0]
     return a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
 
 
