@@ -96,12 +96,15 @@ def url_verdicts(pages: DataFrame, entries: DataFrame, default: str = "allow", i
     ENTRIES; rule is the winning entry where it is flagged as one."""
     entries = entries.dropna(subset=["host", "path", "verdict"])
     lengths = sorted(r[0] for r in entries.select(F.length("path").alias("n")).distinct().collect())
+    depths = sorted(r[0] for r in entries.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect())
     host, path = canonical(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rows = rows.fillna("", ["host", "path"])
     urls = rows.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # only ends of as many labels as some entry has, so a host of very many labels makes no more keys
+    deep = F.filter(F.from_json(F.lit(json.dumps(depths)), "array<int>"), lambda n: n <= F.size(labels))
+    tails = F.transform(deep, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     fitting = F.filter(F.from_json(F.lit(json.dumps(lengths)), "array<int>"), lambda n: n <= F.length("path"))
     heads = F.transform(fitting, lambda n: F.substr("path", F.lit(1), n))
     keys = urls.withColumn("tail", F.explode(tails)).withColumn("head", F.explode(heads)).withColumn("digest", key_digest(F.col("tail"), F.col("head")))

@@ -138,3 +138,11 @@ def test_filter_has_no_false_negatives(spark):
         return (((words[at >> 6] >> (at & 63)) & 1).all(axis=1)).mean()
 
     assert share(digests(0, 5000)) == 1.0 and share(digests(10_000, 60_000)) < 0.02
+
+
+def test_url_of_very_many_labels(spark):
+    hosts = {1: "a." * 200_000 + "shop.example", 2: "a." * 200_000 + "notshop.example", 3: "shop.example"}
+    rows = [(i, f"https://{h}/x/y") for i, h in hosts.items()]
+    entries = [("shop.example", "/x", "block", True), ("example", "/none", "block", False), ("a.b.shop.example", "/", "block", False)]
+    out = url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(entries, url_filter.ENTRIES)).collect()
+    assert {r.page_id: (r.verdict, r.rule) for r in out} == {1: ("block", "shop.example/x"), 2: ("allow", None), 3: ("block", "shop.example/x")}
