@@ -149,19 +149,22 @@ class IndexTable:
         self._applied(change)
 
     def rollback(self) -> bool:
-        """The version that the last commit was made on is published again, with the batches it knew: one that is undone can come again."""
+        """The version that the last commit was made on is published again, with the batches it knew: one that is undone can come again. False if there is
+        none, or vacuum has deleted it."""
         last = self.manifest()
-        if not last.get("base"):
+        if last.get("base") not in self._numbers():
             return False
         return self._publish(last, self.manifest(last["base"]))
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Deletes manifests but the last ``keep``, and the versions that none of these names; for when no commit is going on."""
+        """Deletes manifests but the last ``keep`` and the one that a rollback would publish, and the versions that none of these names; for when no commit is going on."""
         numbers = self._numbers()
-        held = {p.split("/")[0] for n in numbers[-keep:] for p in self.manifest(n)["parts"].values()}
+        kept = set(numbers[-keep:])
+        kept |= {self.manifest().get("base")} & set(numbers)
+        held = {p.split("/")[0] for n in kept for p in self.manifest(n)["parts"].values()}
         fs, path = self._fs()
         gone = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in held] if numbers else []
-        for name in [*gone, *(f"manifest-{n:010d}.json" for n in numbers[:-keep])]:
+        for name in [*gone, *(f"manifest-{n:010d}.json" for n in numbers if n not in kept)]:
             fs.delete(self._fs(name)[1], True)
         return gone
 

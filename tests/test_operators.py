@@ -258,6 +258,16 @@ def test_index_table(spark, tmp_path):
     assert table.read().count() == 0 and table.read().columns == ["chunk_id", "text", "vector"]
 
 
+def test_index_rolls_back_after_vacuum(spark, tmp_path):
+    table = IndexTable(spark, f"file://{tmp_path}/t")
+    for i in range(4):
+        table.upsert(spark.createDataFrame([(f"c{i}", "x")], "chunk_id string, text string"))
+    assert table.rollback() and table.read().count() == 3
+    table.vacuum()
+    assert table.rollback() and table.read().count() == 2
+    assert not table.rollback() and table.read().count() == 2  # what came before is deleted
+
+
 def test_index_writers_do_not_lose_rows(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/t"
     rows = lambda *x: spark.createDataFrame(list(x), "chunk_id string, n int")
