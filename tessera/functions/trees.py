@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import stripped
+from tessera.functions.text import once, stripped
 
 #: Keys of answers and the names that they bear outside, in groups: fixed values.
 ANSWER_KEYS = {
@@ -83,21 +83,23 @@ def _checked(c: Column, bad: list[tuple[Column, str]], out: Column) -> Column:
     return F.struct(F.when(reason.isNull(), out).alias("json"), reason.alias("refused"))
 
 
+def _changed(c: Column, names: dict[str, str], tests) -> Column:
+    """(json, refused) of an object with other names for its keys. tests(text, named): what stands against it besides what isn't JSON or has a key
+    twice. Texts are parsed and written once each for a row, whatever asks for them."""
+    made = lambda text: once(with_keys(text, names), lambda named: once(canonical(named), lambda out: _checked(c, [(text.isNull(), "invalid_json"), *tests(text, named), (out.isNull(), "duplicate_key")], out)))
+    return once(canonical(c), made)
+
+
 def renamed(c: Column, names: dict[str, str] = ANSWER_KEYS, allowed: list[str] = TECHNICAL) -> Column:
     """(json, refused): an object with its keys' outside names. Refused are invalid_json (also a key twice), duplicate_key (two keys with one
     name) and english_key (a key without an outside name)."""
-    text = canonical(c)
-    named = with_keys(text, names)
-    out = canonical(named)
-    return _checked(c, [(text.isNull(), "invalid_json"), (F.size(english_keys(named, allowed)) > 0, "english_key"), (out.isNull(), "duplicate_key")], out)
+    return _changed(c, names, lambda text, named: [(F.size(english_keys(named, allowed)) > 0, "english_key")])
 
 
 def restored(c: Column, names: dict[str, str] = ANSWER_KEYS, allowed: list[str] = TECHNICAL) -> Column:
     """(json, refused): what renamed() was made from. Refused are invalid_json, not_an_object, english_key (a key that bears its inside name already) and
     duplicate_key. Of two keys with one outside name the last comes back."""
-    text = canonical(c)
-    out = canonical(with_keys(text, {v: k for k, v in names.items()}))
-    return _checked(c, [(text.isNull(), "invalid_json"), (~F.startswith(text, F.lit("{")), "not_an_object"), (F.size(english_keys(text, allowed)) > 0, "english_key"), (out.isNull(), "duplicate_key")], out)
+    return _changed(c, {v: k for k, v in names.items()}, lambda text, named: [(~F.startswith(text, F.lit("{")), "not_an_object"), (F.size(english_keys(text, allowed)) > 0, "english_key")])
 
 
 def spaced(c: Column) -> Column:

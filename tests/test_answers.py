@@ -52,6 +52,12 @@ def test_keys_are_renamed_at_every_depth_and_back(spark):
     assert values(spark, trees.renamed(F.col("text")), [None])[0].refused is None
 
 
+def test_objects_are_parsed_once_for_each_text(spark):
+    parses = lambda c: spark.createDataFrame([("{}",)], "text string").select(c)._jdf.queryExecution().analyzed().toString().count("parse_json(")
+    one = parses(trees.canonical(F.col("text")))
+    assert one and parses(trees.renamed(F.col("text"))) == parses(trees.restored(F.col("text"))) == 2 * one  # as it comes, and with other names
+
+
 def test_evidence_texts_are_read_back(spark):
     text = "案例：A\n关键要点：\n- 一\n续\n- 二\n来源原文：原话：x\n\n定义：\n没有项目\n- 不是项目\n别名："
     rows = segments.segments(spark.createDataFrame([(1, text), (2, None), (3, " \n "), (4, "plain")], "id int, text string"), "id")
