@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from tessera.functions.text import stripped
+from tessera.functions.text import once, stripped
 
 #: Fixed sizes, in characters.
 LEAST_PAGE, MOST_SEGMENT, OVERVIEW = 100, 2000, 800
@@ -36,30 +36,33 @@ def long_split(text: Column, most: int = MOST_SEGMENT) -> Column:
     return _packed(text, F.lit(most))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _gathered(pages: pd.Series, least: pd.Series) -> pd.Series:
-    def blocks(pages, least: int) -> list[str] | None:
-        if pages is None:
+@F.pandas_udf(ArrayType(IntegerType()))
+def _gathered(lengths: pd.Series, least: pd.Series) -> pd.Series:
+    """Where each block ends, as a number of pages; of pages only the lengths come here, as a batch of texts can be of any size."""
+
+    def ends(lengths, least: int) -> list[int] | None:
+        if lengths is None:
             return None
-        out, buffer, size = [], [], 0
-        for page in pages:
-            size += len(page) + 2 * bool(buffer)
-            buffer.append(page)
+        out, size, begun = [], 0, False
+        for i, n in enumerate(lengths, 1):
+            size, begun = size + int(n) + 2 * begun, True
             if size >= least:
-                out.append(buffer)
-                buffer, size = [], 0
-        if buffer and out:
-            out[-1] += buffer
-        elif buffer:
-            out.append(buffer)
-        return ["\n\n".join(x) for x in out]
+                out.append(i)
+                size, begun = 0, False
+        if begun and out:
+            out[-1] = len(lengths)
+        elif begun:
+            out.append(len(lengths))
+        return out
 
-    return pd.Series([blocks(p, int(n)) for p, n in zip(pages, least)], dtype=object)
+    return pd.Series([ends(x, int(n)) for x, n in zip(lengths, least)], dtype=object)
 
 
 def short_merged(pages: Column, least: int = LEAST_PAGE) -> Column:
     """Pages gathered until a block has so many characters, a blank line between them; a short rest joins the last block."""
-    return _gathered(pages, F.lit(least))
+    ends = _gathered(F.transform(pages, F.length), F.lit(least))
+    block = lambda x, end, i: F.array_join(F.slice(x["pages"], F.coalesce(F.get(x["ends"], i - 1), F.lit(0)) + 1, end - F.coalesce(F.get(x["ends"], i - 1), F.lit(0))), "\n\n")
+    return once(F.struct(pages.alias("pages"), ends.alias("ends")), lambda x: F.transform(x["ends"], lambda end, i: block(x, end, i)))
 
 
 def heading_sections(lines: DataFrame, key: str = "doc_id", heading: str = r"^#{1,6}\s+\S") -> DataFrame:

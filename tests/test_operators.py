@@ -6,6 +6,7 @@ import re
 import time
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,11 @@ def fold(items, least):
     return out
 
 
+def test_only_lengths_of_pages_reach_python():
+    ends = chunking._gathered.func(pd.Series([[60, 38, 5], [99], [100, 1], [], None]), pd.Series([100] * 5))
+    assert ends.tolist() == [[3], [1], [2], [], None]
+
+
 def pack(text, most):
     if len(text) <= most:
         return [text]
