@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.storage import written
+
 #: Fixed values of the scoring scheme: half of the retrieval points are for the primary chunk, or for any
 #: evidence; half of the citation points for valid numbers.
 RETRIEVAL_POINTS, CITATION_POINTS = 10.0, 5.0
@@ -87,6 +89,26 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
+def percentiles(rows: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles of a column of any number of distinct values, by name, interpolated as F.percentile does; null without
+    values. Values are counted, then dealt by range, so no task sees more than a range; of the ranges only their counts come together."""
+    counts = rows.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    held = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "counts")
+    ranges, before = held.groupBy("part").agg(F.sum("n").alias("m")), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    ends = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    placed = held.join(F.broadcast(ranges), "part").withColumn("end", ends).withColumn("start", F.col("end") - F.col("n"))
+    place = {name: (F.col("total") - 1) * F.lit(float(q)) for name, q in wanted.items()}
+    at = lambda rank: F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("value")))
+    found = placed.agg(*(F.struct(at(F.floor(p)).alias("low"), at(F.ceil(p)).alias("high"), F.max(p).alias("place")).alias(name) for name, p in place.items()))
+
+    def between(x: Column) -> Column:
+        low, high = F.floor(x["place"]), F.ceil(x["place"])
+        return F.when((low == high) | (x["low"] == x["high"]), x["low"]).otherwise((high - x["place"]) * x["low"] + (x["place"] - low) * x["high"])
+
+    return found.select(*(between(F.col(name)).alias(name) for name in wanted))
+
+
 def strata(results: DataFrame, statuses: DataFrame) -> DataFrame:
     """Count, mean and pass rate of each listed stratum, also of those without rows. Items without
     a score don't pass."""

@@ -240,8 +240,8 @@ def bottom_results(spark, sf_dir):
 
 
 def score_percentiles(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("o_totalprice", q), 6)
-    return table(spark, sf_dir, "orders").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    out = evaluation.percentiles(table(spark, sf_dir, "orders"), "o_totalprice", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 # operations, from events: a user is a run or job, an event a question or attempt

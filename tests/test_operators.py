@@ -44,6 +44,14 @@ def test_bm25_deals_its_pairs_to_tasks(spark):
     assert len({r.score for r in scores.collect()}) == 1
 
 
+def test_percentiles_are_exact_and_gather_no_values(spark):
+    rng, wanted = random.Random(3), {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
+    for values in ([rng.choice([rng.uniform(-9, 9), float(rng.randrange(4))]) for _ in range(301)], [2.0] * 50 + [None], [1.0, 4.0], [None]):
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        expected = rows.agg(*(F.percentile("x", q).alias(n) for n, q in wanted.items())).head()
+        assert evaluation.percentiles(rows, "x", wanted).head() == expected
+
+
 def test_vector_search_orders_by_cosine(spark):
     vectors = retrieval.normalised(spark.createDataFrame([("case-1", [1.0, 0.0, 0.0]), ("course-1", [0.9, 0.1, 0.0])], "chunk_id string, vector array<double>"))
     hits = retrieval.vector_search(vectors, spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, vector array<double>"), 2)
