@@ -1,23 +1,27 @@
 """Alignment of two tokenizers over a corpus: which tokens of one stand where which of the other do.
 
-A document is encoded once by each tokenizer. Tokens are byte ranges, so the ends of both, merged,
-cut the text into stretches that belong to one token of either: each stretch is a link, and the ends
-that both have cut the tokens into groups. A pair of ids is one int64, A's id above B's. The pairs of the documents
+Tokens are byte ranges, so the ends of both tokenizers, merged,
+cut the text into ranges that belong to one token of either: each range is a link, and the ends
+that both have cut the tokens into groups. Where a space follows a printable ASCII character, neither of the two tokenizers has a token
+across, nor looks across (whole_words checks that of their files), so a text is cut there into stretches, mostly words, which each tokenizer
+encodes once as long as a task keeps them; a document's tokens, groups and links are those of its stretches, in order. Texts of other tokenizers are encoded
+whole. A pair of ids is one int64, A's id above B's. The pairs of the documents
 are counted by np.unique in each task, partial counts are range-partitioned and sorted by the whole cluster, and equal
 keys, then neighbours, summed in runs. Each range is a shard, two files of sorted keys and counts in the shared folder; to
 score documents, tasks map the shards into memory and find keys by searchsorted.
 
 A pair's count is the number of rows that hold it, so repeated rows count each, and so do rows of one id. Texts that are null
-or empty, or whose tokens' bytes don't give the text back, have no tokens: zeros, and no digest. Long texts are encoded whole. Ties for an
+or empty, or whose tokens' bytes don't give the text back, have no tokens: zeros, and no digest. Long texts are taken whole. Ties for an
 A id's highest count all are best. Other columns of the table are not read. An empty table gives an empty one.
 
-Bounds: a task holds the tokens of one call of the tokenizers (CALL characters, or one longer text) and up to MERGED distinct pairs before it
+Bounds: a task holds the tokens of documents of CALL characters together, or of one longer text, what it knows of KEPT bytes of stretches and one call's, and up to MERGED distinct pairs before it
 passes partial counts on; the highest count of each A id is an array by the vocabulary; shards are mapped, not loaded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -33,8 +37,10 @@ from tessera.llm.shared import written
 from tessera.llm.token_counts import tokenizer_file
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters that a call of the tokenizers encodes, but for a longer single text; pairs that a task merges or looks up at a time.
-CALL, MERGED = 1 << 20, 1 << 21
+#: Characters of documents that are aligned together, but for a longer single text; bytes of stretches that a task keeps; pairs that a task merges or looks up at a time.
+CALL, KEPT, MERGED = 1 << 20, 1 << 22, 1 << 21
+#: Bytes of stretches that are encoded as one text; what the pieces of B have for a space.
+JOINED, SPACE = 1 << 13, "▁".encode()
 ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
 SCORES = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SHARD = "first long, keys string, counts string, ids string, best string"
@@ -70,6 +76,30 @@ def encoder_b(file: bytes):
     return lambda texts: p.encode(texts, num_threads=1), pieces
 
 
+def whole_words(file_a: bytes, file_b: bytes) -> bool:
+    """Whether texts may be cut before a space that follows a printable ASCII character: A splits texts by the byte-level expression, as they are; B is
+    a BPE of texts as they are behind a space, and no piece has a space behind something else."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    a, b = json.loads(file_a), sentencepiece_model_pb2.ModelProto.FromString(file_b)
+    split, model, norm, how = a.get("pre_tokenizer") or {}, a["model"], b.normalizer_spec, b.trainer_spec
+    byte_level = not a.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space")
+    plain = model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in a.get("added_tokens", []))
+    as_is = not norm.precompiled_charsmap and not norm.normalization_rule_tsv and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+    bpe = how.model_type == how.BPE and not how.treat_whitespace_as_suffix and not any(x.type == x.USER_DEFINED for x in b.pieces)
+    return bool(byte_level and plain and as_is and bpe and not any("▁" in x.piece.lstrip("▁") for x in b.pieces))
+
+
+def stretch_starts(data: np.ndarray, ends: np.ndarray, cut: bool) -> np.ndarray:
+    """Where stretches start in the bytes of texts that end at ends; each text starts with a space and has two bytes at least. A last space is none."""
+    starts = np.zeros(len(data), bool)
+    if cut:
+        starts[1:] = (data[1:] == 32) & (data[:-1] > 32) & (data[:-1] < 127)
+        starts[ends - 1] = False
+    starts[np.append(0, ends[:-1])] = True
+    return np.flatnonzero(starts)
+
+
 def links(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """The packed pair of ids of each link, in the text's order; end_: where tokens end."""
     ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # two runs in order
@@ -91,30 +121,100 @@ class Names:
         return "".join(out)[:-1]
 
 
-def _aligned(file_a: bytes, file_b: bytes):
+class Stretches:
+    """(n_a, n_b, n_groups, n_links, groups, links) of stretches, encoded once as long as they are kept; zeros if their tokens don't give them back."""
+
+    def __init__(self, file_a: bytes, file_b: bytes, cut: bool):
+        self.cut = cut
+        (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = encoder_a(file_a), encoder_b(file_b)
+        self.width_a, self.width_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.bytes_a, self.bytes_b))
+        self.names, self.known, self.size = Names(max(len(self.bytes_a), len(self.bytes_b))), {}, 0
+
+    def of(self, stretches: list[bytes]) -> list[tuple]:
+        if self.size > KEPT:
+            self.known, self.size = {}, 0
+        new = [s for s in stretches if s not in self.known]
+        self.size += sum(map(len, new))
+        if new:
+            self._add(new)
+        return [self.known[s] for s in stretches]
+
+    def _tokens(self, new: list[bytes]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+        """Stretches with the ids of A and B of all of them in a row, or without ids if these don't give them back. Where a text may be cut it may be joined as well, so
+        that stretches share a call, JOINED bytes of them; what doesn't end as a cut needs it, or looks like a piece's space, is encoded by itself."""
+        joined, size, parts = [], 0, []
+        for s in new:
+            if self.cut and 32 < s[-1] < 127 and SPACE not in s:
+                joined.append(s)
+                size += len(s)
+                if size >= JOINED:
+                    parts.append(joined)
+                    joined, size = [], 0
+            else:
+                parts.append([s])
+        parts += [joined] if joined else []
+        texts = [b"".join(part).decode() for part in parts]
+        for part, text, a, b in zip(parts, texts, self.encode_a(texts), self.encode_b([t[1:] for t in texts]), strict=True):
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == text.encode() == b"".join(map(self.bytes_b.__getitem__, b))
+            if same or len(part) == 1:
+                yield (part, a, b) if same else (part, [], [])
+            else:
+                for s in part:
+                    yield from self._tokens([s])
+
+    def _add(self, new: list[bytes]) -> None:
+        good, a, b = [], [], []
+        for part, x, y in self._tokens(new):
+            if x:
+                good += part
+                a.append(x), b.append(y)
+            else:
+                self.known[part[0]] = 0, 0, 0, 0, b"", b""
+        if not good:
+            return
+        a, b = (np.fromiter(chain.from_iterable(xs), np.int64, sum(map(len, xs))) for xs in (a, b))
+        end_a, end_b, ends = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b]), np.cumsum([len(s) for s in good])  # both have tokens that end with each stretch
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        to_a, to_b, to_group = (np.searchsorted(x, ends, "right") for x in (end_a, end_b, cuts))
+        n_a, n_b, n_groups = (np.diff(x, prepend=0).tolist() for x in (to_a, to_b, to_group))
+        pairs, groups = links(a, b, end_a, end_b).tobytes(), self.names.groups(a, b, end_a, end_b, cuts).encode().split(b";")
+        to_link = to_a + to_b - to_group  # a link for each different end
+        n_links = np.diff(to_link, prepend=0).tolist()
+        for s, x, y, g, n, i, j in zip(good, n_a, n_b, n_groups, n_links, to_group.tolist(), to_link.tolist(), strict=True):
+            self.known[s] = x, y, g, n, b";".join(groups[i - g : i]), pairs[8 * (j - n) : 8 * j]
+
+
+def _aligned(file_a: bytes, file_b: bytes, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, bytes_a), (encode_b, bytes_b) = encoder_a(file_a), encoder_b(file_b)
-        width_a, width_b = (np.array([len(x) for x in xs], np.int64) for xs in (bytes_a, bytes_b))
-        names = Names(max(len(bytes_a), len(bytes_b)))
-
-        def row(text: str, a: list[int], b: list[int]) -> tuple:
-            whole = b" " + text.encode()
-            if not text or b"".join(map(bytes_a.__getitem__, a)) != whole or b"".join(map(bytes_b.__getitem__, b)) != whole:
-                return 0, 0, 0, 0, "", b"", b""
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            end_a, end_b = np.cumsum(width_a[a]), np.cumsum(width_b[b])
-            cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-            all_links = links(a, b, end_a, end_b)
-            keys, times = np.unique(all_links, return_counts=True)
-            digest = hashlib.sha256(names.groups(a, b, end_a, end_b, cuts).encode()).hexdigest()
-            return len(a), len(b), len(cuts), len(all_links), digest, keys.tobytes(), times.astype(np.int32).tobytes()
-
-        def encoded(ids: list, texts: list[str]) -> pa.RecordBatch:
-            rows = map(row, texts, encode_a([f" {t}" for t in texts]), encode_b(texts))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(i, *r) for i, r in zip(ids, rows, strict=True)], strict=True), TYPES, strict=True)], names=[c.split()[0] for c in ROWS.split(", ")])
+        known = Stretches(file_a, file_b, cut)
+
+        def rows(texts: list[bytes]) -> Iterator[tuple]:
+            """Of texts that aren't empty, a space before each."""
+            data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+            starts = stretch_starts(np.frombuffer(data, np.uint8), ends, cut)
+            offsets = np.append(starts, len(data)).astype(np.int64)
+            stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            code, found = np.asarray(stretches.indices), known.of(stretches.dictionary.to_pylist())
+            counts, groups = np.array([f[:4] for f in found], np.int64), np.array([f[4] for f in found], object)
+            pairs, n_links = np.frombuffer(b"".join(f[5] for f in found), np.int64), counts[:, 3]
+            first = np.searchsorted(starts, np.append(0, ends))  # of each text, the first stretch
+            to_link = np.append(0, np.cumsum(n_links[code]))
+            pairs = pairs[np.arange(to_link[-1]) + np.repeat((np.cumsum(n_links) - n_links)[code] - to_link[:-1], n_links[code])]
+            sums, whole = np.add.reduceat(counts[code], first[:-1]).tolist(), np.minimum.reduceat(counts[code, 2], first[:-1]) > 0
+            for i, (n, ok) in enumerate(zip(sums, whole.tolist(), strict=True)):
+                if ok:
+                    keys, times = np.unique(pairs[to_link[first[i]] : to_link[first[i + 1]]], return_counts=True)
+                    yield *n, hashlib.sha256(b";".join(groups[code[first[i] : first[i + 1]]])).hexdigest(), keys.tobytes(), times.astype(np.int32).tobytes()
+                else:
+                    yield NONE
+
+        def encoded(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+            some = rows([b" " + t for t in texts if t]) if any(texts) else iter(())
+            out = [(i, *(next(some) if t else NONE)) for i, t in zip(ids, texts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=[c.split()[0] for c in ROWS.split(", ")])
 
         for batch in batches:
-            ids, texts, first, size = batch.column("doc_id").to_pylist(), batch.column("text"), 0, 0
+            ids, texts, first, size = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), 0, 0
             for i, n in enumerate(batch.column("n_chars").to_pylist()):
                 size += n
                 if size >= CALL or i + 1 == len(ids):
@@ -124,6 +224,7 @@ def _aligned(file_a: bytes, file_b: bytes):
     return run
 
 
+NONE = 0, 0, 0, 0, "", b"", b""
 TYPES = [*[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()]
 
 
@@ -231,7 +332,8 @@ def aligned(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc_id", tex
     tokenizer that puts a space before the text; keys and times are the packed pairs that the row links, and how often."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.length(text).alias("n_chars"))
-    return written(rows.mapInArrow(_aligned(tokenizer_file(a), tokenizer_file(b)), ROWS), "aligned", "zstd")
+    files = tokenizer_file(a), tokenizer_file(b)
+    return written(rows.mapInArrow(_aligned(*files, whole_words(*files)), ROWS), "aligned", "zstd")
 
 
 def pair_shards(rows: DataFrame) -> list[tuple]:

@@ -1,12 +1,14 @@
 """Alignment of tokenizers, spelling variants and exact top-k against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import alignment, impact_index, spelling
@@ -60,6 +62,56 @@ def test_alignment_matches_brute_force(spark, monkeypatch, merged):
     assert sum(r.n_a > 0 for r in out) > 45 and {r.groups_sha256 for r in out if not r.n_a} == {""}
 
 
+def test_words_are_encoded_once_and_cuts_change_nothing(monkeypatch):
+    files, given = (tokenizer_file(alignment.A), tokenizer_file(alignment.B)), []
+
+    def counted(encoder):
+        def made(file):
+            encode, pieces = encoder(file)
+            return lambda texts: given.append(sum(map(len, texts))) or encode(texts), pieces
+
+        return made
+
+    monkeypatch.setattr(alignment, "encoder_a", counted(alignment.encoder_a))
+    monkeypatch.setattr(alignment, "encoder_b", counted(alignment.encoder_b))
+
+    def rows(texts, cut):
+        given.clear()
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "n_chars": [len(t) for t in texts]})
+        return [tuple(r.values()) for out in alignment._aligned(*files, cut)(iter([batch])) for r in out.to_pylist()]
+
+    assert alignment.whole_words(*files)
+    often = [" ".join(["counting", "tokenizers", "again"] * 2000 + [f"w{i}"]) for i in range(5)]
+    got = rows(often, True)
+    assert sum(given) < 200 < 100_000 < len(often[0]) * 5
+    assert got == rows(often, False)
+    rng, parts = random.Random(5), [*"aZ7é▁ß漢🙂#=\n\t\r\0\x7f\x85\xa0\u2028\u3000\u0301\u200d", " ", " ", " ", "  ", "don't", "'s", "'", "3.5", "<s>", "<|endoftext|>", "<0x41>", "of", "word"]
+    odd = [t or "" for t in ODD_TEXTS] + ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(1500)]
+    whole = rows(odd, False)
+    for joined, kept in ((1 << 13, 1 << 22), (1, 50)):
+        monkeypatch.setattr(alignment, "JOINED", joined)
+        monkeypatch.setattr(alignment, "KEPT", kept)
+        monkeypatch.setattr(alignment, "CALL", kept)
+        assert rows(odd, True) == whole
+    assert 500 < sum(r[1] > 0 for r in whole) < len(odd)
+
+
+def test_texts_of_other_tokenizers_are_encoded_whole():
+    from sentencepiece import sentencepiece_model_pb2
+
+    file_a, file_b = tokenizer_file(alignment.A), tokenizer_file(alignment.B)
+    a = json.loads(file_a)
+    a["pre_tokenizer"]["use_regex"] = False
+    assert not alignment.whole_words(json.dumps(a).encode(), file_b)
+    for change in ("piece", "normalizer"):
+        b = sentencepiece_model_pb2.ModelProto.FromString(file_b)
+        if change == "piece":
+            b.pieces.add(piece="of▁the", score=-1.0)
+        else:
+            b.normalizer_spec.remove_extra_whitespaces = True
+        assert not alignment.whole_words(file_a, b.SerializeToString())
+
+
 def test_alignment_of_nothing(spark):
     schema = "doc_id long, text string"
     assert alignment_scores(spark.createDataFrame([], schema)).count() == 0
