@@ -40,10 +40,11 @@ def chunk_text(kind: str, fields: list[tuple[str, Column]], lists: list[tuple[st
     return labelled_text([("知识类型", F.lit(kind)), *fields, *(("", bullets(label, items)) for label, items in lists)])
 
 
-def numbered(text: Column) -> Column:
-    """``L001: line`` for each line, with more digits from 1000 on; an end of line at the end opens no other."""
-    own = F.split(F.regexp_replace(text, f"(?:{LINE_END})\\z", ""), LINE_END)
-    return F.when(text == "", F.lit("")).otherwise(F.array_join(F.transform(own, lambda x, i: F.concat(F.format_string("L%03d: ", i + 1), x)), "\n"))
+def numbered(text: Column, end: str = LINE_END, empty_line: bool = False) -> Column:
+    """``L001: line`` for each line, with more digits from 1000 on; an end of line at the end opens no other. An empty text has no line, or one with empty_line."""
+    own = F.split(F.regexp_replace(text, f"(?:{end})\\z", ""), end)
+    out = F.array_join(F.transform(own, lambda x, i: F.concat(F.format_string("L%03d: ", i + 1), x)), "\n")
+    return out if empty_line else F.when(text == "", F.lit("")).otherwise(out)
 
 
 def deltas(answer: Column) -> Column:

@@ -47,6 +47,14 @@ def test_numbers_are_not_cut(spark):
     assert len(set(ids.values())) == 10011 and [ids[i] for i in (1, 9999, 10000, 10001)] == ["course__7__0001", "course__7__9999", "course__7__10000", "course__7__10001"]
 
 
+def test_numbered_lines_are_those_of_the_sql(spark, tmp_path):
+    texts = [None, "", "\n", "\n\n", "a", "\na\n", "a\r\nb\r\n", "a\rb\r", "a\x0bb\x0c", "a\x1cb\x1e", "a\x85b", "a\u2028b\u2029", "a\n\r", "\n".join("x" * 1001)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {i: t.removesuffix("\n").split("\n") for i, t in enumerate(texts) if t is not None}
+    expected = {i: hashlib.md5("\n".join(f"L{n:03d}: {x}" for n, x in enumerate(own, 1)).encode()).hexdigest() for i, own in lines.items()}
+    assert dict(__spark_entry__.queries()["numbered_lines"](spark, str(tmp_path)).collect()) == {0: None, **expected}
+
+
 def test_notes(spark):
     notes = "intro\n教学时间：5分钟\n教学目标：理解需求\n第二行\n【教学方式】：讲授"
     assert value(spark, cases.notes_kept(F.col("text")), notes) == "intro\n教学目标：理解需求\n第二行"
